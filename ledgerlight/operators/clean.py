@@ -57,11 +57,14 @@ def revenue_caps(df: DataFrame, q: float = 0.995) -> DataFrame:
                            {"revenue_cap": q}, ["category"])
 
 
-def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float):
+def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float, materialize=None):
     deduped = keep_first(txn, "transaction_id", order_cols)
     typed = coerce_types(deduped)
     # pandas keeps a null revenue at this filter (NaN <= 0 is False)
     positive = typed.where(F.col("revenue").isNull() | (F.col("revenue") > 0))
+    if materialize is not None:
+        # the caps read this table three times and the fact once more
+        positive = materialize(positive)
     caps = revenue_caps(positive, cap_q)
     capped = positive.join(caps, "category", "left").withColumn(
         "revenue", F.when(F.col("revenue").isNotNull(),
@@ -78,8 +81,10 @@ def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float):
 
 
 def clean_transactions(txn: DataFrame, order_cols: Sequence[str] = ("part_key", "supp_key"),
-                       cap_q: float = 0.995) -> DataFrame:
-    return _stages(txn, order_cols, cap_q)[-1]
+                       cap_q: float = 0.995, materialize=None) -> DataFrame:
+    """``materialize`` (optional) writes the deduplicated, typed and filtered
+    rows once before the per-category caps are computed from them."""
+    return _stages(txn, order_cols, cap_q, materialize)[-1]
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:
@@ -109,10 +114,11 @@ def enforce_referential_integrity(txn: DataFrame, customers: DataFrame,
 
 
 def clean_all(customers: DataFrame, products: DataFrame, txn: DataFrame,
-              order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995):
+              order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995,
+              materialize=None):
     c = clean_customers(customers)
     p = clean_products(products)
-    t = enforce_referential_integrity(clean_transactions(txn, order_cols, cap_q), c, p)
+    t = enforce_referential_integrity(clean_transactions(txn, order_cols, cap_q, materialize), c, p)
     return c, p, t
 
 

@@ -27,14 +27,25 @@ def series_window(series_col: str = "series_key", order_col: str = "date") -> Wi
     return Window.partitionBy(series_col).orderBy(order_col)
 
 
-def add_rolling(df: DataFrame, target: str = "revenue", windows: Sequence[int] = ROLL_WINDOWS) -> DataFrame:
+def add_rolling(df: DataFrame, target: str = "revenue", windows: Sequence[int] = ROLL_WINDOWS,
+                money_digits: int | None = 2) -> DataFrame:
     """Mean and sample std over the previous ``n`` rows (the current
-    row excluded, at least one row); std of fewer than two rows is 0."""
+    row excluded, at least one row); std of fewer than two rows is 0.
+
+    With ``money_digits`` the frame sum is rounded to that many decimals
+    before dividing (the values are cents, so this removes only summation
+    noise and makes the mean independent of the engine's summation order).
+    """
     w = series_window()
     cols = {}
     for n in windows:
         frame = w.rowsBetween(-n, -1)
-        cols[f"roll_mean_{n}d"] = F.avg(target).over(frame)
+        if money_digits is None:
+            cols[f"roll_mean_{n}d"] = F.avg(target).over(frame)
+        else:
+            cols[f"roll_mean_{n}d"] = F.try_divide(
+                round_half_up(F.sum(target).over(frame), money_digits),
+                F.count(target).over(frame))
         cols[f"roll_std_{n}d"] = F.coalesce(F.stddev_samp(target).over(frame), F.lit(0.0))
     return df.withColumns(cols)
 

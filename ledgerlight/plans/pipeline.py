@@ -66,7 +66,7 @@ def star_full(spark: SparkSession, sf_dir: str, p: Params | None = None):
     from ledgerlight.operators.ingest import build_customers, build_products, build_transactions
     p = p or Params()
     key = (sf_dir, _pkey(p))
-    raw = raw_sales(spark, sf_dir)
+    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
     customers_k = stage(spark, ("customers",) + key,
                         lambda: build_customers(raw, keep_key=True, salt=p.salt))
     products = stage(spark, ("products",) + key,
@@ -93,7 +93,9 @@ def clean_star(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty:
 
     def get(i):
         if "v" not in built:
-            built["v"] = clean_all(customers, products, txn, p.order_cols, p.cap_q)
+            built["v"] = clean_all(
+                customers, products, txn, p.order_cols, p.cap_q,
+                materialize=lambda df: stage(spark, ("clean_positive",) + key, lambda: df))
         return built["v"][i]
     c = stage(spark, ("clean_customers",) + key, lambda: get(0))
     pr = stage(spark, ("clean_products",) + key, lambda: get(1))

@@ -302,14 +302,15 @@ def rolling_select(target: str = "revenue", alias: str = "d") -> str:
     """Rolling, lag, momentum and ewm columns over ``w`` (declared by caller
     as PARTITION BY series_key ORDER BY date)."""
     t = f"{alias}.{target}"
+    w = f"PARTITION BY {alias}.series_key ORDER BY {alias}.date"
     parts = []
     for n in (7, 14, 28, 90):
-        frame = f"(w ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-        parts.append(f"avg({t}) OVER {frame} AS roll_mean_{n}d")
+        frame = f"({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        parts.append(f"{r(f'sum({t}) OVER {frame}')} / nullif(count({t}) OVER {frame}, 0) AS roll_mean_{n}d")
         parts.append(f"coalesce(stddev_samp({t}) OVER {frame}, 0.0) AS roll_std_{n}d")
     for n in (7, 14, 28, 56):
-        parts.append(f"lag({t}, {n}) OVER w AS lag_{n}d")
-    parts.append(f"list({t}) OVER (w ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING) AS _prev")
+        parts.append(f"lag({t}, {n}) OVER ({w}) AS lag_{n}d")
+    parts.append(f"list({t}) OVER ({w} ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING) AS _prev")
     return ",\n    ".join(parts)
 
 
