@@ -52,9 +52,14 @@ def coerce_types(df: DataFrame) -> DataFrame:
 
 
 def revenue_caps(df: DataFrame, q: float = 0.995) -> DataFrame:
-    """Per-category cap; null categories get none (pandas drops null keys)."""
-    return exact_quantiles(df.where(F.col("category").isNotNull()), "revenue",
+    """Per-category cap; null categories get none (pandas drops null keys).
+
+    The interpolated percentile is rounded to cents: revenue is in cents, so
+    this changes a capped value by less than half a cent and keeps the
+    result independent of the engine's interpolation arithmetic."""
+    caps = exact_quantiles(df.where(F.col("category").isNotNull()), "revenue",
                            {"revenue_cap": q}, ["category"])
+    return caps.withColumn("revenue_cap", round_half_up("revenue_cap", 2))
 
 
 def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float, materialize=None):

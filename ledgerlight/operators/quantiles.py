@@ -107,6 +107,14 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
             F.col("_lo").alias("_lo"), F.col("_hi").alias("_hi"),
         )).alias("_z"),
     ).select(*group_cols, "_n", "_z._pid", "_z._q", "_z._lo", "_z._hi")
+    # Groups of at most ``accuracy`` values use their whole range as the
+    # bracket (bounded size); above that the margin 4n/accuracy is at least
+    # four ranks, larger than the sketch's rank error.
+    small = F.col("_n") <= F.lit(accuracy)
+    per_prob = per_prob.withColumns({
+        "_lo": F.when(small, F.lit(float("-inf"))).otherwise(F.col("_lo")),
+        "_hi": F.when(small, F.lit(float("inf"))).otherwise(F.col("_hi")),
+    })
     pos = (F.col("_n") - 1).cast("double") * F.col("_q")
     per_prob = per_prob.withColumns({
         "_k": F.floor(pos),

@@ -55,3 +55,343 @@ FROM {src}"""
 def q_daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = aggregate_daily(clean_fact(spark, sf_dir, Params()))
     return rounded(daily, DAILY_ROUND).select(*DAILY_COLS)
+
+
+# ------------------------------------------------------------- shared pieces
+from ledgerlight.functions.calendar import year_month  # noqa: E402
+from ledgerlight.functions.fmt import date_label, money_short  # noqa: E402
+from ledgerlight.operators import report as R  # noqa: E402
+from ledgerlight.operators.clean import clean_audit, dirty_transactions  # noqa: E402
+from ledgerlight.operators.daily import pivot_revenue  # noqa: E402
+from ledgerlight.operators.ingest import (  # noqa: E402
+    CUSTOMER_COLUMNS, PRODUCT_COLUMNS, TRANSACTION_COLUMNS, orphan_counts)
+from ledgerlight.operators.quantiles import with_scalars  # noqa: E402
+from ledgerlight.operators.series import drop_warmup  # noqa: E402
+from ledgerlight.plans.pipeline import (  # noqa: E402
+    category_values, clean_star, daily_features, segment_values, star, star_full)
+
+# Segment and category names of the driver's test tables, for
+# the DuckDB twins' pivot column lists (the Spark side reads them from the
+# customer and part tables).
+TEST_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+TEST_CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+PIVOTS_SQL = {"segment": TEST_SEGMENTS, "category": TEST_CATEGORIES}
+
+P = T.fact_prefix()
+PD = T.fact_prefix(dirty=True)
+STAR = "WITH " + T.star_ctes()
+
+
+def _fact(spark, sf):
+    return clean_star(spark, sf)[2]
+
+
+def _breakdowns(spark, sf):
+    return {"segment": segment_values(spark, sf), "category": category_values(spark, sf)}
+
+
+def _features(spark, sf, series=None, pivots=True):
+    return daily_features(_fact(spark, sf), series, _breakdowns(spark, sf) if pivots else None)
+
+
+def _daily(spark, sf, series=None):
+    return aggregate_daily(_fact(spark, sf), series)
+
+
+def feat_sql(series=None, pivots=None, prefix=None) -> str:
+    return ((prefix or P) + T.daily_cte(series, pivots) + T.holidays_cte("daily") + f""",
+feat0 AS (
+  SELECT d.*, {T.calendar_select('d')},
+    {T.rolling_select('revenue', 'd')}
+  FROM daily d LEFT JOIN hol_dist h ON d.date = h.date
+),
+feat AS (
+  SELECT * EXCLUDE (_prev),
+    {T.r('coalesce(roll_mean_7d / nullif(roll_mean_28d, 0), 1.0)', 4)} AS momentum_7_28,
+    {T.ewm_expr('_prev')} AS ewm_14d
+  FROM feat0
+)""")
+
+
+CAL_COLS = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year",
+            "is_weekend", "is_month_start", "is_month_end", "is_quarter_end", "is_q4",
+            "days_in_month", "days_to_quarter_end", "days_to_holiday", "near_holiday"]
+FOURIER = ["sin_week", "cos_week", "sin_year", "cos_year"]
+ROLL_COLS = [f"roll_{k}_{n}d" for n in (7, 14, 28, 90) for k in ("mean", "std")]
+LAG_COLS = [f"lag_{n}d" for n in (7, 14, 28, 56)]
+PIVOT_COLS = [f"rev_{v.lower()}" for v in TEST_SEGMENTS + TEST_CATEGORIES]
+FEATURE_NUMERIC = (["gross_profit", "n_transactions", "n_customers", "n_products", "avg_order_value",
+                    "avg_discount", "avg_quantity", "recurring_rev"] + PIVOT_COLS +
+                   ["gp_margin", "recurring_share", "rev_per_customer"] + CAL_COLS + FOURIER +
+                   ROLL_COLS + LAG_COLS + ["momentum_7_28", "ewm_14d"])
+
+
+# ---------------------------------------------------------- star
+@register("customer_dim", STAR + "\nSELECT * FROM customers")
+def q_customer_dim(spark, sf):
+    return star(spark, sf)[0].select(*CUSTOMER_COLUMNS)
+
+
+@register("product_dim", STAR + "\nSELECT product_id, category, base_price, margin_pct, is_recurring, "
+          "n_orders, unique_customers FROM products")
+def q_product_dim(spark, sf):
+    return star_full(spark, sf)[1].select(*PRODUCT_COLUMNS, "n_orders", "unique_customers")
+
+
+@register("transaction_fact", STAR + "\nSELECT " + ", ".join(TRANSACTION_COLUMNS) + " FROM txn")
+def q_transaction_fact(spark, sf):
+    return star(spark, sf)[2].select(*TRANSACTION_COLUMNS)
+
+
+# ---------------------------------------------------------- clean
+@register("clean_transactions", PD + "\nSELECT " + ", ".join(TRANSACTION_COLUMNS) + " FROM fact")
+def q_clean_transactions(spark, sf):
+    return clean_star(spark, sf, dirty=True)[2].select(*TRANSACTION_COLUMNS)
+
+
+@register("clean_fact", P + "\nSELECT " + ", ".join(TRANSACTION_COLUMNS) + " FROM fact")
+def q_clean_fact(spark, sf):
+    return _fact(spark, sf).select(*TRANSACTION_COLUMNS)
+
+
+@register("clean_customer_dim", P + "\nSELECT * FROM clean_customers")
+def q_clean_customer_dim(spark, sf):
+    return clean_star(spark, sf)[0].select(*CUSTOMER_COLUMNS)
+
+
+@register("clean_product_dim", P + "\nSELECT * FROM clean_products")
+def q_clean_product_dim(spark, sf):
+    return clean_star(spark, sf)[1].select(*PRODUCT_COLUMNS)
+
+
+@register("clean_audit", PD + f"""
+SELECT (SELECT count(*) FROM txn_in) AS rows_in,
+       (SELECT count(*) FROM txn_in) - (SELECT count(*) FROM deduped) AS removed_duplicates,
+       (SELECT count(*) FROM deduped) - (SELECT count(*) FROM positive) AS removed_non_positive,
+       (SELECT count(*) FROM positive) - (SELECT count(*) FROM non_null) AS removed_null_critical,
+       (SELECT count(*) FROM non_null) - (SELECT count(*) FROM fact) AS removed_orphans,
+       (SELECT count(*) FROM fact) AS rows_out,
+       (SELECT CAST(sum(CASE WHEN quantity IS NULL THEN 1 ELSE 0 END) AS BIGINT) FROM typed) AS unparsable_quantity,
+       (SELECT CAST(sum(CASE WHEN discount_pct >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) FROM final) AS discount_at_cap,
+       (SELECT {T.r('avg(revenue)')} FROM positive) AS mean_revenue_before_cap,
+       (SELECT {T.r('avg(revenue)')} FROM capped) AS mean_revenue_after_cap""")
+def q_clean_audit(spark, sf):
+    customers, products, txn = star(spark, sf)
+    return clean_audit(dirty_transactions(txn), customers, products)
+
+
+@register("fk_orphans", STAR + T.DIRTY + """
+SELECT (SELECT count(*) FROM txn_in t WHERE t.customer_id NOT IN (SELECT customer_id FROM customers))
+         AS orphan_customer_rows,
+       (SELECT count(*) FROM txn_in t WHERE t.product_id NOT IN (SELECT product_id FROM products))
+         AS orphan_product_rows""")
+def q_fk_orphans(spark, sf):
+    customers, products, txn = star(spark, sf)
+    return orphan_counts(dirty_transactions(txn), customers, products)
+
+
+@register("fk_semi", PD + """
+SELECT count(*) AS rows_kept, count(DISTINCT customer_id) AS customers_kept,
+       count(DISTINCT product_id) AS products_kept FROM fact""")
+def q_fk_semi(spark, sf):
+    return clean_star(spark, sf, dirty=True)[2].agg(
+        F.count(F.lit(1)).alias("rows_kept"),
+        F.countDistinct("customer_id").alias("customers_kept"),
+        F.countDistinct("product_id").alias("products_kept"))
+
+
+# ---------------------------------------------------------- calendar
+@register("calendar_features", P + T.daily_cte() + T.holidays_cte("daily") + f"""
+SELECT date, {', '.join(CAL_COLS)}, {', '.join(f'{T.r(c, 6)} AS {c}' for c in FOURIER)}
+FROM (SELECT d.date, {T.calendar_select('d')} FROM daily d LEFT JOIN hol_dist h ON d.date = h.date)""")
+def q_calendar_features(spark, sf):
+    f = _features(spark, sf, pivots=False)
+    return rounded(f.select("date", *CAL_COLS, *FOURIER), {c: 6 for c in FOURIER})
+
+
+@register("holiday_calendar", P + T.daily_cte() + T.holidays_cte("daily") +
+          "\nSELECT holiday, ds FROM holidays")
+def q_holiday_calendar(spark, sf):
+    from ledgerlight.sources.holidays import us_holidays, years_spanned
+    return us_holidays(years_spanned(_daily(spark, sf)))
+
+
+# ---------------------------------------------------------- windows
+@register("rolling_features", feat_sql("segment") + f"""
+SELECT series_key, date, revenue, {', '.join(f'{T.r(c)} AS {c}' for c in ROLL_COLS)}, momentum_7_28
+FROM feat""")
+def q_rolling_features(spark, sf):
+    f = _features(spark, sf, "segment", pivots=False)
+    return rounded(f.select("series_key", "date", "revenue", *ROLL_COLS, "momentum_7_28"),
+                   {c: 2 for c in ROLL_COLS})
+
+
+@register("lag_features", feat_sql("segment") + f"""
+SELECT series_key, date, revenue, {', '.join(LAG_COLS)} FROM feat WHERE lag_56d IS NOT NULL""")
+def q_lag_features(spark, sf):
+    f = drop_warmup(_features(spark, sf, "segment", pivots=False))
+    return f.select("series_key", "date", "revenue", *LAG_COLS)
+
+
+@register("ewm_feature", feat_sql("segment") + f"""
+SELECT series_key, date, revenue, {T.r('ewm_14d')} AS ewm_14d FROM feat""")
+def q_ewm_feature(spark, sf):
+    f = _features(spark, sf, "segment", pivots=False)
+    return rounded(f.select("series_key", "date", "revenue", "ewm_14d"), {"ewm_14d": 2})
+
+
+# ---------------------------------------------------------- pivots
+def _pivot_sql(by, values):
+    cols = ", ".join(
+        f"coalesce({T.r(f'sum(CASE WHEN {by} = {chr(39)}{v}{chr(39)} THEN revenue END)')}, 0.0) AS rev_{v.lower()}"
+        for v in values)
+    return P + f"\nSELECT 'total' AS series_key, date, {cols} FROM fact WHERE {by} IS NOT NULL GROUP BY date"
+
+
+@register("pivot_segment", _pivot_sql("segment", TEST_SEGMENTS))
+def q_pivot_segment(spark, sf):
+    return pivot_revenue(_fact(spark, sf), "segment", segment_values(spark, sf))
+
+
+@register("pivot_category", _pivot_sql("category", TEST_CATEGORIES))
+def q_pivot_category(spark, sf):
+    return pivot_revenue(_fact(spark, sf), "category", category_values(spark, sf))
+
+
+@register("daily_features", feat_sql(None, PIVOTS_SQL) + f"""
+SELECT series_key, date, {', '.join(T.r(c, 2) + ' AS ' + c if c in ROLL_COLS + ['ewm_14d', 'avg_order_value'] else
+                                   T.r(c, 4) + ' AS ' + c if c in ['avg_discount', 'avg_quantity'] else
+                                   T.r(c, 6) + ' AS ' + c if c in FOURIER else c
+                                   for c in ['revenue'] + FEATURE_NUMERIC)}
+FROM feat""")
+def q_daily_features(spark, sf):
+    f = _features(spark, sf)
+    spec = {c: 2 for c in ROLL_COLS + ["ewm_14d", "avg_order_value"]}
+    spec.update({c: 4 for c in ["avg_discount", "avg_quantity"]})
+    spec.update({c: 6 for c in FOURIER})
+    return rounded(f.select("series_key", "date", "revenue", *FEATURE_NUMERIC), spec)
+
+
+# ---------------------------------------------------------- RFM
+@register("customer_rfm", P + f""",
+per AS (
+  SELECT customer_id, max(date) AS last_purchase, min(date) AS first_purchase,
+         count(transaction_id) AS frequency, {T.r('sum(revenue)')} AS monetary, count(revenue) AS nrev
+  FROM fact GROUP BY customer_id
+)
+SELECT p.customer_id, CAST(date_diff('day', p.last_purchase, c.cutoff) AS INTEGER) AS recency_days,
+       p.frequency, p.monetary, {T.r('p.monetary / p.nrev')} AS avg_order,
+       p.first_purchase, p.last_purchase,
+       {T.r('p.monetary / greatest(p.frequency, 1) * ln(1 + p.frequency)')} AS clv_proxy,
+       cc.segment, cc.region, cc.account_tier, cc.tenure_days
+FROM per p CROSS JOIN (SELECT max(date) AS cutoff FROM fact) c
+LEFT JOIN clean_customers cc ON p.customer_id = cc.customer_id""")
+def q_customer_rfm(spark, sf):
+    customers, _, fact = clean_star(spark, sf)
+    return rounded(R.customer_rfm(fact, customers), {"avg_order": 2, "clv_proxy": 2})
+
+
+# ---------------------------------------------------------- EDA
+@register("eda_overview", P + T.daily_cte() + f"""
+SELECT count(*) AS total_transactions, {T.r('sum(revenue)')} AS total_revenue,
+       count(DISTINCT customer_id) AS total_customers, count(DISTINCT product_id) AS total_products,
+       CAST(min(date) AS VARCHAR) || ' to ' || CAST(max(date) AS VARCHAR) AS date_range,
+       (SELECT {T.r(T.r('sum(revenue)') + ' / count(revenue)')} FROM daily) AS avg_daily_revenue,
+       (SELECT {T.r('stddev_samp(revenue)')} FROM daily) AS revenue_std,
+       (SELECT {T.r('quantile_cont(revenue, 0.5)')} FROM daily) AS median_daily_revenue
+FROM fact""")
+def q_eda_overview(spark, sf):
+    fact = _fact(spark, sf)
+    return R.overview(fact, aggregate_daily(fact))
+
+
+def _group_sql(by):
+    return P + f"""
+SELECT {by}, {T.r('sum(revenue)')} AS total, {T.r(T.r('sum(revenue)') + ' / count(revenue)')} AS avg_order,
+       count(revenue) AS count
+FROM fact WHERE {by} IS NOT NULL GROUP BY {by}"""
+
+
+@register("eda_by_segment", _group_sql("segment"))
+def q_eda_by_segment(spark, sf):
+    return R.group_summary(_fact(spark, sf), "segment")
+
+
+@register("eda_by_category", _group_sql("category"))
+def q_eda_by_category(spark, sf):
+    return R.group_summary(_fact(spark, sf), "category")
+
+
+@register("eda_monthly", P + f"""
+SELECT strftime(date, '%Y-%m') AS month, {T.r('sum(revenue)')} AS revenue FROM fact GROUP BY 1""")
+def q_eda_monthly(spark, sf):
+    return R.monthly_revenue(_fact(spark, sf))
+
+
+@register("eda_dow", P + T.daily_cte() + f"""
+SELECT dayname(date) AS dow_name, {T.r(T.r('sum(revenue)') + ' / count(revenue)')} AS avg_revenue
+FROM daily GROUP BY 1""")
+def q_eda_dow(spark, sf):
+    return R.mean_by_day_name(_daily(spark, sf))
+
+
+@register("eda_month", P + T.daily_cte() + f"""
+SELECT CAST(month(date) AS INTEGER) AS month, {T.r(T.r('sum(revenue)') + ' / count(revenue)')} AS avg_revenue
+FROM daily GROUP BY 1""")
+def q_eda_month(spark, sf):
+    return R.mean_by_month(_daily(spark, sf))
+
+
+@register("eda_discount", P + f"""
+SELECT {T.r(T.r('sum(discount_pct)', 4) + ' / count(discount_pct) * 100')} AS avg_discount_pct,
+       {T.r('CAST(sum(CASE WHEN discount_pct > 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) * 100')}
+         AS pct_transactions_discounted,
+       {T.r('coalesce(sum(CASE WHEN discount_pct = 0 THEN revenue END), 0.0)')} AS revenue_at_zero_discount,
+       {T.r('coalesce(sum(CASE WHEN discount_pct > 0 THEN revenue END), 0.0)')} AS revenue_with_discount
+FROM fact""")
+def q_eda_discount(spark, sf):
+    return R.discount_analysis(_fact(spark, sf))
+
+
+@register("eda_profit", P + T.daily_cte() + f"""
+SELECT (SELECT {T.r(T.r('sum(gp_margin)', 4) + ' / count(gp_margin) * 100')} FROM daily) AS avg_gp_margin_pct,
+       (SELECT {T.r('sum(gross_profit)')} FROM fact) AS total_gross_profit,
+       (SELECT {T.r(T.r('sum(recurring_share)', 4) + ' / count(recurring_share) * 100')} FROM daily)
+         AS recurring_rev_share""")
+def q_eda_profit(spark, sf):
+    fact = _fact(spark, sf)
+    return R.profitability(fact, aggregate_daily(fact))
+
+
+@register("eda_outliers", P + T.daily_cte() + f""",
+q AS (SELECT quantile_cont(revenue, 0.01) AS p01, quantile_cont(revenue, 0.99) AS p99 FROM daily)
+SELECT {T.r('q.p01')} AS p1_daily_revenue, {T.r('q.p99')} AS p99_daily_revenue,
+       CAST(sum(CASE WHEN d.revenue > q.p99 THEN 1 ELSE 0 END) AS BIGINT) AS days_above_p99,
+       CAST(sum(CASE WHEN d.revenue < q.p01 THEN 1 ELSE 0 END) AS BIGINT) AS days_below_p01
+FROM daily d, q GROUP BY q.p01, q.p99""")
+def q_eda_outliers(spark, sf):
+    return R.outliers(_daily(spark, sf))
+
+
+def _corr_sql(cols):
+    parts = []
+    for c in cols:
+        both = f"({c} IS NOT NULL AND revenue IS NOT NULL)"
+        expr = (f"covar_pop(CAST({c} AS DOUBLE), revenue) / nullif(stddev_pop(CASE WHEN {both} THEN "
+                f"CAST({c} AS DOUBLE) END) * stddev_pop(CASE WHEN {both} THEN revenue END), 0)")
+        parts.append(f"SELECT '{c}' AS feature, {T.r(expr, 4)} AS corr FROM feat")
+    return "\nUNION ALL ".join(parts)
+
+
+@register("eda_corr", feat_sql(None, PIVOTS_SQL) + f""",
+c AS ({_corr_sql(FEATURE_NUMERIC)})
+SELECT feature, corr FROM c ORDER BY abs(corr) DESC NULLS LAST, feature LIMIT 15""")
+def q_eda_corr(spark, sf):
+    return R.correlations(_features(spark, sf), "revenue", FEATURE_NUMERIC, top=15)
+
+
+@register("null_profile", feat_sql(None, PIVOTS_SQL) + "\n" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM feat"
+    for c in ["series_key", "date", "revenue"] + FEATURE_NUMERIC))
+def q_null_profile(spark, sf):
+    return R.null_profile(_features(spark, sf).select("series_key", "date", "revenue", *FEATURE_NUMERIC))

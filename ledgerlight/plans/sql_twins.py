@@ -145,7 +145,7 @@ typed AS (
 ),
 positive AS (SELECT * FROM typed WHERE revenue IS NULL OR revenue > 0),
 caps AS (
-  SELECT category, quantile_cont(revenue, {cap_q}) AS revenue_cap
+  SELECT category, {r(f'quantile_cont(revenue, {cap_q})')} AS revenue_cap
   FROM positive WHERE category IS NOT NULL AND revenue IS NOT NULL GROUP BY category
 ),
 capped AS (
@@ -266,7 +266,7 @@ holidays AS (
   {union}
 ),
 hol_dist AS (
-  SELECT CAST(ds + o AS DATE) AS date, min(abs(o)) AS days_to_holiday
+  SELECT CAST(ds + CAST(o AS INTEGER) AS DATE) AS date, min(abs(o)) AS days_to_holiday
   FROM holidays, range(-{cap}, {cap + 1}) t(o)
   GROUP BY 1
 )"""
