@@ -395,3 +395,272 @@ def q_eda_corr(spark, sf):
     for c in ["series_key", "date", "revenue"] + FEATURE_NUMERIC))
 def q_null_profile(spark, sf):
     return R.null_profile(_features(spark, sf).select("series_key", "date", "revenue", *FEATURE_NUMERIC))
+
+
+# ---------------------------------------------------------- forecasting
+from ledgerlight.operators import forecast as FC  # noqa: E402
+from ledgerlight.operators.series import holdout_days, holdout_rows, impute_median  # noqa: E402
+from ledgerlight.plans.forecasting import HORIZON, evaluate  # noqa: E402
+
+FSEG = feat_sql("segment") + T.forecast_ctes(HORIZON)
+FTOT = feat_sql(None) + T.forecast_ctes(HORIZON)
+
+
+def _bundle(spark, sf, series="segment"):
+    return evaluate(_features(spark, sf, series, pivots=False), HORIZON)
+
+
+def _base(spark, sf, series="segment"):
+    return drop_warmup(_features(spark, sf, series, pivots=False))
+
+
+@register("holdout_rows", FSEG + """
+SELECT series_key, date, CASE WHEN rn > n - 90 THEN 'holdout' ELSE 'train' END AS split FROM idx""")
+def q_holdout_rows(spark, sf):
+    return holdout_rows(_base(spark, sf), 90).select("series_key", "date", "split")
+
+
+@register("holdout_days", FSEG + """
+SELECT series_key, date, CASE WHEN date > CAST(last_date - 90 AS DATE) THEN 'holdout' ELSE 'train' END AS split
+FROM idx""")
+def q_holdout_days(spark, sf):
+    return holdout_days(_base(spark, sf), 90).select("series_key", "date", "split")
+
+
+_FOLD_OUT = """
+SELECT series_key, fold,
+       CAST(sum(CASE WHEN role = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train_rows,
+       CAST(sum(CASE WHEN role = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS test_rows,
+       max(CASE WHEN role = 'train' THEN date END) AS train_end_date,
+       min(CASE WHEN role = 'test' THEN date END) AS test_start_date,
+       max(CASE WHEN role = 'test' THEN date END) AS test_end_date
+FROM assigned GROUP BY series_key, fold"""
+
+
+@register("cv_folds_expanding", FSEG + """,
+folds AS (
+  SELECT series_key, CAST(f AS INTEGER) AS fold, (n - 90) - (4 - f) * 60 - 60 AS train_end,
+         (n - 90) - (4 - f) * 60 AS test_end
+  FROM last_info, range(0, 5) t(f)
+),
+assigned AS (
+  SELECT i.series_key, i.date, f.fold, CASE WHEN i.rn <= f.train_end THEN 'train' ELSE 'test' END AS role
+  FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.test_end
+  WHERE f.train_end >= 1
+)""" + _FOLD_OUT)
+def q_cv_folds_expanding(spark, sf):
+    base = _base(spark, sf)
+    return FC.fold_summary(FC.assign_row_folds(FC.index_rows(base), FC.expanding_folds(base)))
+
+
+@register("cv_folds_walk", FSEG + """,
+folds AS (
+  SELECT series_key, CAST(f AS INTEGER) AS fold, 600 + f * 60 AS train_end, 600 + f * 60 + 90 AS test_end
+  FROM last_info, range(0, 3) t(f) WHERE 600 + f * 60 + 90 <= n
+),
+assigned AS (
+  SELECT i.series_key, i.date, f.fold, CASE WHEN i.rn <= f.train_end THEN 'train' ELSE 'test' END AS role
+  FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.test_end
+)""" + _FOLD_OUT)
+def q_cv_folds_walk(spark, sf):
+    base = _base(spark, sf)
+    return FC.fold_summary(FC.assign_row_folds(FC.index_rows(base), FC.walk_forward_folds(base)))
+
+
+@register("cv_folds_origin", FSEG + """,
+bounds AS (SELECT series_key, min(date) AS first_date, max(date) AS last_date FROM idx GROUP BY series_key),
+cuts AS (
+  SELECT b.series_key, CAST(k AS INTEGER) AS fold,
+         CAST(b.last_date - CAST(90 + k * 60 AS INTEGER) AS DATE) AS cutoff
+  FROM bounds b, range(0, 1000) t(k)
+  WHERE date_diff('day', CAST(b.first_date + 600 AS DATE), CAST(b.last_date - 90 AS DATE)) >= 0
+    AND k <= floor(date_diff('day', CAST(b.first_date + 600 AS DATE), CAST(b.last_date - 90 AS DATE)) / 60)
+),
+assigned AS (
+  SELECT i.series_key, i.date, c.fold, CASE WHEN i.date <= c.cutoff THEN 'train' ELSE 'test' END AS role
+  FROM idx i JOIN cuts c ON i.series_key = c.series_key AND i.date <= CAST(c.cutoff + 90 AS DATE)
+)""" + _FOLD_OUT)
+def q_cv_folds_origin(spark, sf):
+    base = _base(spark, sf)
+    return FC.fold_summary(FC.assign_day_folds(base, FC.origin_cutoffs(base)))
+
+
+@register("naive_metrics", FSEG + f""",
+folds AS (
+  SELECT series_key, CAST(f AS INTEGER) AS fold, (n - 90) - (4 - f) * 60 - 60 AS train_end,
+         (n - 90) - (4 - f) * 60 AS test_end
+  FROM last_info, range(0, 5) t(f)
+),
+cvrows AS (
+  SELECT i.series_key, f.fold, i.revenue AS y, greatest(i.lag_7d, 0.0) AS yhat
+  FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.test_end AND i.rn > f.train_end
+  WHERE f.train_end >= 1
+),
+foldm AS (
+  SELECT series_key, fold, {T.r('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse,
+         {T.r(T.r('sum(abs(y - yhat))') + ' / count(*)')} AS mae
+  FROM cvrows GROUP BY series_key, fold
+)
+SELECT m.series_key, m.rmse AS holdout_rmse, m.mae AS holdout_mae, m.mape AS holdout_mape,
+       c.cv_rmse_mean, c.cv_rmse_std, c.cv_mae_mean, c.n_folds
+FROM met m JOIN (
+  SELECT series_key, {T.r('avg(rmse)')} AS cv_rmse_mean, {T.r('stddev_pop(rmse)')} AS cv_rmse_std,
+         {T.r('avg(mae)')} AS cv_mae_mean, count(*) AS n_folds
+  FROM foldm GROUP BY series_key
+) c ON m.series_key = c.series_key
+WHERE m.model = 'seasonal_naive'""")
+def q_naive_metrics(spark, sf):
+    b = _bundle(spark, sf)
+    idx = FC.index_rows(b.base)
+    rows = FC.assign_row_folds(idx, FC.expanding_folds(b.base)).where(F.col("role") == "test")
+    pred = rows.select("series_key", "fold", F.col("revenue").alias("y"), FC.floor0("lag_7d").alias("yhat"))
+    cv = FC.cv_summary(FC.error_metrics(pred, ["series_key", "fold"]), ["series_key"])
+    hold = b.metrics.where(F.col("model") == "seasonal_naive").select(
+        "series_key", F.col("rmse").alias("holdout_rmse"), F.col("mae").alias("holdout_mae"),
+        F.col("mape").alias("holdout_mape"))
+    return hold.join(cv, "series_key")
+
+
+@register("ensemble_weights", FSEG + f"""
+SELECT series_key, model, rmse AS holdout_rmse, mae AS holdout_mae, mape AS holdout_mape,
+       {T.r('weight', 4)} AS weight FROM wts""")
+def q_ensemble_weights(spark, sf):
+    w = _bundle(spark, sf).weights
+    return w.select("series_key", "model", F.col("rmse").alias("holdout_rmse"),
+                    F.col("mae").alias("holdout_mae"), F.col("mape").alias("holdout_mape"),
+                    rh("weight", 4).alias("weight"))
+
+
+@register("ensemble_forecast", FSEG + "\nSELECT * FROM ens")
+def q_ensemble_forecast(spark, sf):
+    return _bundle(spark, sf).ensemble
+
+
+@register("ensemble_holdout", FSEG + "\nSELECT series_key, rmse, mae, mape, n_eval FROM ens_met")
+def q_ensemble_holdout(spark, sf):
+    return _bundle(spark, sf).ensemble_metrics
+
+
+@register("model_winner", FSEG + "\nSELECT * FROM win")
+def q_model_winner(spark, sf):
+    return _bundle(spark, sf).winner
+
+
+@register("model_comparison", FSEG + f"""
+SELECT x.series_key, x.model, x.holdout_rmse, x.holdout_mae, x.holdout_mape, x.weight,
+       (x.model = w.winner) AS is_winner
+FROM (
+  SELECT series_key, model, rmse AS holdout_rmse, mae AS holdout_mae, mape AS holdout_mape,
+         {T.r('weight', 4)} AS weight FROM wts
+  UNION ALL
+  SELECT series_key, 'ensemble', rmse, mae, mape, CAST(NULL AS DOUBLE) FROM ens_met
+) x JOIN win w ON x.series_key = w.series_key""")
+def q_model_comparison(spark, sf):
+    """Q5: metric rows of every model plus the ensemble, with the winner flag."""
+    b = _bundle(spark, sf)
+    singles = b.weights.select("series_key", "model", F.col("rmse").alias("holdout_rmse"),
+                               F.col("mae").alias("holdout_mae"), F.col("mape").alias("holdout_mape"),
+                               rh("weight", 4).alias("weight"))
+    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"),
+                                    F.col("rmse").alias("holdout_rmse"), F.col("mae").alias("holdout_mae"),
+                                    F.col("mape").alias("holdout_mape"),
+                                    F.lit(None).cast("double").alias("weight"))
+    return singles.unionByName(ens).join(b.winner, "series_key").select(
+        "series_key", "model", "holdout_rmse", "holdout_mae", "holdout_mape", "weight",
+        (F.col("model") == F.col("winner")).alias("is_winner"))
+
+
+@register("future_spine", FSEG + "\nSELECT series_key, date, h FROM spine")
+def q_future_spine(spark, sf):
+    from ledgerlight.operators.series import future_spine
+    base = _base(spark, sf)
+    return future_spine(FC.series_counts(base), HORIZON)
+
+
+@register("conformal_band", FSEG + "\nSELECT series_key, date, h, yhat, yhat_lower, yhat_upper FROM fc_b")
+def q_conformal_band(spark, sf):
+    return (_bundle(spark, sf).forecasts.where(F.col("model") == "moving_average")
+            .select("series_key", "date", "h", "yhat", "yhat_lower", "yhat_upper"))
+
+
+@register("future_regressors", FSEG + f""",
+lastrow AS (SELECT series_key, arg_max(avg_discount, date) AS last_disc FROM idx GROUP BY series_key),
+dates AS (
+  SELECT series_key, date FROM idx WHERE date > CAST(last_date - 90 AS DATE)
+  UNION ALL SELECT series_key, date FROM spine
+)
+SELECT d.series_key, d.date,
+       coalesce(i.is_q4, CAST(month(d.date) >= 10 AS INTEGER)) AS is_q4,
+       coalesce(i.near_holiday, 0) AS near_holiday,
+       {T.r('coalesce(i.roll_mean_28d, m.m)')} AS roll_mean_28d,
+       {T.r('coalesce(i.avg_discount, l.last_disc)', 4)} AS avg_discount
+FROM dates d LEFT JOIN lastrow l ON d.series_key = l.series_key
+LEFT JOIN m28 m ON d.series_key = m.series_key
+LEFT JOIN idx i ON d.series_key = i.series_key AND d.date = i.date""")
+def q_future_regressors(spark, sf):
+    from ledgerlight.operators.series import future_spine
+    base = _base(spark, sf)
+    hd = holdout_days(base, 90).where(F.col("split") == "holdout").select("series_key", "date")
+    dates = hd.unionByName(future_spine(FC.series_counts(base), HORIZON).select("series_key", "date"))
+    out = FC.future_regressors(base, dates)
+    return rounded(out, {"roll_mean_28d": 2, "avg_discount": 4})
+
+
+@register("forecast_head", FSEG + f"""
+SELECT series_key, model, date, yhat, yhat_lower, yhat_upper FROM (
+  SELECT series_key, model, date, yhat, yhat_lower, yhat_upper,
+         row_number() OVER (PARTITION BY series_key, model ORDER BY date) AS rn
+  FROM (
+    SELECT series_key, model, date, {T.r('yhat')} AS yhat, yhat_lower, yhat_upper FROM fc
+    UNION ALL
+    SELECT series_key, 'ensemble', date, yhat_ensemble,
+           {T.r('coalesce(ensemble_lower, yhat_ensemble * 0.85)')},
+           {T.r('coalesce(ensemble_upper, yhat_ensemble * 1.15)')} FROM ens
+  )
+) WHERE rn <= 30""")
+def q_forecast_head(spark, sf):
+    """First 30 days of each model's forecast; the ensemble band
+    falls back to +-15 % where it is missing."""
+    b = _bundle(spark, sf)
+    singles = b.forecasts.select("series_key", "model", "date", rh("yhat", 2).alias("yhat"),
+                                 "yhat_lower", "yhat_upper")
+    ens = b.ensemble.select(
+        "series_key", F.lit("ensemble").alias("model"), "date", F.col("yhat_ensemble").alias("yhat"),
+        rh(F.coalesce("ensemble_lower", F.col("yhat_ensemble") * 0.85), 2).alias("yhat_lower"),
+        rh(F.coalesce("ensemble_upper", F.col("yhat_ensemble") * 1.15), 2).alias("yhat_upper"))
+    return FC.head_per_group(singles.unionByName(ens), ["series_key", "model"], 30)
+
+
+@register("chart_series", FSEG + """
+SELECT series_key, date, revenue AS actual, CAST(NULL AS DOUBLE) AS forecast, CAST(NULL AS DOUBLE) AS lower,
+       CAST(NULL AS DOUBLE) AS upper, CAST(NULL AS DOUBLE) AS overlay
+FROM idx WHERE rn > n - 30
+UNION ALL
+SELECT e.series_key, e.date, NULL, e.yhat_ensemble, e.ensemble_lower,
+       greatest(e.ensemble_upper, e.yhat_ensemble), a.yhat
+FROM ens e LEFT JOIN fc_a a ON e.series_key = a.series_key AND e.date = a.date""")
+def q_chart_series(spark, sf):
+    """U2 + J14: last 30 actuals and the ensemble forecast as one series, the
+    upper band raised to at least the forecast, the naive forecast overlaid."""
+    b = _bundle(spark, sf)
+    idx = FC.index_rows(b.base).where(F.col("rn") > F.col("n") - 30)
+    actual = idx.select("series_key", "date", F.col("revenue").alias("actual"))
+    over = b.forecasts.where(F.col("model") == "seasonal_naive").select(
+        "series_key", "date", F.col("yhat").alias("overlay"))
+    fc = b.ensemble.join(over, ["series_key", "date"], "left").select(
+        "series_key", "date", F.col("yhat_ensemble").alias("forecast"),
+        F.col("ensemble_lower").alias("lower"),
+        F.greatest("ensemble_upper", "yhat_ensemble").alias("upper"), "overlay")
+    return actual.unionByName(fc, allowMissingColumns=True).select(
+        "series_key", "date", "actual", "forecast", "lower", "upper", "overlay")
+
+
+@register("impute_median", FSEG + f""",
+meds AS (SELECT series_key, quantile_cont(lag_56d, 0.5) AS m56, quantile_cont(lag_28d, 0.5) AS m28
+         FROM feat GROUP BY series_key)
+SELECT f.series_key, f.date, {T.r('coalesce(f.lag_56d, m.m56)')} AS lag_56d,
+       {T.r('coalesce(f.lag_28d, m.m28)')} AS lag_28d
+FROM feat f JOIN meds m ON f.series_key = m.series_key""")
+def q_impute_median(spark, sf):
+    f = _features(spark, sf, "segment", pivots=False).select("series_key", "date", "lag_56d", "lag_28d")
+    return rounded(impute_median(f, ["lag_56d", "lag_28d"]), {"lag_56d": 2, "lag_28d": 2})

@@ -322,3 +322,90 @@ def ewm_expr(prev: str = "_prev") -> str:
     b = repr(1.0 - EWM_ALPHA)
     return (f"CASE WHEN len({prev}) > 0 THEN list_reduce({prev}, "
             f"lambda acc, x: acc * {b} + x * {a}) END")
+
+
+def forecast_ctes(horizon: int = 90, holdout: int = 90) -> str:
+    """Twin of ``plans.forecasting.evaluate`` on top of ``feat``."""
+    H = horizon
+    e = "(y - yhat)"
+    return f""",
+base AS (SELECT * FROM feat WHERE lag_56d IS NOT NULL),
+idx AS (
+  SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date) AS rn,
+         count(*) OVER (PARTITION BY series_key) AS n,
+         max(date) OVER (PARTITION BY series_key) AS last_date
+  FROM base
+),
+ho AS (
+  SELECT series_key, date, revenue AS y, greatest(lag_7d, 0.0) AS yhat, 'seasonal_naive' AS model
+  FROM idx WHERE rn > n - {holdout}
+  UNION ALL
+  SELECT series_key, date, revenue AS y, greatest(roll_mean_28d, 0.0) AS yhat, 'moving_average' AS model
+  FROM idx WHERE date > CAST(last_date - {holdout} AS DATE)
+),
+met AS (
+  SELECT series_key, model, {r(f'sqrt(avg({e} * {e}))')} AS rmse,
+         {r(r(f'sum(abs({e}))') + ' / count(*)')} AS mae,
+         {r(f'avg(abs({e}) / greatest(y, 1.0)) * 100')} AS mape, count(*) AS n_eval
+  FROM ho GROUP BY series_key, model
+),
+wts AS (SELECT *, (1.0 / rmse) / sum(1.0 / rmse) OVER (PARTITION BY series_key) AS weight FROM met),
+nm AS (SELECT series_key, count(*) AS m FROM wts GROUP BY series_key),
+last_info AS (SELECT DISTINCT series_key, last_date, n FROM idx),
+spine AS (
+  SELECT s.series_key, CAST(s.last_date + CAST(t.h AS INTEGER) AS DATE) AS date, CAST(t.h AS INTEGER) AS h, s.n
+  FROM last_info s, range(1, {H + 1}) t(h)
+),
+fc_a AS (
+  SELECT sp.series_key, sp.date, sp.h, greatest(i.revenue, 0.0) AS yhat
+  FROM spine sp JOIN idx i ON sp.series_key = i.series_key AND i.rn = sp.n - 7 + ((sp.h - 1) % 7) + 1
+),
+m28 AS (
+  SELECT series_key, {r('sum(revenue)')} / count(revenue) AS m FROM idx WHERE rn > n - 28 GROUP BY series_key
+),
+alpha AS (
+  SELECT series_key, quantile_cont(abs(y - yhat), 0.9) AS a FROM ho WHERE model = 'moving_average'
+  GROUP BY series_key
+),
+fc_b AS (
+  SELECT sp.series_key, sp.date, sp.h, greatest(m.m, 0.0) AS yhat,
+         {r(f'greatest(greatest(m.m, 0.0) - a.a * (1.0 + 0.5 * (CAST(sp.h - 1 AS DOUBLE) / {float(H - 1)})), 0.0)')} AS yhat_lower,
+         {r(f'greatest(m.m, 0.0) + a.a * (1.0 + 0.5 * (CAST(sp.h - 1 AS DOUBLE) / {float(H - 1)}))')} AS yhat_upper
+  FROM spine sp JOIN m28 m ON sp.series_key = m.series_key LEFT JOIN alpha a ON sp.series_key = a.series_key
+),
+fc AS (
+  SELECT series_key, date, h, yhat, 'seasonal_naive' AS model, CAST(NULL AS DOUBLE) AS yhat_lower,
+         CAST(NULL AS DOUBLE) AS yhat_upper FROM fc_a
+  UNION ALL
+  SELECT series_key, date, h, yhat, 'moving_average' AS model, yhat_lower, yhat_upper FROM fc_b
+),
+ens AS (
+  SELECT g.series_key, g.date, {r('g.y')} AS yhat_ensemble,
+         {r('greatest(g.lo * 0.95, 0.0)')} AS ensemble_lower, {r('g.hi * 1.05')} AS ensemble_upper
+  FROM (
+    SELECT f.series_key, f.date, sum(w.weight * f.yhat) AS y, count(*) AS k,
+           max(CASE WHEN f.model = 'moving_average' THEN f.yhat_lower END) AS lo,
+           max(CASE WHEN f.model = 'moving_average' THEN f.yhat_upper END) AS hi
+    FROM fc f JOIN wts w ON f.series_key = w.series_key AND f.model = w.model
+    GROUP BY f.series_key, f.date
+  ) g JOIN nm ON g.series_key = nm.series_key WHERE g.k = nm.m
+),
+eh AS (
+  SELECT g.series_key, g.date, g.y, g.yhat FROM (
+    SELECT h.series_key, h.date, sum(w.weight * h.yhat) AS yhat, first(h.y) AS y, count(*) AS k
+    FROM ho h JOIN wts w ON h.series_key = w.series_key AND h.model = w.model
+    GROUP BY h.series_key, h.date
+  ) g JOIN nm ON g.series_key = nm.series_key WHERE g.k = nm.m
+),
+ens_met AS (
+  SELECT series_key, {r(f'sqrt(avg({e} * {e}))')} AS rmse,
+         {r(r(f'sum(abs({e}))') + ' / count(*)')} AS mae,
+         {r(f'avg(abs({e}) / greatest(y, 1.0)) * 100')} AS mape, count(*) AS n_eval
+  FROM eh GROUP BY series_key
+),
+win AS (
+  SELECT b.series_key, CASE WHEN e.rmse < b.best_rmse THEN 'ensemble' ELSE b.best END AS winner
+  FROM (SELECT series_key, arg_min(model, (rmse, model)) AS best, min(rmse) AS best_rmse
+        FROM met GROUP BY series_key) b
+  LEFT JOIN ens_met e ON b.series_key = e.series_key
+)"""
