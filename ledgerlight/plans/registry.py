@@ -91,7 +91,12 @@ def _breakdowns(spark, sf):
 
 
 def _features(spark, sf, series=None, pivots=True):
-    return daily_features(_fact(spark, sf), series, _breakdowns(spark, sf) if pivots else None)
+    """Daily feature table per series, written once per session as a stage
+    table (every window, forecast and report query reads it)."""
+    from ledgerlight.plans.stages import stage
+    return stage(spark, ("features", sf, series, pivots),
+                 lambda: daily_features(_fact(spark, sf), series,
+                                        _breakdowns(spark, sf) if pivots else None))
 
 
 def _daily(spark, sf, series=None):
@@ -664,3 +669,159 @@ FROM feat f JOIN meds m ON f.series_key = m.series_key""")
 def q_impute_median(spark, sf):
     f = _features(spark, sf, "segment", pivots=False).select("series_key", "date", "lag_56d", "lag_28d")
     return rounded(impute_median(f, ["lag_56d", "lag_28d"]), {"lag_56d": 2, "lag_28d": 2})
+
+
+# ---------------------------------------------------------- served
+from ledgerlight.plans import served as S  # noqa: E402
+
+
+def _actuals_sql(gran: str) -> str:
+    if gran == "daily":
+        agg = "SELECT date, revenue AS value FROM f"
+    else:
+        unit = "week" if gran == "weekly" else "month"
+        agg = f"SELECT CAST(date_trunc('{unit}', date) AS DATE) AS date, {T.r('sum(revenue)')} AS value FROM f GROUP BY 1"
+    return P + T.daily_cte() + f""",
+b AS (SELECT CAST(max(date) - 180 AS DATE) AS s, max(date) AS e FROM daily),
+f AS (SELECT d.date, d.revenue FROM daily d, b WHERE d.date BETWEEN b.s AND b.e),
+agg AS ({agg})
+SELECT a.date, a.value, s.total, s.mean, s.std
+FROM agg a, (SELECT {T.r('sum(value)')} AS total, {T.r(T.r('sum(value)') + ' / count(value)')} AS mean,
+                    {T.r('stddev_samp(value)')} AS std FROM agg) s"""
+
+
+for _g in S.GRANULARITIES:
+    def _mk(g):
+        def q(spark, sf):
+            return S.actuals(_daily(spark, sf), g)
+        return q
+    register(f"actuals_{_g}", _actuals_sql(_g))(_mk(_g))
+
+
+_TOT_FACT_STATS = f"""
+  (SELECT count(DISTINCT customer_id) FROM fact) AS n_customers,
+  (SELECT count(DISTINCT product_id) FROM fact) AS n_products,
+  (SELECT count(*) FROM fact) AS n_transactions"""
+
+
+@register("kpis", FTOT + f"""
+SELECT {T.r('sum(revenue)')} AS total_revenue,
+       {T.r(T.r('sum(revenue)') + ' / count(revenue)')} AS avg_daily_revenue,
+       {T.r('stddev_samp(revenue)')} AS revenue_std,
+       {T.r(T.r('sum(gp_margin)', 4) + ' / count(gp_margin) * 100')} AS gp_margin_pct,
+       {T.r(T.r('sum(recurring_share)', 4) + ' / count(recurring_share) * 100')} AS recurring_share_pct,
+       {T.r('avg(avg_discount) * 100')} AS discount_rate_pct,
+       min(date) AS date_range_start, max(date) AS date_range_end,
+       {_TOT_FACT_STATS},
+       (SELECT {T.r('coalesce(sum(yhat_ensemble), 0.0)')} FROM ens) AS forecast_revenue_90d
+FROM daily""")
+def q_kpis(spark, sf):
+    b = _bundle(spark, sf, None)
+    return S.kpis(_daily(spark, sf), _fact(spark, sf), b.ensemble)
+
+
+def _share_sql(by: str) -> str:
+    return P + f""",
+g AS (SELECT {by}, {T.r('sum(revenue)')} AS revenue, count(*) AS n_transactions
+      FROM fact WHERE {by} IS NOT NULL GROUP BY {by})
+SELECT {by}, revenue, n_transactions, {T.r('revenue / (SELECT ' + T.r('sum(revenue)') + ' FROM g) * 100')} AS share_pct
+FROM g"""
+
+
+@register("segments", _share_sql("segment"))
+def q_segments(spark, sf):
+    return S.segments(_fact(spark, sf))
+
+
+@register("category_share", _share_sql("category"))
+def q_category_share(spark, sf):
+    return R.share_of_total(_fact(spark, sf), "category")
+
+
+@register("freshness", P + "\nSELECT count(*) AS n_rows, max(date) AS last_date FROM fact")
+def q_freshness(spark, sf):
+    return S.freshness(_fact(spark, sf))
+
+
+_MONTHLY_SQL = P + f""",
+mon AS (SELECT strftime(date, '%Y-%m') AS month, {T.r('sum(revenue)')} AS revenue FROM fact GROUP BY 1)"""
+
+
+@register("best_worst_month", _MONTHLY_SQL + """
+SELECT month, revenue,
+       CASE WHEN revenue = (SELECT max(revenue) FROM mon) THEN 'best'
+            WHEN revenue = (SELECT min(revenue) FROM mon) THEN 'worst' ELSE '' END AS marker
+FROM mon""")
+def q_best_worst_month(spark, sf):
+    return R.best_worst(R.monthly_revenue(_fact(spark, sf)), "revenue", "month")
+
+
+def _money_short_sql(v: str) -> str:
+    return (f"CASE WHEN {v} >= 1000000 THEN printf('$%.2fM', {T.r(v + ' / 1000000', 2)}) "
+            f"WHEN {v} >= 1000 THEN printf('$%.1fk', {T.r(v + ' / 1000', 1)}) "
+            f"ELSE printf('$%.0f', {T.r(v, 0)}) END")
+
+
+@register("money_format", _MONTHLY_SQL + f"""
+SELECT month, revenue, {_money_short_sql('revenue')} AS revenue_label,
+       strftime(CAST(month || '-01' AS DATE), '%b %y') AS month_label
+FROM mon""")
+def q_money_format(spark, sf):
+    return S.month_labels(R.monthly_revenue(_fact(spark, sf)))
+
+
+@register("segment_exposure", FTOT + f""",
+g AS (SELECT segment, {T.r('sum(revenue)')} AS revenue FROM fact WHERE segment IS NOT NULL GROUP BY segment),
+sh AS (SELECT segment, {T.r('revenue / (SELECT ' + T.r('sum(revenue)') + ' FROM g) * 100')} AS share_pct FROM g),
+tot AS (SELECT {T.r('sum(yhat_ensemble)')} AS forecast_total FROM ens)
+SELECT segment, share_pct, forecast_total, {T.r('forecast_total * share_pct / 100')} AS projected,
+       {_money_short_sql(T.r('forecast_total * share_pct / 100'))} AS projected_label
+FROM sh, tot""")
+def q_segment_exposure(spark, sf):
+    return S.segment_exposure(_fact(spark, sf), _bundle(spark, sf, None).ensemble)
+
+
+def _title_pct(fmt_sql: str) -> str:
+    return fmt_sql
+
+
+@register("insights", FTOT + f""",
+lastd AS (SELECT max(date) AS l FROM daily),
+st AS (
+  SELECT
+    (SELECT {T.r('sum(revenue)')} / count(revenue) FROM daily, lastd WHERE date >= CAST(l - 30 AS DATE)) AS recent_mean,
+    (SELECT {T.r('sum(revenue)')} / count(revenue) FROM daily, lastd
+      WHERE date >= CAST(l - 60 AS DATE) AND date < CAST(l - 30 AS DATE)) AS prior_mean,
+    (SELECT avg(avg_discount) FROM daily, lastd WHERE date >= CAST(l - 30 AS DATE)) AS recent_disc,
+    (SELECT {T.r('sum(revenue)')} / count(revenue) FROM daily WHERE isodow(date) - 1 < 5) AS weekday_mean,
+    (SELECT {T.r('sum(revenue)')} / count(revenue) FROM daily WHERE isodow(date) - 1 >= 5) AS weekend_mean,
+    (SELECT {T.r('sum(revenue)')} / count(revenue) FROM
+       (SELECT revenue FROM daily ORDER BY date DESC LIMIT 30)) AS actual_mean,
+    (SELECT {T.r('sum(yhat_ensemble)')} / count(yhat_ensemble) FROM ens) AS forecast_mean,
+    (SELECT l FROM lastd) AS last_date
+),
+calc AS (
+  SELECT *, (recent_mean - prior_mean) / prior_mean * 100 AS pct,
+         (forecast_mean - actual_mean) / actual_mean * 100 AS uplift,
+         weekday_mean / greatest(coalesce(weekend_mean, 1.0), 1.0) AS ratio
+  FROM st
+)
+SELECT CASE WHEN pct > 0 THEN 'trend' ELSE 'risk' END AS type,
+       printf('Revenue trending %s %.1f%%', CASE WHEN pct > 0 THEN 'up' ELSE 'down' END, {T.r('abs(pct)', 1)}) AS title,
+       'revenue_30d_change_pct' AS metric, {T.r('pct')} AS value
+FROM calc WHERE recent_mean IS NOT NULL AND prior_mean IS NOT NULL
+UNION ALL
+SELECT 'risk', printf('High discount intensity: %.1f%%', {T.r('recent_disc * 100', 1)}), 'avg_discount_30d',
+       {T.r('recent_disc * 100')} FROM calc WHERE recent_disc > 0.15
+UNION ALL
+SELECT CASE WHEN uplift > 0 THEN 'opportunity' ELSE 'risk' END,
+       printf('90-day forecast %s recent run-rate', CASE WHEN uplift > 0 THEN 'above' ELSE 'below' END),
+       'forecast_vs_actuals_pct', {T.r('uplift')} FROM calc WHERE forecast_mean IS NOT NULL
+UNION ALL
+SELECT 'info', printf('Weekday revenue %.1fx higher than weekends', {T.r('ratio', 1)}), 'weekday_weekend_ratio',
+       {T.r('ratio')} FROM calc WHERE ratio > 1.5
+UNION ALL
+SELECT 'opportunity', 'Q4 seasonal uplift approaching', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+FROM calc WHERE month(last_date) IN (8, 9)""")
+def q_insights(spark, sf):
+    return S.insights(_daily(spark, sf), _bundle(spark, sf, None).ensemble)
