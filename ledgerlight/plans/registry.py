@@ -825,3 +825,55 @@ SELECT 'opportunity', 'Q4 seasonal uplift approaching', CAST(NULL AS VARCHAR), C
 FROM calc WHERE month(last_date) IN (8, 9)""")
 def q_insights(spark, sf):
     return S.insights(_daily(spark, sf), _bundle(spark, sf, None).ensemble)
+
+
+# ---------------------------------------------------------- MLlib models (M1, M3, M4, M6, M7; rows-only)
+from ledgerlight.operators import ridge as RG  # noqa: E402
+from ledgerlight.operators import trees as TR  # noqa: E402
+
+_MODELS: dict = {}
+TREE_HORIZON = 14
+
+
+def _tree(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        _MODELS[key] = TR.holdout_eval(_base(spark, sf))
+    return _MODELS[key]
+
+
+@register("tree_holdout")
+def q_tree_holdout(spark, sf):
+    """M1: one GBT over all segment series, scored on each series' last 90 rows."""
+    return _tree(spark, sf)[2]
+
+
+@register("tree_importance")
+def q_tree_importance(spark, sf):
+    """Feature importances, top 20, relative to the top one."""
+    return TR.importance(spark, _tree(spark, sf)[0])
+
+
+@register("tree_forecast")
+def q_tree_forecast(spark, sf):
+    """Recursive forecast, every series in parallel, 14 steps."""
+    from ledgerlight.sources.holidays import us_holidays, years_spanned
+    base = _base(spark, sf)
+    hol = us_holidays(years_spanned(base, pad=1))
+    return TR.recursive_forecast(spark, _tree(spark, sf)[0], base, hol, TREE_HORIZON)
+
+
+@register("ridge_lift")
+def q_ridge_lift(spark, sf):
+    """Ridge (alpha 1) of the moving-average model's in-sample
+    residuals on the four regressors, applied to its future forecast."""
+    from ledgerlight.operators.series import future_spine
+    base = _base(spark, sf)
+    fitted = FC.moving_average_in_sample(base).join(
+        base.select("series_key", "date", *RG.REGRESSORS), ["series_key", "date"])
+    coefs = RG.fit_residual_ridge(fitted)
+    fc = FC.last_n_mean_future(base, HORIZON)
+    dates = future_spine(FC.series_counts(base), HORIZON).select("series_key", "date")
+    regs = FC.future_regressors(base, dates)
+    out = RG.apply_correction(fc, regs, coefs)
+    return out.select("series_key", "date", "h", rh("yhat", 2).alias("yhat"))
