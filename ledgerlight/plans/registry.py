@@ -877,3 +877,53 @@ def q_ridge_lift(spark, sf):
     regs = FC.future_regressors(base, dates)
     out = RG.apply_correction(fc, regs, coefs)
     return out.select("series_key", "date", "h", rh("yhat", 2).alias("yhat"))
+
+
+# ---------------------------------------------------------- seasonal decomposition
+from ledgerlight.operators.decompose import seasonal_forecast  # noqa: E402
+
+
+def _decomp_sql(periods=(7, 365), horizon=HORIZON) -> str:
+    parts = [""",
+dd0 AS (SELECT series_key, date, revenue AS d, date_diff('day', DATE '1970-01-01', date) AS pos, n FROM idx)"""]
+    prev = "dd0"
+    for p in periods:
+        half = (p - 1) // 2
+        w = f"(PARTITION BY series_key ORDER BY date ROWS BETWEEN {half} PRECEDING AND {p - 1 - half} FOLLOWING)"
+        parts.append(f""",
+tr{p} AS (
+  SELECT *, CASE WHEN count(d) OVER {w} = {p}
+                 THEN {T.r(f'sum(d) OVER {w}')} / count(d) OVER {w} END AS tr
+  FROM {prev}
+),
+raw{p} AS (
+  SELECT series_key, pos % {p} AS slot, {T.r('sum(d - tr)')} / count(d) AS raw
+  FROM tr{p} WHERE tr IS NOT NULL AND n >= {2 * p} GROUP BY series_key, pos % {p}
+),
+ix{p} AS (SELECT series_key, slot, raw - avg(raw) OVER (PARTITION BY series_key) AS s FROM raw{p}),
+ds{p} AS (
+  SELECT t.series_key, t.date, t.d - coalesce(i.s, 0.0) AS d, t.pos, t.n
+  FROM tr{p} t LEFT JOIN ix{p} i ON t.series_key = i.series_key AND t.pos % {p} = i.slot
+)""")
+        prev = f"ds{p}"
+    adds = " + ".join(f"coalesce(i{p}.s, 0.0)" for p in periods)
+    joins = "\n".join(
+        f"LEFT JOIN ix{p} i{p} ON sp.series_key = i{p}.series_key "
+        f"AND date_diff('day', DATE '1970-01-01', sp.date) % {p} = i{p}.slot" for p in periods)
+    parts.append(f""",
+tailr AS (
+  SELECT x.series_key, x.d, CAST(date_diff('day', l.last_date, x.date) AS DOUBLE) AS xo
+  FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date DESC) AS rnd FROM {prev}) x
+  JOIN last_info l ON x.series_key = l.series_key WHERE x.rnd <= 90
+),
+line AS (SELECT series_key, regr_slope(d, xo) AS slope, regr_intercept(d, xo) AS icpt FROM tailr GROUP BY series_key)
+SELECT sp.series_key, sp.date, sp.h,
+       {T.r(f'greatest(coalesce(ln.icpt, 0.0) + coalesce(ln.slope, 0.0) * sp.h + {adds}, 0.0)')} AS yhat
+FROM spine sp JOIN line ln ON sp.series_key = ln.series_key
+{joins}""")
+    return "".join(parts)
+
+
+@register("seasonal_forecast", FSEG + _decomp_sql())
+def q_seasonal_forecast(spark, sf):
+    return seasonal_forecast(_base(spark, sf), HORIZON)
