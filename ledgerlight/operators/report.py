@@ -186,3 +186,12 @@ def best_worst(df: DataFrame, value: str, key: str) -> DataFrame:
         key, value,
         F.when(F.col(value) == F.col("_max"), "best")
          .when(F.col(value) == F.col("_min"), "worst").otherwise("").alias("marker"))
+
+
+def long_form(df: DataFrame, section: str, metrics: Sequence[str], key_col: str | None = None) -> DataFrame:
+    """Unpivot a section into (section, key, metric, value)."""
+    key = F.col(key_col).cast("string") if key_col else F.lit("")
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+                      for m in metrics])
+    return (df.select(F.lit(section).alias("section"), key.alias("key"), F.explode(pairs).alias("_m"))
+              .select("section", "key", "_m.metric", "_m.value"))

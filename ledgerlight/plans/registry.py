@@ -927,3 +927,79 @@ FROM spine sp JOIN line ln ON sp.series_key = ln.series_key
 @register("seasonal_forecast", FSEG + _decomp_sql())
 def q_seasonal_forecast(spark, sf):
     return seasonal_forecast(_base(spark, sf), HORIZON)
+
+
+# ---------------------------------------------------------- long-form EDA report (Q7)
+_OV = ["total_transactions", "total_revenue", "total_customers", "total_products",
+       "avg_daily_revenue", "median_daily_revenue", "revenue_std"]
+_DISC = ["avg_discount_pct", "pct_transactions_discounted", "revenue_at_zero_discount", "revenue_with_discount"]
+_PROF = ["avg_gp_margin_pct", "total_gross_profit", "recurring_rev_share"]
+_OUT = ["p1_daily_revenue", "p99_daily_revenue", "days_above_p99", "days_below_p01"]
+
+
+def _body(name: str, prefix: str) -> str:
+    sql = ORACLE[name]
+    assert sql.startswith(prefix), name
+    return sql[len(prefix):]
+
+
+def _eda_report_sql() -> str:
+    pre = feat_sql(None, PIVOTS_SQL)
+    pd_ = P + T.daily_cte()
+    ctes = {
+        "ov": _body("eda_overview", pd_), "seg": _body("eda_by_segment", P), "cat": _body("eda_by_category", P),
+        "mon": _body("eda_monthly", P), "dow": _body("eda_dow", pd_), "moy": _body("eda_month", pd_),
+        "disc": _body("eda_discount", P), "prof": _body("eda_profit", pd_),
+    }
+    out = pre + ",\n" + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + f""",
+qq AS (SELECT quantile_cont(revenue, 0.01) AS p01, quantile_cont(revenue, 0.99) AS p99 FROM daily),
+outl AS (
+  SELECT {T.r('qq.p01')} AS p1_daily_revenue, {T.r('qq.p99')} AS p99_daily_revenue,
+         CAST(sum(CASE WHEN d.revenue > qq.p99 THEN 1 ELSE 0 END) AS BIGINT) AS days_above_p99,
+         CAST(sum(CASE WHEN d.revenue < qq.p01 THEN 1 ELSE 0 END) AS BIGINT) AS days_below_p01
+  FROM daily d, qq GROUP BY qq.p01, qq.p99
+),
+cc AS ({_corr_sql(FEATURE_NUMERIC)}),
+corr15 AS (SELECT feature, corr FROM cc ORDER BY abs(corr) DESC NULLS LAST, feature LIMIT 15)
+"""
+    branches = []
+
+    def add(src, section, metrics, key=None):
+        k = f"CAST({key} AS VARCHAR)" if key else "''"
+        for m in metrics:
+            branches.append(f"SELECT '{section}' AS section, {k} AS key, '{m}' AS metric, "
+                            f"CAST({m} AS DOUBLE) AS value FROM {src}")
+    add("ov", "overview", _OV)
+    add("seg", "by_segment", ["total", "avg_order", "count"], "segment")
+    add("cat", "by_category", ["total", "avg_order", "count"], "category")
+    add("mon", "monthly_revenue", ["revenue"], "month")
+    add("dow", "avg_revenue_by_dow", ["avg_revenue"], "dow_name")
+    add("moy", "avg_revenue_by_month", ["avg_revenue"], "month")
+    add("disc", "discount_analysis", _DISC)
+    add("prof", "profitability", _PROF)
+    add("corr15", "top_correlated_features", ["corr"], "feature")
+    add("outl", "outliers", _OUT)
+    return out + "\nUNION ALL ".join(branches)
+
+
+@register("eda_report", _eda_report_sql())
+def q_eda_report(spark, sf):
+    fact = _fact(spark, sf)
+    daily = aggregate_daily(fact)
+    parts = [
+        R.long_form(R.overview(fact, daily), "overview", _OV),
+        R.long_form(R.group_summary(fact, "segment"), "by_segment", ["total", "avg_order", "count"], "segment"),
+        R.long_form(R.group_summary(fact, "category"), "by_category", ["total", "avg_order", "count"], "category"),
+        R.long_form(R.monthly_revenue(fact), "monthly_revenue", ["revenue"], "month"),
+        R.long_form(R.mean_by_day_name(daily), "avg_revenue_by_dow", ["avg_revenue"], "dow_name"),
+        R.long_form(R.mean_by_month(daily), "avg_revenue_by_month", ["avg_revenue"], "month"),
+        R.long_form(R.discount_analysis(fact), "discount_analysis", _DISC),
+        R.long_form(R.profitability(fact, daily), "profitability", _PROF),
+        R.long_form(R.correlations(_features(spark, sf), "revenue", FEATURE_NUMERIC, top=15),
+                    "top_correlated_features", ["corr"], "feature"),
+        R.long_form(R.outliers(daily), "outliers", _OUT),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
