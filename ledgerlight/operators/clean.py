@@ -65,11 +65,11 @@ def revenue_caps(df: DataFrame, q: float = 0.995) -> DataFrame:
 def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float, materialize=None):
     deduped = keep_first(txn, "transaction_id", order_cols)
     typed = coerce_types(deduped)
+    if materialize is not None:
+        # later steps (caps, fact, audit) read this several times
+        typed = materialize(typed)
     # pandas keeps a null revenue at this filter (NaN <= 0 is False)
     positive = typed.where(F.col("revenue").isNull() | (F.col("revenue") > 0))
-    if materialize is not None:
-        # the caps read this table three times and the fact once more
-        positive = materialize(positive)
     caps = revenue_caps(positive, cap_q)
     capped = positive.join(caps, "category", "left").withColumn(
         "revenue", F.when(F.col("revenue").isNotNull(),
@@ -128,13 +128,15 @@ def clean_all(customers: DataFrame, products: DataFrame, txn: DataFrame,
 
 
 def clean_audit(txn: DataFrame, customers: DataFrame, products: DataFrame,
-                order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995) -> DataFrame:
+                order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995,
+                materialize=None, kept: DataFrame | None = None) -> DataFrame:
     """One row with the count removed at each step and the revenue mean
-    before and after capping."""
-    deduped, typed, positive, capped, non_null, final = _stages(txn, order_cols, cap_q)
-    c = clean_customers(customers)
-    p = clean_products(products)
-    kept = enforce_referential_integrity(final, c, p)
+    before and after capping.  ``materialize`` / ``kept`` let the pipeline
+    pass its stage tables so nothing is recomputed."""
+    deduped, typed, positive, capped, non_null, final = _stages(txn, order_cols, cap_q, materialize)
+    deduped = typed  # coercion is row for row; count the (possibly staged) typed table
+    if kept is None:
+        kept = enforce_referential_integrity(final, clean_customers(customers), clean_products(products))
 
     def n(df, name):
         return df.agg(F.count(F.lit(1)).alias(name))

@@ -4,6 +4,14 @@
 group in one task, so a hot group (a third of all rows) would not fit.  This
 operator gets the same exact answer in three distributed steps:
 
+0. Groups of at most ``accuracy`` values (the usual case: products,
+   categories at small scale) are ranked with one window; the partition size
+   is bounded by the threshold, so no task sorts an unbounded group.  One
+   scalar (the largest group's size) is read to plan: when no group is
+   larger, ranking and counting share one shuffle.
+
+For larger groups:
+
 1. ``percentile_approx`` per group (a mergeable sketch, partial-aggregated on
    the map side, bounded memory) gives a bracket ``[lo, hi]`` around each
    target rank.
@@ -91,14 +99,63 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     src = df.withColumn("_g", F.lit(0)) if is_global else df
     vals = src.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
 
+    counts = vals.groupBy(*group_cols).agg(F.count("_v").alias("_n"))
+    # One scalar decides the plan: the size of the largest group.
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    if largest <= accuracy:
+        both = _small_groups(vals, None, group_cols, qs, is_global)
+    else:
+        small = _small_groups(vals, counts.where(F.col("_n") <= F.lit(accuracy)), group_cols, qs, is_global)
+        big = _bracketed(vals, counts.where(F.col("_n") > F.lit(accuracy)), group_cols, qs, accuracy,
+                         is_global)
+        both = small.unionByName(big)
+    out = both.groupBy(*group_cols).agg(*[
+        F.max(F.when(F.col("_pid") == i, F.col("_val"))).alias(name)
+        for i, name in enumerate(names)
+    ])
+    return out.drop("_g") if is_global else out
+
+
+def _small_groups(vals: DataFrame, counts: DataFrame, group_cols, qs, is_global) -> DataFrame:
+    """Groups of at most ``accuracy`` values: rank every value with one
+    window (the partition size is bounded by the threshold) and interpolate
+    between ranks floor(q(n-1)) and the next one."""
+    w = Window.partitionBy(*group_cols).orderBy("_v")
+    if counts is None:
+        # every group is bounded: rank and count in one window pass
+        ranked = vals.withColumns({"_r": F.row_number().over(w) - 1,
+                                   "_n": F.count(F.lit(1)).over(Window.partitionBy(*group_cols))})
+    else:
+        j = vals.join(F.broadcast(counts) if is_global else counts, group_cols, "inner")
+        ranked = j.withColumn("_r", F.row_number().over(w) - 1)
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = (F.col("_n") - 1).cast("double") * F.lit(q)
+        k = F.floor(pos)
+        k1 = F.least(k + 1, F.col("_n") - 1)
+        aggs += [F.max(F.when(F.col("_r") == k, F.col("_v"))).alias(f"_a{i}"),
+                 F.max(F.when(F.col("_r") == k1, F.col("_v"))).alias(f"_b{i}"),
+                 F.first(pos - k).alias(f"_f{i}")]
+    g = ranked.groupBy(*group_cols).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(i).alias("_pid"),
+                              (F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}")))
+                              .alias("_val")) for i in range(len(qs))])
+    return g.select(*group_cols, F.explode(rows).alias("_e")).select(*group_cols, "_e._pid", "_e._val")
+
+
+def _bracketed(vals: DataFrame, counts: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
+    """Groups above ``accuracy`` values: sketch bracket, then rank only the
+    distinct values inside it (see the module docstring)."""
+    eps = 1.0 / accuracy
+    delta = 4.0 * eps
     lo_qs = [max(0.0, q - delta) for q in qs]
     hi_qs = [min(1.0, q + delta) for q in qs]
-    stats = vals.groupBy(*group_cols).agg(
-        F.count("_v").alias("_n"),
+    big_vals = vals.join(F.broadcast(counts) if is_global else counts, group_cols, "inner")
+    stats = big_vals.groupBy(*group_cols).agg(
+        F.first("_n").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_qs]), accuracy).alias("_lo"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_qs]), accuracy).alias("_hi"),
     )
-    # one row per (group, probability)
     per_prob = stats.select(
         *group_cols, "_n",
         F.explode(F.arrays_zip(
@@ -107,23 +164,11 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
             F.col("_lo").alias("_lo"), F.col("_hi").alias("_hi"),
         )).alias("_z"),
     ).select(*group_cols, "_n", "_z._pid", "_z._q", "_z._lo", "_z._hi")
-    # Groups of at most ``accuracy`` values use their whole range as the
-    # bracket (bounded size); above that the margin 4n/accuracy is at least
-    # four ranks, larger than the sketch's rank error.
-    small = F.col("_n") <= F.lit(accuracy)
-    per_prob = per_prob.withColumns({
-        "_lo": F.when(small, F.lit(float("-inf"))).otherwise(F.col("_lo")),
-        "_hi": F.when(small, F.lit(float("inf"))).otherwise(F.col("_hi")),
-    })
     pos = (F.col("_n") - 1).cast("double") * F.col("_q")
-    per_prob = per_prob.withColumns({
-        "_k": F.floor(pos),
-        "_frac": pos - F.floor(pos),
-    })
-
+    per_prob = per_prob.withColumns({"_k": F.floor(pos), "_frac": pos - F.floor(pos)})
     joined = vals.join(F.broadcast(per_prob) if is_global else per_prob, group_cols, "inner")
-    keys = group_cols + ["_pid"]
-    # Values below the bracket collapse into one null-keyed row per group.
+    keys = list(group_cols) + ["_pid"]
+    # values below the bracket collapse into one null-keyed row per group
     counted = (joined.where(F.col("_v") <= F.col("_hi"))
                .groupBy(*keys, "_n", "_k", "_frac",
                         F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_bv"))
@@ -145,8 +190,4 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     # than return an inexact value.
     val = F.when(ok, interp).otherwise(F.raise_error(F.lit(
         "exact_quantiles: bracket missed its target rank; raise accuracy")).cast("double"))
-    out = picked.groupBy(*group_cols).agg(*[
-        F.max(F.when(F.col("_pid") == i, val)).alias(name)
-        for i, name in enumerate(names)
-    ])
-    return out.drop("_g") if is_global else out
+    return picked.select(*group_cols, "_pid", val.alias("_val"))

@@ -149,7 +149,7 @@ def _step_features(state: DataFrame, holidays: DataFrame) -> DataFrame:
 
 
 def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: DataFrame,
-                       horizon: int = 14, checkpoint_every: int = 5,
+                       horizon: int = 14, checkpoint_every: int = 1,
                        cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """M4 + U1: each day's prediction feeds the next day's lags, windows and
     ewm.  The state is bounded per series (90 values, 28 discounts, one ewm)."""
@@ -157,20 +157,21 @@ def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: Da
     alpha = 2.0 / (EWM_SPAN + 1.0)
     asm = assembler(cols)
     state = _state(base)
-    outs = []
+    steps = []
     for step in range(1, horizon + 1):
         feats = _step_features(state, holidays)
         pred = model.transform(asm.transform(feats)).withColumn("yhat", floor0("prediction"))
-        outs.append(pred.select("series_key", "date", F.lit(step).alias("h"), rh("yhat", 2).alias("yhat")))
         state = pred.select(
-            "series_key", F.col("date").alias("last_date"),
+            "series_key", F.col("date").alias("last_date"), F.lit(step).alias("h"),
+            rh("yhat", 2).alias("yhat"),
             (F.col("ewm") * (1 - alpha) + F.col("yhat") * alpha).alias("ewm"),
             F.slice(F.concat("hist", F.array("yhat")), -90, 90).alias("hist"),
             F.slice(F.concat("disc", F.array("avg_discount")), -28, 28).alias("disc"))
-        if step % checkpoint_every == 0:
+        if step % checkpoint_every == 0 or step == horizon:
+            # one small row per series: cut the step-to-step lineage
             state = state.checkpoint(eager=True)
-            outs = [o.checkpoint(eager=True) for o in outs]
-    out = outs[0]
-    for o in outs[1:]:
+        steps.append(state.select("series_key", F.col("last_date").alias("date"), "h", "yhat"))
+    out = steps[0]
+    for o in steps[1:]:
         out = out.unionByName(o)
     return out

@@ -95,7 +95,7 @@ def clean_star(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty:
         if "v" not in built:
             built["v"] = clean_all(
                 customers, products, txn, p.order_cols, p.cap_q,
-                materialize=lambda df: stage(spark, ("clean_positive",) + key, lambda: df))
+                materialize=lambda df: stage(spark, ("clean_typed",) + key, lambda: df))
         return built["v"][i]
     c = stage(spark, ("clean_customers",) + key, lambda: get(0))
     pr = stage(spark, ("clean_products",) + key, lambda: get(1))
@@ -109,12 +109,29 @@ def clean_fact(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty:
 
 def daily_features(txn: DataFrame, series: str | Column | None = None,
                    breakdowns: dict | None = None, holidays: DataFrame | None = None,
-                   approx_distinct: bool = False) -> DataFrame:
+                   approx_distinct: bool = False, materialize=None) -> DataFrame:
     """The reference's ``daily_features`` table for every series at once:
     aggregates and ratios, calendar block, rolling / lag / ewm block, and the
-    per-segment and per-category revenue columns."""
+    per-segment and per-category revenue columns.  ``materialize`` (optional)
+    writes the daily aggregate once; the holiday years and the windows then
+    read that small table instead of aggregating the fact again."""
     daily = aggregate_daily(txn, series, approx_distinct, breakdowns)
+    if materialize is not None:
+        daily = materialize(daily)
     if holidays is None:
         holidays = us_holidays(years_spanned(daily))
     daily = add_calendar_features(daily, holidays)
     return add_rolling_and_lags(daily)
+
+
+def clean_audit_table(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = True) -> DataFrame:
+    """S9 over the stage tables of ``clean_star`` (nothing recomputed)."""
+    from ledgerlight.operators.clean import clean_audit
+    p = p or Params()
+    customers, products, txn = star(spark, sf_dir, p)
+    if dirty:
+        txn = dirty_transactions(txn)
+    key = (sf_dir, _pkey(p), dirty)
+    kept = clean_star(spark, sf_dir, p, dirty)[2]
+    return clean_audit(txn, customers, products, p.order_cols, p.cap_q,
+                       materialize=lambda df: stage(spark, ("clean_typed",) + key, lambda: df), kept=kept)

@@ -86,21 +86,36 @@ def _fact(spark, sf):
     return clean_star(spark, sf)[2]
 
 
+_PIVOT_VALUES: dict = {}
+
+
 def _breakdowns(spark, sf):
-    return {"segment": segment_values(spark, sf), "category": category_values(spark, sf)}
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _PIVOT_VALUES:
+        _PIVOT_VALUES[key] = {"segment": segment_values(spark, sf), "category": category_values(spark, sf)}
+    return _PIVOT_VALUES[key]
 
 
 def _features(spark, sf, series=None, pivots=True):
     """Daily feature table per series, written once per session as a stage
-    table (every window, forecast and report query reads it)."""
-    from ledgerlight.plans.stages import stage
-    return stage(spark, ("features", sf, series, pivots),
-                 lambda: daily_features(_fact(spark, sf), series,
-                                        _breakdowns(spark, sf) if pivots else None))
+    table (every window, forecast and report query reads it).  The total
+    series without pivot columns is a projection of the one with them."""
+    from ledgerlight.operators.daily import pivot_name
+    from ledgerlight.plans import stages as _st
+    if series is None and not pivots:
+        full = _features(spark, sf, None, True)
+        drop = {pivot_name("rev_", v) for vals in _breakdowns(spark, sf).values() for v in vals}
+        return full.select(*[c for c in full.columns if c not in drop])
+    key = ("features", sf, series, pivots)
+    return _st.stage(spark, key, lambda: daily_features(
+        _fact(spark, sf), series, _breakdowns(spark, sf) if pivots else None,
+        materialize=lambda d: _st.stage(spark, ("daily",) + key[1:], lambda: d)))
 
 
 def _daily(spark, sf, series=None):
-    return aggregate_daily(_fact(spark, sf), series)
+    """Daily aggregate per series, read from the staged feature table."""
+    from ledgerlight.operators.daily import DAILY_AGG_COLUMNS
+    return _features(spark, sf, series, pivots=False).select("series_key", "date", *DAILY_AGG_COLUMNS)
 
 
 def feat_sql(series=None, pivots=None, prefix=None) -> str:
@@ -181,8 +196,8 @@ SELECT (SELECT count(*) FROM txn_in) AS rows_in,
        (SELECT {T.r('avg(revenue)')} FROM positive) AS mean_revenue_before_cap,
        (SELECT {T.r('avg(revenue)')} FROM capped) AS mean_revenue_after_cap""")
 def q_clean_audit(spark, sf):
-    customers, products, txn = star(spark, sf)
-    return clean_audit(dirty_transactions(txn), customers, products)
+    from ledgerlight.plans.pipeline import clean_audit_table
+    return clean_audit_table(spark, sf, dirty=True)
 
 
 @register("fk_orphans", STAR + T.DIRTY + """
@@ -306,8 +321,7 @@ SELECT count(*) AS total_transactions, {T.r('sum(revenue)')} AS total_revenue,
        (SELECT {T.r('quantile_cont(revenue, 0.5)')} FROM daily) AS median_daily_revenue
 FROM fact""")
 def q_eda_overview(spark, sf):
-    fact = _fact(spark, sf)
-    return R.overview(fact, aggregate_daily(fact))
+    return R.overview(_fact(spark, sf), _daily(spark, sf))
 
 
 def _group_sql(by):
@@ -364,8 +378,7 @@ SELECT (SELECT {T.r(T.r('sum(gp_margin)', 4) + ' / count(gp_margin) * 100')} FRO
        (SELECT {T.r(T.r('sum(recurring_share)', 4) + ' / count(recurring_share) * 100')} FROM daily)
          AS recurring_rev_share""")
 def q_eda_profit(spark, sf):
-    fact = _fact(spark, sf)
-    return R.profitability(fact, aggregate_daily(fact))
+    return R.profitability(_fact(spark, sf), _daily(spark, sf))
 
 
 @register("eda_outliers", P + T.daily_cte() + f""",
@@ -985,7 +998,7 @@ corr15 AS (SELECT feature, corr FROM cc ORDER BY abs(corr) DESC NULLS LAST, feat
 @register("eda_report", _eda_report_sql())
 def q_eda_report(spark, sf):
     fact = _fact(spark, sf)
-    daily = aggregate_daily(fact)
+    daily = _daily(spark, sf)
     parts = [
         R.long_form(R.overview(fact, daily), "overview", _OV),
         R.long_form(R.group_summary(fact, "segment"), "by_segment", ["total", "avg_order", "count"], "segment"),
