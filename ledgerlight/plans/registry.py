@@ -1016,3 +1016,51 @@ def q_eda_report(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---------------------------------------------------------- forecast summary
+@register("forecast_summary", FSEG + f"""
+SELECT series_key, model, count(*) AS days,
+       {T.r(T.r('sum(yhat)') + ' / count(yhat)')} AS mean, min(yhat) AS min, max(yhat) AS max
+FROM (SELECT series_key, model, {T.r('yhat')} AS yhat FROM fc
+      UNION ALL SELECT series_key, 'ensemble', yhat_ensemble FROM ens)
+GROUP BY series_key, model""")
+def q_forecast_summary(spark, sf):
+    from ledgerlight.operators.ensemble import forecast_summary
+    b = _bundle(spark, sf)
+    fc = b.forecasts.select("series_key", "model", rh("yhat", 2).alias("yhat")).unionByName(
+        b.ensemble.select("series_key", F.lit("ensemble").alias("model"), F.col("yhat_ensemble").alias("yhat")))
+    return forecast_summary(fc)
+
+
+# ---------------------------------------------------------- additive model (M10; rows-only)
+from ledgerlight.operators import additive as AD  # noqa: E402
+
+
+def _holidays_for(df):
+    from ledgerlight.sources.holidays import us_holidays, years_spanned
+    return us_holidays(years_spanned(df, pad=1))
+
+
+@register("additive_holdout")
+def q_additive_holdout(spark, sf):
+    """M10 scored on each series' last 90 days (fit on the days before)."""
+    base = _base(spark, sf)
+    hol = _holidays_for(base)
+    split = holdout_days(base, 90)
+    test = split.where(F.col("split") == "holdout")
+    pred = AD.fit_predict(split.where(F.col("split") == "train"),
+                          test.select("series_key", "date", *RG.REGRESSORS), hol)
+    scored = pred.join(test.select("series_key", "date", F.col("revenue").alias("y")), ["series_key", "date"])
+    return FC.error_metrics(scored, ["series_key"])
+
+
+@register("additive_forecast")
+def q_additive_forecast(spark, sf):
+    """M10 refitted on all rows, 90 days ahead with assumed regressors."""
+    from ledgerlight.operators.series import future_spine
+    base = _base(spark, sf)
+    hol = _holidays_for(base)
+    dates = future_spine(FC.series_counts(base), HORIZON).select("series_key", "date")
+    regs = FC.future_regressors(base, dates)
+    return AD.fit_predict(base, regs, hol)
