@@ -175,3 +175,32 @@ def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: Da
     for o in steps[1:]:
         out = out.unionByName(o)
     return out
+
+
+def cv_scores(base: DataFrame, folds: DataFrame, cols: Sequence[str] = FEATURE_COLS,
+              max_workers: int = 5, **kw) -> DataFrame:
+    """M2 scores: one global model per fold (rows up to the fold's train end
+    in every series), scored on the fold's test rows.  Folds are independent
+    Spark jobs submitted from a small driver thread pool so they share the
+    cluster; each job is distributed as usual."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    idx = index_rows(base)
+    fold_ids = [r[0] for r in folds.select("fold").distinct().collect()]  # at most n_splits values
+    assigned = (idx.join(folds, "series_key").where(F.col("rn") <= F.col("test_end"))
+                   .withColumn("_test", F.col("rn") > F.col("train_end")))
+
+    def one(f):
+        rows = assigned.where(F.col("fold") == f)
+        model = fit(rows.where(~F.col("_test")), cols, **kw)
+        pred = model.transform(assembler(cols).transform(rows.where(F.col("_test"))))
+        return pred.select("series_key", F.lit(f).alias("fold"), F.col("revenue").alias("y"),
+                           floor0("prediction").alias("yhat")).checkpoint(eager=True)
+
+    ensure_checkpoint_dir(base.sparkSession)
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        parts = list(pool.map(one, sorted(fold_ids)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return error_metrics(out, ["series_key", "fold"])

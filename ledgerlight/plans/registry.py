@@ -1064,3 +1064,12 @@ def q_additive_forecast(spark, sf):
     dates = future_spine(FC.series_counts(base), HORIZON).select("series_key", "date")
     regs = FC.future_regressors(base, dates)
     return AD.fit_predict(base, regs, hol)
+
+
+@register("tree_cv")
+def q_tree_cv(spark, sf):
+    """M2 + M13: expanding-window CV of the boosted trees (5 folds x 60 rows
+    of the training part), mean and population std of fold scores."""
+    base = _base(spark, sf)
+    scores = TR.cv_scores(base, FC.expanding_folds(base))
+    return FC.cv_summary(scores, ["series_key"])

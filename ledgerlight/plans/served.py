@@ -170,3 +170,21 @@ def segment_exposure(txn: DataFrame, ensemble: DataFrame) -> DataFrame:
         "segment", "share_pct", "forecast_total",
         rh(F.col("forecast_total") * F.col("share_pct") / 100, 2).alias("projected"),
         money_short(rh(F.col("forecast_total") * F.col("share_pct") / 100, 2)).alias("projected_label"))
+
+
+def forecast_points(forecasts: DataFrame, ensemble: DataFrame, model: str = "ensemble",
+                    horizon: int = 90) -> DataFrame:
+    """The first ``horizon`` days of one model's forecast per series.
+    The ensemble band falls back to +-15 % of the forecast where missing."""
+    check_model(model)
+    horizon = check_horizon(horizon)
+    from ledgerlight.operators.forecast import head_per_group
+    if model == "ensemble":
+        fc = ensemble.select(
+            "series_key", "date", F.col("yhat_ensemble").alias("yhat"),
+            rh(F.coalesce("ensemble_lower", F.col("yhat_ensemble") * 0.85), 2).alias("yhat_lower"),
+            rh(F.coalesce("ensemble_upper", F.col("yhat_ensemble") * 1.15), 2).alias("yhat_upper"))
+    else:
+        fc = forecasts.where(F.col("model") == model).select(
+            "series_key", "date", rh("yhat", 2).alias("yhat"), "yhat_lower", "yhat_upper")
+    return head_per_group(fc, ["series_key"], horizon).withColumn("model", F.lit(model))
