@@ -76,6 +76,31 @@ def star_full(spark: SparkSession, sf_dir: str, p: Params | None = None):
     return customers_k, products, txn
 
 
+def build_stages(spark: SparkSession, sf_dir: str, p: Params | None = None,
+                 features=None, max_workers: int = 4) -> None:
+    """Write every stage table for ``sf_dir`` up front.  Independent tables
+    (customer and product dimensions; clean and dirty-clean tables; feature
+    tables) are written as concurrent Spark jobs from a small driver thread
+    pool, so narrow single-file scans do not leave the cluster idle.
+    ``features`` is an optional list of zero-argument callables building
+    feature tables once the clean tables exist."""
+    from concurrent.futures import ThreadPoolExecutor
+    from ledgerlight.operators.ingest import build_customers, build_products
+    p = p or Params()
+    key = (sf_dir, _pkey(p))
+    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        list(pool.map(lambda f: f(), [
+            lambda: stage(spark, ("customers",) + key, lambda: build_customers(raw, keep_key=True, salt=p.salt)),
+            lambda: stage(spark, ("products",) + key,
+                          lambda: build_products(raw, p.recurring_category, p.min_customers)),
+        ]))
+        star_full(spark, sf_dir, p)
+        list(pool.map(lambda d: clean_star(spark, sf_dir, p, d), [False, True]))
+        if features:
+            list(pool.map(lambda f: f(), features))
+
+
 def star(spark: SparkSession, sf_dir: str, p: Params | None = None):
     """customers, products, transactions straight from ingest (transactions
     keep helper columns; duplicates of ``transaction_id`` are still there)."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlight.session import ensure_checkpoint_dir
 
 _TABLES: dict[tuple, str] = {}
+_LOCKS: dict[tuple, threading.Lock] = {}
+_GUARD = threading.Lock()
 
 
 def enabled() -> bool:
@@ -37,13 +40,16 @@ def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
     if not enabled():
         return build()
     k = (spark.sparkContext.applicationId,) + tuple(key)
-    path = _TABLES.get(k)
-    if path is None:
-        root = ensure_checkpoint_dir(spark).rstrip("/")
-        digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
-        path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
-        build().write.mode("overwrite").parquet(path)
-        _TABLES[k] = path
+    with _GUARD:
+        lock = _LOCKS.setdefault(k, threading.Lock())
+    with lock:  # one builder per table; other tables build concurrently
+        path = _TABLES.get(k)
+        if path is None:
+            root = ensure_checkpoint_dir(spark).rstrip("/")
+            digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
+            path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
+            build().write.mode("overwrite").parquet(path)
+            _TABLES[k] = path
     return spark.read.parquet(path)
 
 
