@@ -138,10 +138,14 @@ def correlations(daily: DataFrame, target: str = "revenue", cols: Sequence[str]
     """A21 + O3: correlation of every numeric column with ``target`` in one
     aggregate pass, unpivoted, strongest ``top`` by absolute value."""
     cols = list(cols) if cols is not None else numeric_columns(daily, exclude=[target, "date"])
-    wide = daily.agg(*[_corr(c, target).alias(c) for c in cols])
-    stack = "stack({n}, {pairs}) as (feature, corr)".format(
-        n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols))
-    long = wide.selectExpr(stack).withColumn("corr", rh("corr", digits))
+    # unpivot first: one (feature, v, w) row per input row and feature, then
+    # a three-function aggregate per feature (small code, one shuffle)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
+                      for c in cols])
+    long = (daily.select(F.col(target).cast("double").alias("_w"), F.explode(pairs).alias("_p"))
+                 .select("_p.feature", "_p.v", "_w")
+                 .groupBy("feature").agg(_corr("v", "_w").alias("corr"))
+                 .withColumn("corr", rh("corr", digits)))
     ranked = long.orderBy(F.abs("corr").desc_nulls_last(), "feature")
     return ranked.limit(top) if top else ranked
 

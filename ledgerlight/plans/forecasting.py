@@ -39,22 +39,30 @@ class Bundle:
     winner: DataFrame
 
 
-def evaluate(features: DataFrame, horizon: int = HORIZON, holdout: int = HOLDOUT) -> Bundle:
+def evaluate(features: DataFrame, horizon: int = HORIZON, holdout: int = HOLDOUT,
+             materialize=None) -> Bundle:
+    """Both forecasters, their holdout scores, weights, the ensemble and the
+    winner.  ``materialize(name, df)`` (optional) writes an output once so the
+    later steps and the served queries read it, as the reference's API reads
+    the pipeline's forecast files."""
+    m = materialize or (lambda name, df: df)
     base = drop_warmup(features)
     ho_a = FC.seasonal_naive_in_sample(
         holdout_rows(base, holdout).where(F.col("split") == "holdout")).withColumn("model", F.lit(MODEL_A))
     ho_b = FC.moving_average_in_sample(
         holdout_days(base, holdout).where(F.col("split") == "holdout")).withColumn("model", F.lit(MODEL_B))
-    holdouts = ho_a.unionByName(ho_b)
+    holdouts = m("holdouts", ho_a.unionByName(ho_b))
     metrics = FC.error_metrics(holdouts, ["series_key", "model"])
-    weights = E.inverse_rmse_weights(metrics)
+    weights = m("weights", E.inverse_rmse_weights(metrics))
+    metrics = weights.drop("weight")
     fc_a = FC.seasonal_naive_future(base, horizon).withColumns({
         "model": F.lit(MODEL_A), "yhat_lower": F.lit(None).cast("double"),
         "yhat_upper": F.lit(None).cast("double")})
-    fc_b = FC.conformal_band(FC.last_n_mean_future(base, horizon), ho_b, 0.9, horizon).withColumn(
+    fc_b = FC.conformal_band(FC.last_n_mean_future(base, horizon),
+                             holdouts.where(F.col("model") == MODEL_B), 0.9, horizon).withColumn(
         "model", F.lit(MODEL_B))
-    forecasts = fc_a.unionByName(fc_b)
-    ens = E.combine(forecasts, weights, band_model=MODEL_B)
-    ens_metrics = E.ensemble_holdout(holdouts, weights)
+    forecasts = m("forecasts", fc_a.unionByName(fc_b))
+    ens = m("ensemble", E.combine(forecasts, weights, band_model=MODEL_B))
+    ens_metrics = m("ensemble_metrics", E.ensemble_holdout(holdouts, weights))
     win = E.winner(metrics, ens_metrics)
     return Bundle(base, holdouts, metrics, weights, forecasts, ens, ens_metrics, win)

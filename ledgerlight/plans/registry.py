@@ -425,7 +425,10 @@ FTOT = feat_sql(None) + T.forecast_ctes(HORIZON)
 
 
 def _bundle(spark, sf, series="segment"):
-    return evaluate(_features(spark, sf, series, pivots=False), HORIZON)
+    """Forecast evaluation outputs, written once per session as stage tables."""
+    from ledgerlight.plans import stages as _st
+    return evaluate(_features(spark, sf, series, pivots=False), HORIZON,
+                    materialize=lambda name, df: _st.stage(spark, ("bundle", name, sf, series), lambda: df))
 
 
 def _base(spark, sf, series="segment"):
