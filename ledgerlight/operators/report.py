@@ -199,3 +199,10 @@ def long_form(df: DataFrame, section: str, metrics: Sequence[str], key_col: str
                       for m in metrics])
     return (df.select(F.lit(section).alias("section"), key.alias("key"), F.explode(pairs).alias("_m"))
               .select("section", "key", "_m.metric", "_m.value"))
+
+
+def frame_summary(df: DataFrame, date_col: str = "date", value_col: str = "revenue") -> DataFrame:
+    """Row and column count, date range and value range of a frame."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+                  F.min(date_col).alias("first_date"), F.max(date_col).alias("last_date"),
+                  F.min(value_col).alias("min_value"), F.max(value_col).alias("max_value"))

@@ -1076,3 +1076,12 @@ def q_tree_cv(spark, sf):
     base = _base(spark, sf)
     scores = TR.cv_scores(base, FC.expanding_folds(base))
     return FC.cv_summary(scores, ["series_key"])
+
+
+@register("feature_summary", feat_sql(None, PIVOTS_SQL) + f"""
+SELECT count(*) AS n_rows, {2 + 1 + len(FEATURE_NUMERIC)} AS n_columns, min(date) AS first_date,
+       max(date) AS last_date, min(revenue) AS min_value, max(revenue) AS max_value FROM feat""")
+def q_feature_summary(spark, sf):
+    """Shape and ranges of the daily feature table."""
+    f = _features(spark, sf).select("series_key", "date", "revenue", *FEATURE_NUMERIC)
+    return R.frame_summary(f)
