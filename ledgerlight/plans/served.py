@@ -20,7 +20,8 @@ from ledgerlight.operators.quantiles import with_scalars
 from ledgerlight.operators.report import fixed_mean, share_of_total
 
 GRANULARITIES = ("daily", "weekly", "monthly")
-MODELS = ("xgboost", "prophet", "ensemble", "seasonal_naive", "moving_average", "gbt")
+# Models whose stored forecasts ``forecast_points`` serves.
+MODELS = ("ensemble", "seasonal_naive", "moving_average")
 
 
 def check_horizon(h: int) -> int:
