@@ -46,6 +46,7 @@ def test_keep_first_with_hot_key(spark):
                                 F.col("id").cast("string").alias("v"))
     rest = spark.range(2 * n).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("transaction_id"),
                                      F.col("id").alias("o"), F.lit("x").alias("v"))
-    out = keep_first(hot.unionByName(rest), "transaction_id", ["o"])
-    assert out.count() == 2 * n + 1
-    assert out.where("transaction_id = 'HOT'").first().v == str(n - 1)
+    for limit in (100, 10**6):  # aggregate path (hot key above the limit), then window path
+        out = keep_first(hot.unionByName(rest), "transaction_id", ["o"], window_limit=limit)
+        assert out.count() == 2 * n + 1
+        assert out.where("transaction_id = 'HOT'").first().v == str(n - 1)
