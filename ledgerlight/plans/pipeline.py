@@ -66,9 +66,9 @@ def star_full(spark: SparkSession, sf_dir: str, p: Params | None = None):
     from ledgerlight.operators.ingest import build_customers, build_products, build_transactions
     p = p or Params()
     key = (sf_dir, _pkey(p))
-    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir), bucket_by="customer_key")
     customers_k = stage(spark, ("customers",) + key,
-                        lambda: build_customers(raw, keep_key=True, salt=p.salt))
+                        lambda: build_customers(raw, keep_key=True, salt=p.salt), bucket_by="customer_key")
     products = stage(spark, ("products",) + key,
                      lambda: build_products(raw, p.recurring_category, p.min_customers))
     txn = stage(spark, ("transactions",) + key,
@@ -88,10 +88,11 @@ def build_stages(spark: SparkSession, sf_dir: str, p: Params | None = None,
     from ledgerlight.operators.ingest import build_customers, build_products
     p = p or Params()
     key = (sf_dir, _pkey(p))
-    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir), bucket_by="customer_key")
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         list(pool.map(lambda f: f(), [
-            lambda: stage(spark, ("customers",) + key, lambda: build_customers(raw, keep_key=True, salt=p.salt)),
+            lambda: stage(spark, ("customers",) + key, lambda: build_customers(raw, keep_key=True, salt=p.salt),
+                          bucket_by="customer_key"),
             lambda: stage(spark, ("products",) + key,
                           lambda: build_products(raw, p.recurring_category, p.min_customers)),
         ]))
