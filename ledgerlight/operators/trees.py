@@ -115,7 +115,7 @@ def _state(base: DataFrame) -> DataFrame:
         F.slice(F.transform("_d", lambda s: s["avg_discount"]), -28, 28).alias("disc"))
 
 
-def _step_features(state: DataFrame, holidays: DataFrame) -> DataFrame:
+def _step_features(state: DataFrame, dist: DataFrame) -> DataFrame:
     h = F.col("hist")
     n = F.size(h)
 
@@ -133,7 +133,6 @@ def _step_features(state: DataFrame, holidays: DataFrame) -> DataFrame:
     mean_all = mean(h)
     cols = {"date": F.date_add("last_date", 1)}
     df = state.withColumns(cols).withColumns(calendar_columns("date")).withColumns(fourier_columns("date"))
-    dist = holiday_distance(holidays)
     df = df.join(dist, "date", "left").withColumn(
         "days_to_holiday", F.coalesce("days_to_holiday", F.lit(HOLIDAY_CAP)).cast("int"))
     df = df.withColumn("near_holiday", (F.col("days_to_holiday") <= 3).cast("int"))
@@ -157,9 +156,12 @@ def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: Da
     alpha = 2.0 / (EWM_SPAN + 1.0)
     asm = assembler(cols)
     state = _state(base)
+    # holiday distances do not depend on predictions: one small table
+    # (days within the cap of a holiday), written once, read by every step
+    dist = holiday_distance(holidays).checkpoint(eager=True)
     steps = []
     for step in range(1, horizon + 1):
-        feats = _step_features(state, holidays)
+        feats = _step_features(state, dist)
         pred = model.transform(asm.transform(feats)).withColumn("yhat", floor0("prediction"))
         state = pred.select(
             "series_key", F.col("date").alias("last_date"), F.lit(step).alias("h"),
