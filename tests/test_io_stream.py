@@ -55,3 +55,21 @@ def test_stream_daily_matches_batch(spark):
     out = run_once(spark, src, df.schema, os.path.join(d, "ck"), "ll_daily_test")
     got = {r.date: (r.revenue, r.n_transactions) for r in out.collect()}
     assert got == {dt.date(2024, 1, 1): (15.0, 2), dt.date(2024, 1, 2): (7.0, 1)}
+
+
+def test_stream_matches_batch_daily_on_clean_fact(spark):
+    from conftest import SF_SMALL
+    from ledgerlight.operators.daily import aggregate_daily
+    from ledgerlight.plans.pipeline import clean_star
+    fact = clean_star(spark, SF_SMALL)[2].select("transaction_id", "date", "customer_id", "segment",
+                                                 "revenue", "discount_pct")
+    d = tempfile.mkdtemp(prefix="ll-stream-fact-")
+    fact.write.parquet(os.path.join(d, "in"))
+    out = run_once(spark, os.path.join(d, "in"), fact.schema, os.path.join(d, "ck"), "ll_daily_seg", "segment")
+    got = {(r.series_key, r.date): (round(r.revenue, 2), r.n_transactions) for r in out.collect()}
+    want = {(r.series_key, r.date): (r.revenue, r.n_transactions)
+            for r in aggregate_daily(fact.withColumn("gross_profit", F.lit(0.0))
+                                         .withColumn("product_id", F.lit("p"))
+                                         .withColumn("quantity", F.lit(1))
+                                         .withColumn("is_recurring", F.lit(False)), "segment").collect()}
+    assert got == want
