@@ -58,14 +58,11 @@ def q_daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- shared pieces
-from ledgerlight.functions.calendar import year_month  # noqa: E402
-from ledgerlight.functions.fmt import date_label, money_short  # noqa: E402
 from ledgerlight.operators import report as R  # noqa: E402
-from ledgerlight.operators.clean import clean_audit, dirty_transactions  # noqa: E402
+from ledgerlight.operators.clean import dirty_transactions  # noqa: E402
 from ledgerlight.operators.daily import pivot_revenue  # noqa: E402
 from ledgerlight.operators.ingest import (  # noqa: E402
     CUSTOMER_COLUMNS, PRODUCT_COLUMNS, TRANSACTION_COLUMNS, orphan_counts)
-from ledgerlight.operators.quantiles import with_scalars  # noqa: E402
 from ledgerlight.operators.series import drop_warmup  # noqa: E402
 from ledgerlight.plans.pipeline import (  # noqa: E402
     category_values, clean_star, daily_features, segment_values, star, star_full)
