@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from ledgerlight.llm.quality_rules import op7_quality_rules
+from ledgerlight.llm.bpe import op4_byte_bpe
+from ledgerlight.llm.token_counts import op10_token_counts
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op7_quality_rules": op7_quality_rules,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {
