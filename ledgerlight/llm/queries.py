@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.decontaminate import OP9_SQL, op9_decontamination
 from ledgerlight.llm.quality_rules import op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.token_counts import op10_token_counts
@@ -12,8 +13,10 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op4_byte_bpe": op4_byte_bpe,
     "op10_token_counts": op10_token_counts,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op9_decontamination": OP9_SQL,
 }
