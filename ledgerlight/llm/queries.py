@@ -6,6 +6,7 @@ from ledgerlight.llm.decontaminate import OP9_SQL, op9_decontamination
 from ledgerlight.llm.quality_rules import op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.token_counts import op10_token_counts
+from ledgerlight.llm.warc import OP5_SQL, op5_warc
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -14,9 +15,11 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op10_token_counts": op10_token_counts,
     "op9_decontamination": op9_decontamination,
+    "op5_warc": op5_warc,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op5_warc": OP5_SQL,
     "op9_decontamination": OP9_SQL,
 }
