@@ -76,3 +76,23 @@ def _lengths(col):
     import pyarrow.compute as pc
 
     return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def labelled_sample(labels: DataFrame, label_col: str, per_class: int, keep: Column | None = None) -> DataFrame:
+    """At most ``per_class`` ids of each label 0 and 1, in order of a hash of the id: (doc_id, label, weight).
+
+    ``weight`` times the rows of a class is the class's share of the labelled
+    rows.  Rows without id or label are left out; an id with several labels
+    counts with its largest.  The result has at most ``2 * per_class`` rows.
+    """
+    rows = labels.select("doc_id", F.col(label_col).cast("int").alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    if keep is not None:
+        rows = rows.where(keep)
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
+    # a bounded heap in each task, then a bounded merge
+    picked = [rows.where(F.col("label") == v).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+              .limit(per_class) for v in (0, 1)]
+    shares = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return (picked[0].unionByName(picked[1]).join(F.broadcast(shares), "label")
+            .select("doc_id", "label", (F.col("n") / F.least(F.col("n"), F.lit(per_class))).alias("weight")))

@@ -7,6 +7,7 @@ from ledgerlight.llm.quality_rules import op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.token_counts import op10_token_counts
 from ledgerlight.llm.warc import OP5_SQL, op5_warc
+from ledgerlight.llm.toxicity import op8_toxicity
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op9_decontamination": op9_decontamination,
     "op5_warc": op5_warc,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE: dict[str, str] = {
