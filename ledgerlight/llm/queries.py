@@ -8,6 +8,7 @@ from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.token_counts import op10_token_counts
 from ledgerlight.llm.warc import OP5_SQL, op5_warc
 from ledgerlight.llm.toxicity import op8_toxicity
+from ledgerlight.llm.quality_model import op2_quality_classifier
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op5_warc": op5_warc,
     "op8_toxicity": op8_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
 }
 
 ORACLE: dict[str, str] = {
