@@ -96,3 +96,59 @@ def labelled_sample(labels: DataFrame, label_col: str, per_class: int, keep: Col
     shares = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return (picked[0].unionByName(picked[1]).join(F.broadcast(shares), "label")
             .select("doc_id", "label", (F.col("n") / F.least(F.col("n"), F.lit(per_class))).alias("weight")))
+
+
+def groups(batches: Iterator, keys: list[str]) -> Iterator:
+    """Arrow tables of the rows of one key each, from batches in which equal keys are neighbours.
+
+    Only for groups of bounded size: one is held at a time.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    held_key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_pylist() for k in keys]
+        marks = list(zip(*columns))
+        cuts = np.flatnonzero([True, *[a != b for a, b in zip(marks[1:], marks)]])
+        for start, stop in zip(cuts, [*cuts[1:], batch.num_rows]):
+            if held and marks[start] != held_key:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held_key = marks[start]
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield held_key, pa.Table.from_batches(held)
+
+
+def connected(edges: DataFrame, name: str = "connected") -> DataFrame:
+    """(node, root) of every node of the edges (a, b): the smallest node that it reaches.
+
+    Large-star and small-star rounds, each written to the shared folder.  All
+    steps are joins and aggregates with map-side combine; a hub's edges are
+    never gathered in one place.
+    """
+    def stars(e: DataFrame) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        return (both.where(F.col("b") > F.col("a")).join(least, "a")
+                .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+
+    def small(e: DataFrame) -> DataFrame:  # every edge leads to a smaller node
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        moved = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    before = None
+    while (seen := state(now)) != before:
+        before = seen
+        now = staged(small(stars(now)), name)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -8,6 +8,7 @@ from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.token_counts import op10_token_counts
 from ledgerlight.llm.warc import OP5_SQL, op5_warc
 from ledgerlight.llm.toxicity import op8_toxicity
+from ledgerlight.llm.near_dedup import OP3_SQL, op3_minhash_near_dedup
 from ledgerlight.llm.quality_model import op2_quality_classifier
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -20,10 +21,12 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op8_toxicity": op8_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
+    "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op9_decontamination": OP9_SQL,
 }
