@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
 
-#: Removes the shuffle files of a finished stage as soon as its table is written.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of stages: shuffle files go as soon as the table is written; batches for Python have a bounded size.
+_STAGE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+               "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -22,16 +23,18 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlight-llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def staged(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{folder or run_folder(spark, name)}/{name}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k, None) for k in _STAGE_CONF}
     try:
-        df.write.parquet(path)
+        for k, v in _STAGE_CONF.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ledgerlight.llm.decontaminate import OP9_SQL, op9_decontamination
 from ledgerlight.llm.quality_rules import op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
+from ledgerlight.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from ledgerlight.llm.token_counts import op10_token_counts
 from ledgerlight.llm.warc import OP5_SQL, op5_warc
 from ledgerlight.llm.toxicity import op8_toxicity
@@ -22,11 +23,13 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
+    "op6_suffix_dedup": OP6_SQL,
     "op9_decontamination": OP9_SQL,
 }
