@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import text_slices
@@ -168,11 +168,13 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
 
 
-def token_digests(docs: DataFrame, path: str, **options) -> DataFrame:
-    ids: Column = F.col("ids")
+def token_digests(docs: DataFrame, path: str, keep_ids: bool = False, **options) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the decoded bytes; with the ids if asked for."""
+    ids = F.col("ids")
     return decode(encode(docs, path, **options), path).select(
         "doc_id", (F.length(ids) / 4).cast("long").alias("n_tokens"),
-        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+        F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        *[ids] * keep_ids)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
