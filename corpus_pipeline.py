@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where(F.col("p_toxic") < model.cut).select(docs.columns)
+    return docs.where(toxicity.grade(model, F.col("text"))["p_toxic"] < model.cut)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import labelled_sample, staged, text_slices
@@ -215,15 +215,20 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     return Model(theta.tolist(), {f: float(w[i]) for f, i in number.items() if w[i] != 0}, cut)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with severity (expected grade) and p_toxic (probability of any grade above 0)."""
-    @F.pandas_udf("severity double, p_toxic double")
-    def graded(texts: pd.Series) -> pd.DataFrame:
+def grade(model: Model, text: Column) -> Column:
+    """A struct of severity (expected grade) and p_toxic (probability of any grade above 0) of a text column."""
+    @F.pandas_udf("severity double, p_toxic double", functionType=F.PandasUDFType.SCALAR)
+    def graded(texts):
         found = [model.probabilities(t) for t in texts]
         return pd.DataFrame({"severity": [float(sum(p)) for p in found], "p_toxic": [float(p[0]) for p in found]})
 
-    out = docs.withColumn("_graded", graded(F.col(text_col).cast("string")))
-    return out.withColumns({"severity": F.col("_graded.severity"), "p_toxic": F.col("_graded.p_toxic")}).drop("_graded")
+    return graded(text.cast("string"))
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with severity and p_toxic, which replace columns of these names."""
+    graded = grade(model, F.col(text_col))
+    return docs.withColumns({"severity": graded["severity"], "p_toxic": graded["p_toxic"]})
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
