@@ -190,3 +190,61 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules(docs, labels).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql() -> str:
+    """DuckDB's version of the query."""
+    each = RISK / len(GRIDS)
+    n_min = math.ceil(math.log(DELTA) / math.log1p(-each))
+    grid = ", ".join(f"('{s}', {i}, {c!r})" for s, g in GRIDS.items() for i, c in enumerate(g))
+    ratios = {"symbol_ratio": ("n_symbols", "word_chars"), "bang_ratio": ("n_bangs", "word_chars"),
+              "upper_ratio": ("n_upper", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+              "repeat_ratio": ("n_repeat_words", "n_words")}
+    signal = " UNION ALL ".join(
+        f"SELECT r, stratum, doc_id, base_failed, '{s}' AS signal, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0.0 END AS value FROM j"
+        for s, (a, b) in ratios.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang::VARCHAR AS stratum, coalesce(text, '') AS t FROM documents),
+c AS (
+  SELECT r, doc_id, stratum, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS b,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS n
+  FROM c, unnest(range(1, greatest(0, len(w) - 2) + 1)) AS t(i)),
+p AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM g, range(0, 3) AS q(o) WHERE n > 1 GROUP BY r),
+k AS (
+  SELECT r, doc_id, stratum, len(w)::BIGINT AS n_words, length(b)::BIGINT AS word_chars,
+         (length(b) - length(translate(b, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (length(b) - length(replace(b, '!', '')))::BIGINT AS n_bangs,
+         (length(b) - length(regexp_replace(b, '\p{{Lu}}+', '', 'g')))::BIGINT AS n_upper,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM c LEFT JOIN p USING (r)),
+j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM k),
+s AS ({signal}),
+good AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+grid(signal, step, cutoff) AS (VALUES {grid}),
+cell AS (
+  SELECT stratum, signal, step, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k
+  FROM s JOIN good USING (doc_id) JOIN grid USING (signal) WHERE good = 1 AND NOT base_failed
+  GROUP BY ALL HAVING count(*) >= {n_min}),
+tail AS (
+  SELECT *, CASE WHEN k >= n * {each!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({each!r}) + (n - i) * ln(1 - {each!r})))) END AS p,
+         count(*) OVER (PARTITION BY signal, step) AS strata
+  FROM cell),
+test AS (
+  SELECT *, max(CASE WHEN p > {DELTA} / (strata * {len(GRIDS)}) THEN 1 ELSE 0 END)
+            OVER (PARTITION BY stratum, signal ORDER BY step) AS fails FROM tail),
+cut AS (SELECT stratum, signal, min(cutoff) AS cutoff FROM test WHERE fails = 0 GROUP BY ALL),
+bad AS (
+  SELECT DISTINCT r FROM s JOIN cut ON s.stratum IS NOT DISTINCT FROM cut.stratum AND s.signal = cut.signal
+  WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND bad.r IS NULL AS kept
+FROM j LEFT JOIN bad USING (r)
+"""
+
+
+OP7_SQL = _sql()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerlight.llm.decontaminate import OP9_SQL, op9_decontamination
-from ledgerlight.llm.quality_rules import op7_quality_rules
+from ledgerlight.llm.quality_rules import OP7_SQL, op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
 from ledgerlight.llm.suffix_dedup import OP6_SQL, op6_suffix_dedup
 from ledgerlight.llm.token_counts import op10_token_counts
@@ -31,5 +31,6 @@ ORACLE: dict[str, str] = {
     "op3_minhash_near_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op6_suffix_dedup": OP6_SQL,
+    "op7_quality_rules": OP7_SQL,
     "op9_decontamination": OP9_SQL,
 }

@@ -43,10 +43,10 @@ def test_site_rules_like_brute_force(spark):
 
 
 def test_patterns(spark):
-    rules = [("pattern", "||ads.", "block"), ("pattern", "/banner/*/click^", "block"), ("pattern", "|http://a", "block"),
+    rules = [("pattern", "||ads.", "block"), ("pattern", "/banner/*/click^", "block"), ("pattern", "|http://ab", "block"),
              ("pattern", ".gif|", "block"), ("pattern", "good", "allow"), ("pattern", "a+b", "block")]
     cases = {"http://ads.x/": "||ads.", "http://w.ads.x/": "||ads.", "http://bads.x/": None,
-             "http://x/banner/1/2/click": "/banner/*/click^", "http://x/banner/1/clicks": None, "http://ab": "|http://a",
+             "http://x/banner/1/2/click": "/banner/*/click^", "http://x/banner/1/clicks": None, "http://ab": "|http://ab",
              "http://x/i.GIF": ".gif|", "http://x/i.gif?": None, "http://x/good/i.gif": "good", "http://x/aab": None,
              "http://x/a+b": "a+b"}
     df = spark.createDataFrame([(u,) for u in cases], "url string").selectExpr("url as page_id", "url")
