@@ -6,18 +6,17 @@ percentile, null drop on critical fields, clips, gross profit recomputed
 from the capped revenue, then referential integrity against the cleaned
 dimensions.
 
-Keep-first dedup checks the largest key group first: bounded groups use one
-``row_number`` window; otherwise ``min_by(row, order)`` grouped by the key, an
-ordinary aggregate with map-side partial aggregation, so a key repeated
-across a third of the table is reduced on every map task before the shuffle
-instead of being sorted in one window partition.
+Keep-first dedup is ``min_by(row, order)`` grouped by the key, an ordinary
+aggregate with map-side partial aggregation, so a key repeated across a third
+of the table is reduced on every map task before the shuffle instead of being
+sorted in one window partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.ids import pseudonym
@@ -28,27 +27,16 @@ from ledgerlight.operators.quantiles import exact_quantiles, with_scalars
 CRITICAL = ("date", "customer_id", "product_id", "revenue")
 
 
-WINDOW_GROUP_LIMIT = 100_000
-
-
-def keep_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str],
-               window_limit: int | None = WINDOW_GROUP_LIMIT) -> DataFrame:
+def keep_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """Keep the first row of each key under ``order_cols`` (ties broken by the
     remaining columns, so the choice is deterministic).
 
-    One scalar (the size of the largest key group) picks the plan: when every
-    group is within ``window_limit`` rows, a ``row_number`` window (one
-    shuffle, bounded partitions); otherwise ``min_by(row, order)`` as an
-    aggregate, whose map-side partial aggregation reduces a hot key on every
-    task before the shuffle.  Both keep the same row."""
+    ``min_by(row, order)`` grouped by the key: one shuffle, after map-side
+    partial aggregation, so a key that a third of the rows share is one row a
+    task before anything moves."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     ordered = [c for c in order_cols] + [c for c in rest if c not in order_cols]
-    if window_limit is not None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        if largest <= window_limit:
-            w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in ordered])
-            return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     order = F.struct(*[F.col(c) for c in ordered])
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order).alias("_row"))
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
@@ -184,10 +172,11 @@ def clean_audit(txn: DataFrame, customers: DataFrame, products: DataFrame,
 
 def dirty_transactions(txn: DataFrame, orphan_ref: str = "ORPHAN") -> DataFrame:
     """Deterministic dirty variant of the fact (see FIXTURES.md section 3):
-    text quantities with 'n/a', sign-flipped revenue, discounts x10 and
-    customer references missing from the customer dimension."""
+    orders loaded twice, text quantities with 'n/a', sign-flipped revenue,
+    discounts x10 and customer references missing from the customer dimension."""
     ok = F.col("order_key")
-    return txn.withColumns({
+    copies = F.when(ok % 71 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return txn.withColumn("_copy", F.explode(copies)).withColumns({
         "quantity": F.when(ok % 97 == 0, F.lit("n/a")).otherwise(F.col("quantity").cast("string")),
         "revenue": F.when(ok % 89 == 0, -F.col("revenue")).otherwise(F.col("revenue")),
         "discount_pct": F.when(ok % 83 == 0, F.col("discount_pct") * 10).otherwise(F.col("discount_pct")),

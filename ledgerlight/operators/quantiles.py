@@ -2,29 +2,26 @@
 
 ``percentile`` in Spark is exact but keeps a map of every distinct value of a
 group in one task, so a hot group (a third of all rows) would not fit.  This
-operator gets the same exact answer in three distributed steps:
-
-0. Groups of at most ``accuracy`` values (the usual case: products,
-   categories at small scale) are ranked with one window; the partition size
-   is bounded by the threshold, so no task sorts an unbounded group.  One
-   scalar (the largest group's size) is read to plan: when no group is
-   larger, ranking and counting share one shuffle.
-
-For larger groups:
+operator gets the same exact answer in three distributed steps, the same for
+groups of every size:
 
 1. ``percentile_approx`` per group (a mergeable sketch, partial-aggregated on
    the map side, bounded memory) gives a bracket ``[lo, hi]`` around each
    target rank.
 2. One pass counts, per group and probability, the values below ``lo`` and
-   the count of each distinct value inside the bracket.  Ties collapse into
-   one row with a count, so a value repeated a billion times is one row.
+   the count of each distinct value inside the bracket, and keeps the
+   neighbours of the bracket: the largest value below and the smallest above.
+   Ties collapse into one row with a count, so a value repeated a billion
+   times is one row.
 3. A running sum over the distinct values in the bracket gives their ranks;
    the values at ranks ``floor(q(n-1))`` and the next one are interpolated
    exactly as pandas / ``percentile`` / DuckDB ``quantile_cont`` do.
 
 The sketch bounds the rank error by n/accuracy and the bracket is four times
-that wide; every result is checked against its counts and the job fails
-(``raise_error``) instead of returning an inexact value.
+that wide; in a group so small that this is less than one rank, the wanted
+rank is at most one beyond the bracket, hence the neighbours.  Every result is
+checked against its counts and the job fails (``raise_error``) instead of
+returning an inexact value.
 """
 
 from __future__ import annotations
@@ -99,16 +96,7 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     src = df.withColumn("_g", F.lit(0)) if is_global else df
     vals = src.select(*group_cols, v.alias("_v")).where(F.col("_v").isNotNull())
 
-    counts = vals.groupBy(*group_cols).agg(F.count("_v").alias("_n"))
-    # One scalar decides the plan: the size of the largest group.
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    if largest <= accuracy:
-        both = _small_groups(vals, None, group_cols, qs, is_global)
-    else:
-        small = _small_groups(vals, counts.where(F.col("_n") <= F.lit(accuracy)), group_cols, qs, is_global)
-        big = _bracketed(vals, counts.where(F.col("_n") > F.lit(accuracy)), group_cols, qs, accuracy,
-                         is_global)
-        both = small.unionByName(big)
+    both = _bracketed(vals, group_cols, qs, accuracy, is_global)
     out = both.groupBy(*group_cols).agg(*[
         F.max(F.when(F.col("_pid") == i, F.col("_val"))).alias(name)
         for i, name in enumerate(names)
@@ -116,43 +104,13 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     return out.drop("_g") if is_global else out
 
 
-def _small_groups(vals: DataFrame, counts: DataFrame, group_cols, qs, is_global) -> DataFrame:
-    """Groups of at most ``accuracy`` values: rank every value with one
-    window (the partition size is bounded by the threshold) and interpolate
-    between ranks floor(q(n-1)) and the next one."""
-    w = Window.partitionBy(*group_cols).orderBy("_v")
-    if counts is None:
-        # every group is bounded: rank and count in one window pass
-        ranked = vals.withColumns({"_r": F.row_number().over(w) - 1,
-                                   "_n": F.count(F.lit(1)).over(Window.partitionBy(*group_cols))})
-    else:
-        j = vals.join(F.broadcast(counts) if is_global else counts, group_cols, "inner")
-        ranked = j.withColumn("_r", F.row_number().over(w) - 1)
-    aggs = []
-    for i, q in enumerate(qs):
-        pos = (F.col("_n") - 1).cast("double") * F.lit(q)
-        k = F.floor(pos)
-        k1 = F.least(k + 1, F.col("_n") - 1)
-        aggs += [F.max(F.when(F.col("_r") == k, F.col("_v"))).alias(f"_a{i}"),
-                 F.max(F.when(F.col("_r") == k1, F.col("_v"))).alias(f"_b{i}"),
-                 F.first(pos - k).alias(f"_f{i}")]
-    g = ranked.groupBy(*group_cols).agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).alias("_pid"),
-                              (F.col(f"_a{i}") + F.col(f"_f{i}") * (F.col(f"_b{i}") - F.col(f"_a{i}")))
-                              .alias("_val")) for i in range(len(qs))])
-    return g.select(*group_cols, F.explode(rows).alias("_e")).select(*group_cols, "_e._pid", "_e._val")
-
-
-def _bracketed(vals: DataFrame, counts: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
-    """Groups above ``accuracy`` values: sketch bracket, then rank only the
-    distinct values inside it (see the module docstring)."""
-    eps = 1.0 / accuracy
-    delta = 4.0 * eps
+def _bracketed(vals: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
+    """Sketch bracket, then rank the distinct values inside it (see the module docstring)."""
+    delta = 4.0 / accuracy
     lo_qs = [max(0.0, q - delta) for q in qs]
     hi_qs = [min(1.0, q + delta) for q in qs]
-    big_vals = vals.join(F.broadcast(counts) if is_global else counts, group_cols, "inner")
-    stats = big_vals.groupBy(*group_cols).agg(
-        F.first("_n").alias("_n"),
+    stats = vals.groupBy(*group_cols).agg(
+        F.count("_v").alias("_n"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_qs]), accuracy).alias("_lo"),
         F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_qs]), accuracy).alias("_hi"),
     )
@@ -168,26 +126,31 @@ def _bracketed(vals: DataFrame, counts: DataFrame, group_cols, qs, accuracy, is_
     per_prob = per_prob.withColumns({"_k": F.floor(pos), "_frac": pos - F.floor(pos)})
     joined = vals.join(F.broadcast(per_prob) if is_global else per_prob, group_cols, "inner")
     keys = list(group_cols) + ["_pid"]
-    # values below the bracket collapse into one null-keyed row per group
-    counted = (joined.where(F.col("_v") <= F.col("_hi"))
-               .groupBy(*keys, "_n", "_k", "_frac",
-                        F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_bv"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    w = (Window.partitionBy(*keys).orderBy(F.col("_bv").asc_nulls_first())
+    # the values below the bracket collapse into one row per group, those above into another
+    side = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
+    counted = (joined.groupBy(*keys, "_n", "_k", "_frac", side.alias("_side"),
+                              F.when(side == 1, F.col("_v")).alias("_bv"))
+               .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom")))
+    w = (Window.partitionBy(*keys).orderBy("_side", "_bv")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counted.withColumn("_cum", F.sum("_c").over(w))
-    k = F.col("_k")
-    k1 = F.least(F.col("_k") + 1, F.col("_n") - 1)
+    k, k1 = F.col("_k"), F.least(F.col("_k") + 1, F.col("_n") - 1)
+    inside = F.col("_side") == 1
     picked = ranked.groupBy(*keys, "_n", "_k", "_frac").agg(
-        F.min(F.when(F.col("_bv").isNotNull() & (F.col("_cum") > k), F.col("_bv"))).alias("_vk"),
-        F.min(F.when(F.col("_bv").isNotNull() & (F.col("_cum") > k1), F.col("_bv"))).alias("_vk1"),
-        F.coalesce(F.max(F.when(F.col("_bv").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
+        F.min(F.when(inside & (F.col("_cum") > k), F.col("_bv"))).alias("_at_k"),
+        F.min(F.when(inside & (F.col("_cum") > k1), F.col("_bv"))).alias("_at_k1"),
+        F.coalesce(F.max(F.when(F.col("_side") == 0, F.col("_c"))), F.lit(0)).alias("_below"),
+        F.max(F.when(F.col("_side") < 2, F.col("_cum"))).alias("_upto"),
+        F.max(F.when(F.col("_side") == 0, F.col("_top"))).alias("_before"),
+        F.min(F.when(F.col("_side") == 2, F.col("_bottom"))).alias("_after"),
     )
-    ok = (F.col("_below") <= F.col("_k")) & F.col("_vk").isNotNull() & F.col("_vk1").isNotNull()
-    interp = F.col("_vk") + F.col("_frac") * (F.col("_vk1") - F.col("_vk"))
-    # The sketch's rank error is at most n/accuracy and the bracket is four
-    # times wider, so the check never fires; if it did, the job stops rather
-    # than return an inexact value.
-    val = F.when(ok, interp).otherwise(F.raise_error(F.lit(
-        "exact_quantiles: bracket missed its target rank; raise accuracy")).cast("double"))
+
+    def at(rank, found):
+        return (F.when(rank == F.col("_below") - 1, F.col("_before"))
+                .when((rank >= F.col("_below")) & (rank < F.col("_upto")), found)
+                .when(rank == F.col("_upto"), F.col("_after")))
+
+    low, high = at(k, F.col("_at_k")), at(k1, F.col("_at_k1"))
+    val = F.when(low.isNotNull() & high.isNotNull(), low + F.col("_frac") * (high - low)).otherwise(
+        F.raise_error(F.lit("exact_quantiles: bracket missed its target rank; raise accuracy")).cast("double"))
     return picked.select(*group_cols, "_pid", val.alias("_val"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.calendar import calendar_columns, fourier_columns
 from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.calendar import HOLIDAY_CAP, holiday_distance
+from ledgerlight.operators.daily import DAILY_AGG_COLUMNS
 from ledgerlight.operators.forecast import error_metrics, floor0, index_rows
 from ledgerlight.operators.series import EWM_SPAN, holdout_rows
 from ledgerlight.session import ensure_checkpoint_dir
@@ -53,11 +54,22 @@ LEAKY_COLS = [
 ]
 
 
-def check_no_leaks(cols: Sequence[str], leaky: Sequence[str] = LEAKY_COLS) -> None:
+#: Same-day aggregates that may feed the model: known before the day's sales.
+KNOWN_AHEAD = ("avg_discount",)
+
+
+def barred_columns(cols: Sequence[str]) -> set[str]:
+    """Columns made of the same day's sales: the daily aggregates, and every
+    column of a revenue breakdown, whatever value of the data it is named after."""
+    own = (set(DAILY_AGG_COLUMNS) | set(LEAKY_COLS)) - set(KNOWN_AHEAD)
+    return {c for c in cols if c in own or c.startswith("rev_")}
+
+
+def check_no_leaks(cols: Sequence[str]) -> None:
     """No same-day revenue-derived column may be a model input."""
-    overlap = set(cols) & set(leaky)
-    if overlap:
-        raise ValueError(f"Leaky columns in feature set: {sorted(overlap)}")
+    barred = barred_columns(cols)
+    if barred:
+        raise ValueError(f"not known before the day's sales: {', '.join(sorted(barred))}")
 
 
 def assembler(cols: Sequence[str] = FEATURE_COLS) -> VectorAssembler:
@@ -65,11 +77,16 @@ def assembler(cols: Sequence[str] = FEATURE_COLS) -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep")
 
 
-def gbt(max_iter: int = 40, step: float = 0.1, depth: int = 5, seed: int = 42) -> GBTRegressor:
-    """M1 settings: depth 5, min 3 rows per leaf, 0.8 row and column sampling."""
-    return GBTRegressor(featuresCol="features", labelCol="revenue", predictionCol="prediction",
-                        maxIter=max_iter, stepSize=step, maxDepth=depth, minInstancesPerNode=3,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+def gbt(max_iter: int = 40, step: float = 0.1, depth: int = 5, seed: int = 42,
+        validation_col: str | None = None) -> GBTRegressor:
+    """M1 settings: depth 5, min 3 rows per leaf, 0.8 row and column sampling.
+
+    ``validation_col`` names a boolean column; its rows are not learnt from,
+    and boosting stops once their error no longer falls."""
+    est = GBTRegressor(featuresCol="features", labelCol="revenue", predictionCol="prediction",
+                       maxIter=max_iter, stepSize=step, maxDepth=depth, minInstancesPerNode=3,
+                       subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed)
+    return est.setValidationIndicatorCol(validation_col) if validation_col else est
 
 
 def fit(train: DataFrame, cols: Sequence[str] = FEATURE_COLS, **kw):
@@ -99,6 +116,11 @@ def importance(spark: SparkSession, model, cols: Sequence[str] = FEATURE_COLS, t
     return ranked.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
+def _tail(values, k: int):
+    """The last ``k`` elements, or all of a shorter array."""
+    return F.slice(values, F.greatest(F.lit(1), F.size(values) - k + 1), k)
+
+
 def _state(base: DataFrame) -> DataFrame:
     """Initial state per series from the history."""
     alpha = 2.0 / (EWM_SPAN + 1.0)
@@ -113,13 +135,10 @@ def _state(base: DataFrame) -> DataFrame:
     return last.join(tail, "series_key").select(
         "series_key", "last_date", "ewm",
         F.transform("_h", lambda s: s["revenue"]).alias("hist"),
-        F.slice(F.transform("_d", lambda s: s["avg_discount"]), -28, 28).alias("disc"))
+        _tail(F.transform("_d", lambda s: s["avg_discount"]), 28).alias("disc"))
 
 
-CAL_FEATURES = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "year",
-                "is_weekend", "is_month_start", "is_month_end", "is_quarter_end", "is_q4",
-                "days_in_month", "days_to_quarter_end", "days_to_holiday", "near_holiday",
-                "sin_week", "cos_week", "sin_year", "cos_year"]
+CAL_FEATURES = FEATURE_COLS[:FEATURE_COLS.index("cos_year") + 1]
 
 
 def _calendar_plan(state: DataFrame, holidays: DataFrame, horizon: int) -> DataFrame:
@@ -165,7 +184,7 @@ def _step_features(state: DataFrame, step: int) -> DataFrame:
 
 
 def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: DataFrame,
-                       horizon: int = 14, checkpoint_every: int = 1,
+                       horizon: int = 90, checkpoint_every: int = 10,
                        cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """M4 + U1: each day's prediction feeds the next day's lags, windows and
     ewm.  The state is bounded per series (90 values, 28 discounts, one ewm)."""
@@ -176,25 +195,23 @@ def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: Da
     # calendar and holiday features do not depend on predictions: computed
     # once for all horizon dates and carried in the state row, so a step is
     # a narrow projection plus the model transform (no join, no shuffle)
-    state = state.join(_calendar_plan(state, holidays, horizon), "series_key").checkpoint(eager=True)
-    steps = []
+    state = state.join(_calendar_plan(state, holidays, horizon), "series_key").select(
+        "series_key", "cal", "ewm", "hist", "disc",
+        F.array().cast("array<struct<date: date, h: int, yhat: double>>").alias("made")).checkpoint(eager=True)
     for step in range(1, horizon + 1):
         feats = _step_features(state, step)
         pred = model.transform(asm.transform(feats)).withColumn("yhat", floor0("prediction"))
         state = pred.select(
-            "series_key", F.col("date").alias("last_date"), F.lit(step).alias("h"), "cal",
-            rh("yhat", 2).alias("yhat"),
+            "series_key", "cal",
             (F.col("ewm") * (1 - alpha) + F.col("yhat") * alpha).alias("ewm"),
-            F.slice(F.concat("hist", F.array("yhat")), -90, 90).alias("hist"),
-            F.slice(F.concat("disc", F.array("avg_discount")), -28, 28).alias("disc"))
+            _tail(F.concat("hist", F.array("yhat")), 90).alias("hist"),
+            _tail(F.concat("disc", F.array("avg_discount")), 28).alias("disc"),
+            F.array_append("made", F.struct(F.col("date"), F.lit(step).alias("h"),
+                                            rh("yhat", 2).alias("yhat"))).alias("made"))
         if step % checkpoint_every == 0 or step == horizon:
             # one small row per series: cut the step-to-step lineage
             state = state.checkpoint(eager=True)
-        steps.append(state.select("series_key", F.col("last_date").alias("date"), "h", "yhat"))
-    out = steps[0]
-    for o in steps[1:]:
-        out = out.unionByName(o)
-    return out
+    return state.select("series_key", F.explode("made").alias("m")).select("series_key", "m.date", "m.h", "m.yhat")
 
 
 def cv_scores(base: DataFrame, folds: DataFrame, cols: Sequence[str] = FEATURE_COLS,

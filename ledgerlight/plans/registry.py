@@ -136,11 +136,23 @@ CAL_COLS = ["day_of_week", "day_of_month", "week_of_year", "month", "quarter", "
 FOURIER = ["sin_week", "cos_week", "sin_year", "cos_year"]
 ROLL_COLS = [f"roll_{k}_{n}d" for n in (7, 14, 28, 90) for k in ("mean", "std")]
 LAG_COLS = [f"lag_{n}d" for n in (7, 14, 28, 56)]
-PIVOT_COLS = [f"rev_{v.lower()}" for v in TEST_SEGMENTS + TEST_CATEGORIES]
-FEATURE_NUMERIC = (["gross_profit", "n_transactions", "n_customers", "n_products", "avg_order_value",
-                    "avg_discount", "avg_quantity", "recurring_rev"] + PIVOT_COLS +
-                   ["gp_margin", "recurring_share", "rev_per_customer"] + CAL_COLS + FOURIER +
-                   ROLL_COLS + LAG_COLS + ["momentum_7_28", "ewm_14d"])
+
+
+def feature_numeric(pivot_columns: list[str]) -> list[str]:
+    """Numeric columns of the feature table, given those of its breakdowns."""
+    return (["gross_profit", "n_transactions", "n_customers", "n_products", "avg_order_value",
+             "avg_discount", "avg_quantity", "recurring_rev"] + pivot_columns +
+            ["gp_margin", "recurring_share", "rev_per_customer"] + CAL_COLS + FOURIER +
+            ROLL_COLS + LAG_COLS + ["momentum_7_28", "ewm_14d"])
+
+
+#: Of the test tables, for the DuckDB twins.
+FEATURE_NUMERIC = feature_numeric([f"rev_{v.lower()}" for v in TEST_SEGMENTS + TEST_CATEGORIES])
+
+
+def _numeric(features: DataFrame) -> list[str]:
+    """Numeric columns of a feature table, whatever values its breakdowns have."""
+    return feature_numeric([c for c in features.columns if c.startswith("rev_") and c != "rev_per_customer"])
 
 
 # ---------------------------------------------------------- star
@@ -286,7 +298,7 @@ def q_daily_features(spark, sf):
     spec = {c: 2 for c in ROLL_COLS + ["ewm_14d", "avg_order_value"]}
     spec.update({c: 4 for c in ["avg_discount", "avg_quantity"]})
     spec.update({c: 6 for c in FOURIER})
-    return rounded(f.select("series_key", "date", "revenue", *FEATURE_NUMERIC), spec)
+    return rounded(f.select("series_key", "date", "revenue", *_numeric(f)), spec)
 
 
 # ---------------------------------------------------------- RFM
@@ -402,7 +414,7 @@ def _corr_sql(cols):
 c AS ({_corr_sql(FEATURE_NUMERIC)})
 SELECT feature, corr FROM c ORDER BY abs(corr) DESC NULLS LAST, feature LIMIT 15""")
 def q_eda_corr(spark, sf):
-    return R.correlations(_features(spark, sf), "revenue", FEATURE_NUMERIC, top=15)
+    return R.correlations(feats, "revenue", _numeric(feats), top=15)
 
 
 @register("null_profile", feat_sql(None, PIVOTS_SQL) + "\n" + "\nUNION ALL ".join(
@@ -425,7 +437,7 @@ def _bundle(spark, sf, series="segment"):
     """Forecast evaluation outputs, written once per session as stage tables."""
     from ledgerlight.plans import stages as _st
     return evaluate(_features(spark, sf, series, pivots=False), HORIZON,
-                    materialize=lambda name, df: _st.stage(spark, ("bundle", name, sf, series), lambda: df))
+                    materialize=lambda name, build: _st.stage(spark, ("bundle", name, sf, series), build))
 
 
 def _base(spark, sf, series="segment"):
@@ -845,7 +857,6 @@ from ledgerlight.operators import ridge as RG  # noqa: E402
 from ledgerlight.operators import trees as TR  # noqa: E402
 
 _MODELS: dict = {}
-TREE_HORIZON = 14
 
 
 def _tree(spark, sf):
@@ -869,11 +880,11 @@ def q_tree_importance(spark, sf):
 
 @register("tree_forecast")
 def q_tree_forecast(spark, sf):
-    """Recursive forecast, every series in parallel, 14 steps."""
+    """Recursive forecast, every series in parallel, 90 steps."""
     from ledgerlight.sources.holidays import us_holidays, years_spanned
     base = _base(spark, sf)
     hol = us_holidays(years_spanned(base, pad=1))
-    return TR.recursive_forecast(spark, _tree(spark, sf)[0], base, hol, TREE_HORIZON)
+    return TR.recursive_forecast(spark, _tree(spark, sf)[0], base, hol, HORIZON)
 
 
 @register("ridge_lift")
@@ -999,6 +1010,7 @@ corr15 AS (SELECT feature, corr FROM cc ORDER BY abs(corr) DESC NULLS LAST, feat
 def q_eda_report(spark, sf):
     fact = _fact(spark, sf)
     daily = _daily(spark, sf)
+    feats = _features(spark, sf)
     parts = [
         R.long_form(R.overview(fact, daily), "overview", _OV),
         R.long_form(R.group_summary(fact, "segment"), "by_segment", ["total", "avg_order", "count"], "segment"),
@@ -1008,7 +1020,7 @@ def q_eda_report(spark, sf):
         R.long_form(R.mean_by_month(daily), "avg_revenue_by_month", ["avg_revenue"], "month"),
         R.long_form(R.discount_analysis(fact), "discount_analysis", _DISC),
         R.long_form(R.profitability(fact, daily), "profitability", _PROF),
-        R.long_form(R.correlations(_features(spark, sf), "revenue", FEATURE_NUMERIC, top=15),
+        R.long_form(R.correlations(feats, "revenue", _numeric(feats), top=15),
                     "top_correlated_features", ["corr"], "feature"),
         R.long_form(R.outliers(daily), "outliers", _OUT),
     ]
@@ -1080,5 +1092,60 @@ SELECT count(*) AS n_rows, {2 + 1 + len(FEATURE_NUMERIC)} AS n_columns, min(date
        max(date) AS last_date, min(revenue) AS min_value, max(revenue) AS max_value FROM feat""")
 def q_feature_summary(spark, sf):
     """Shape and ranges of the daily feature table."""
-    f = _features(spark, sf).select("series_key", "date", "revenue", *FEATURE_NUMERIC)
-    return R.frame_summary(f)
+    f = _features(spark, sf)
+    return R.frame_summary(f.select("series_key", "date", "revenue", *_numeric(f)))
+
+
+# ---------------------------------------------------------- the real models served (M20, Q2, Q4-Q6, Q8; rows-only)
+from ledgerlight.plans.forecasting import MODELS as REAL_MODELS  # noqa: E402
+
+
+def _real_bundle(spark, sf):
+    """Boosted trees and corrected decomposition per segment, written once per session."""
+    from ledgerlight.plans import stages as _st
+    return evaluate(_features(spark, sf, "segment", pivots=False), HORIZON,
+                    materialize=lambda name, build: _st.stage(spark, ("real", name, sf), build),
+                    models=[model() for model in REAL_MODELS])
+
+
+def _real_total(spark, sf):
+    """The segments' ensembles added up by day: the forecast of the whole business."""
+    return _real_bundle(spark, sf).ensemble.groupBy("date").agg(
+        rh(F.sum("yhat_ensemble"), 2).alias("yhat_ensemble"))
+
+
+@register("real_model_comparison")
+def q_real_model_comparison(spark, sf):
+    """Q5: holdout scores and weights of the real models and their ensemble, with the winner flag."""
+    b = _real_bundle(spark, sf)
+    singles = b.weights.select("series_key", "model", "rmse", "mae", "mape", rh("weight", 4).alias("weight"))
+    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"), "rmse", "mae", "mape",
+                                    F.lit(None).cast("double").alias("weight"))
+    return singles.unionByName(ens).join(b.winner, "series_key").select(
+        "series_key", "model", "rmse", "mae", "mape", "weight", (F.col("model") == F.col("winner")).alias("is_winner"))
+
+
+@register("real_forecast")
+def q_real_forecast(spark, sf):
+    """Q6: 90 days of every real model and of the ensemble, with bands."""
+    b = _real_bundle(spark, sf)
+    out = None
+    for model in ["ensemble", *[m.name for m in REAL_MODELS]]:
+        part = S.forecast_points(b.forecasts, b.ensemble, model, HORIZON)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("real_kpis")
+def q_real_kpis(spark, sf):
+    return S.kpis(_daily(spark, sf), _fact(spark, sf), _real_total(spark, sf))
+
+
+@register("real_insights")
+def q_real_insights(spark, sf):
+    return S.insights(_daily(spark, sf), _real_total(spark, sf))
+
+
+@register("real_segment_exposure")
+def q_real_segment_exposure(spark, sf):
+    return S.segment_exposure(_fact(spark, sf), _real_total(spark, sf))

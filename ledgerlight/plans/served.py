@@ -21,7 +21,7 @@ from ledgerlight.operators.report import fixed_mean, share_of_total
 
 GRANULARITIES = ("daily", "weekly", "monthly")
 # Models whose stored forecasts ``forecast_points`` serves.
-MODELS = ("ensemble", "seasonal_naive", "moving_average")
+MODELS = ("ensemble", "boosted_trees", "decomposition_ridge", "seasonal_naive", "moving_average")
 
 
 def check_horizon(h: int) -> int:
@@ -85,8 +85,8 @@ def kpis(daily: DataFrame, txn: DataFrame, ensemble: DataFrame | None) -> DataFr
 
 
 def segments(txn: DataFrame) -> DataFrame:
-    """Q3: revenue, count and share per segment (order by revenue on output)."""
-    return share_of_total(txn, "segment")
+    """Q3: revenue, count and share per segment, the largest first (O2)."""
+    return share_of_total(txn, "segment").orderBy(F.col("revenue").desc(), "segment")
 
 
 def freshness(txn: DataFrame) -> DataFrame:

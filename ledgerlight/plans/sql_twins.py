@@ -88,7 +88,8 @@ products AS (
   FROM prod_agg
 ),
 txn AS (
-  SELECT 'TXN_' || CAST(x.order_key AS VARCHAR) || '_' || CAST(x.line_number AS VARCHAR) AS transaction_id,
+  SELECT concat_ws('_', 'TXN', x.order_key, x.line_number, x.part_key, x.supp_key, x.quantity,
+                   CAST(floor(x.sales * 100.0 + 0.5) AS BIGINT)) AS transaction_id,
          x.order_date AS date,
          coalesce(ck.customer_id, {pseudo('x.customer_key')}) AS customer_id,
          x.product_key AS product_id, ck.segment, ck.region, x.category, x.quantity,
@@ -116,7 +117,7 @@ txn_in AS (
          CASE WHEN order_key % 83 = 0 THEN discount_pct * 10 ELSE discount_pct END AS discount_pct,
          CASE WHEN order_key % 89 = 0 THEN -revenue ELSE revenue END AS revenue,
          cost, gross_profit, is_recurring, account_tier, order_key, part_key, supp_key
-  FROM txn
+  FROM (SELECT * FROM txn UNION ALL SELECT * FROM txn WHERE order_key % 71 = 0)
 )"""
 
 PLAIN = """,

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlight.session import ensure_checkpoint_dir
 
-_TABLES: dict[tuple, str] = {}
+_TABLES: dict[tuple, tuple] = {}
 _LOCKS: dict[tuple, threading.Lock] = {}
 _GUARD = threading.Lock()
 
@@ -35,18 +35,12 @@ def enabled() -> bool:
     return os.environ.get("LEDGERLIGHT_MATERIALIZE", "1") != "0"
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame],
-          bucket_by: str | None = None) -> DataFrame:
+def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """Return the table for ``key``; build and write it on first use.
 
-    With ``bucket_by`` the table is written bucketed (and sorted) on that
-    column into ``bucket_count`` buckets and registered in the session
-    catalog as an external table at the same shared location, so a join of
-    two tables bucketed on the join key reads both sides without a shuffle.
+    The schema is kept with the path, so that reading a stage runs no job.
+    Tables are not bucketed: a join on a hot key is left to AQE, which can
+    split a skewed shuffle partition but not a skewed bucket.
     """
     if not enabled():
         return build()
@@ -58,21 +52,12 @@ def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame],
         if entry is None:
             root = ensure_checkpoint_dir(spark).rstrip("/")
             digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
-            tag = uuid.uuid4().hex[:8]
-            path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{tag}"
-            if bucket_by:
-                name = f"ll_stage_{key[0]}_{digest}_{tag}"
-                n = bucket_count(spark)
-                # one task per bucket (same hash as bucketing): n files, not tasks x n
-                (build().repartition(n, bucket_by).write.mode("overwrite").bucketBy(n, bucket_by)
-                 .sortBy(bucket_by).option("path", path).format("parquet").saveAsTable(name))
-                entry = ("table", name)
-            else:
-                build().write.mode("overwrite").parquet(path)
-                entry = ("path", path)
-            _TABLES[k] = entry
-    kind, where = entry
-    return spark.table(where) if kind == "table" else spark.read.parquet(where)
+            path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
+            df = build()
+            df.write.mode("overwrite").parquet(path)
+            entry = _TABLES[k] = (path, df.schema)
+    path, schema = entry
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear() -> None:
