@@ -12,7 +12,7 @@ from ledgerlight.session import ensure_checkpoint_dir
 
 #: Of stages: shuffle files go as soon as the table is written; batches for Python have a bounded size.
 _STAGE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-               "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+               "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
