@@ -184,10 +184,14 @@ def _step_features(state: DataFrame, step: int) -> DataFrame:
 
 
 def recursive_forecast(spark: SparkSession, model, base: DataFrame, holidays: DataFrame,
-                       horizon: int = 90, checkpoint_every: int = 10,
+                       horizon: int = 90, checkpoint_every: int = 2,
                        cols: Sequence[str] = FEATURE_COLS) -> DataFrame:
     """M4 + U1: each day's prediction feeds the next day's lags, windows and
-    ewm.  The state is bounded per series (90 values, 28 discounts, one ewm)."""
+    ewm.  The state is bounded per series (90 values, 28 discounts, one ewm).
+
+    Every step adds some forty expressions that read the step before; plans
+    of three and more steps took longer to analyse than a checkpoint of the
+    small state costs, hence two."""
     ensure_checkpoint_dir(spark)
     alpha = 2.0 / (EWM_SPAN + 1.0)
     asm = assembler(cols)
