@@ -82,6 +82,12 @@ def passage_features(texts: list[str | None]):
     for i, chars in enumerate(KINDS.values(), 1):
         kind[np.frombuffer(chars, dtype=np.uint8)] = i
     kinds = kind[data]
+    # line ends before a text's first word, and those put between texts, are nobody's
+    kinds[ends - 1] = 0
+    first_word = np.full(len(texts), len(data))
+    first_word[doc[::-1]] = starts[::-1]
+    lines = np.flatnonzero(kinds == 1 + [*KINDS].index("line"))
+    kinds[lines[lines < first_word[np.searchsorted(ends, lines, side="right")]]] = 0
     begin = starts[cut]
     span = np.diff(np.r_[begin, len(data)])
     of_passage = np.repeat(np.arange(len(cut)), span)

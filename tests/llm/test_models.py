@@ -106,13 +106,13 @@ def test_gradients_of_the_attention_model():
 
 
 def test_passage_features_do_not_depend_on_neighbours():
-    texts = ["One two, two!", "", None, "| a | b |", "ÄÖ ü " * 70, "same same same", " \n lead", "x" * 5000]
+    texts = ["One two, two!", "\n\n x\ny\n\n", "\n \n", "", None, "| a | b |", "ÄÖ ü " * 70, "same same same", " \n lead", "x" * 5000]
     x, first = Q.passage_features(texts)
     ends = [*first[1:], len(x)]
     for t, a, b in zip(texts, first, ends):
         alone, _ = Q.passage_features([t])
         assert np.allclose(alone, x[a:b]), t
-    names = dict(zip(Q.FEATURES, x[first[5]]))
+    names = dict(zip(Q.FEATURES, x[first[7]]))
     assert names["same_as_last"] == pytest.approx(2 / 3) and names["distinct"] == pytest.approx(1 / 3)
     assert names["word_length"] == pytest.approx(0.4) and math.isclose(names["lower"], 1.0)
     assert len(Q.passage_features(["a " * 200])[0]) == -(-200 // Q.PASSAGE)
