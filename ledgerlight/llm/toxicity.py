@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import labelled_sample, staged, text_slices
 from ledgerlight.llm.decontaminate import words_of
 
-PER_CLASS = 4000
-MAX_FEATURES = 20_000
+PER_CLASS = 3000
+MAX_FEATURES = 10_000
 MIN_DOCS = 5
 PREFIXES = (4, 5, 6)
 GRADES = 4
@@ -198,15 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class:
     short = (wanted.join(F.broadcast(chosen.select("feature")), "feature").groupBy("doc_id")
              .agg(F.collect_list("feature").alias("f"), F.collect_list("n").alias("c")))
     full = table.select("doc_id", "label", "weight", "n_words").join(short, "doc_id", "left")
-    for i, r in enumerate(sorted(full.collect(), key=lambda r: r["doc_id"])):
-        at = np.array([number[f] for f in r["f"] or ()], dtype=np.int64)
-        n = np.array(r["c"] or (), dtype=float)
-        rows.append(np.full(len(at), i))
+    found = []  # packed as they come: the rows of the sample never lie in the driver as objects
+    for r in full.toLocalIterator():
+        at = np.fromiter((number[f] for f in r["f"] or ()), np.int32, len(r["f"] or ()))
+        found.append((r["doc_id"], at, np.array(r["c"] or (), dtype=np.float32), r["label"], r["weight"], r["n_words"]))
+    for i, (_, at, n, label, scale, n_words) in enumerate(sorted(found, key=lambda x: x[0])):
+        order = np.argsort(at)
+        at, n = at[order], n[order]
+        rows.append(np.full(len(at), i, dtype=np.int32))
         columns.append(at)
         values.append(np.log1p(n))
-        toxic.append(r["label"])
-        weight.append(r["weight"])
-        share.append(n[marker[at]].sum() / max(1, r["n_words"]))
+        toxic.append(label)
+        weight.append(scale)
+        share.append(n[marker[at]].sum() / max(1, n_words))
     grades = severity_grades(np.array(toxic), np.array(share), n_grades)
     at, of, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
     theta, w = fit_ordinal(at, of, value, grades, np.array(weight), len(number), n_grades)
