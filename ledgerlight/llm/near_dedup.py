@@ -48,6 +48,8 @@ BANDS = 32
 REGISTERS = BAND_ROWS * BANDS
 #: Log likelihood by which the best similarity must beat the wanted one to drop a pair (6 standard deviations).
 SLACK = 18.0
+#: Share of equal registers that makes a pair a candidate at once.
+CLEARLY = 0.8
 #: Classes, and shingles, of a bucket or block that one task handles at once.
 BLOCK = 3000
 BLOCK_SHINGLES = 4_000_000
@@ -147,17 +149,24 @@ def estimate(n_a, n_b, larger, smaller, equal):
 
 
 def maybe_linked(n_a: int, regs_a, n_b, regs_b, percent: int = PERCENT):
-    """Which sets b can be linked with a set a: by size, exactly, and by the registers' likelihood."""
+    """Which sets b can be linked with a set a: by size, exactly, and by the registers' likelihood.
+
+    Sets with at least ``CLEARLY`` equal registers stay without asking for the likelihood.
+    """
     import numpy as np
 
-    n_b = n_b.astype(np.float64)
-    larger = (regs_a[None, :] > regs_b).sum(1)
-    smaller = (regs_a[None, :] < regs_b).sum(1)
-    equal = regs_b.shape[1] - larger - smaller
-    at, best = estimate(float(n_a), n_b, larger, smaller, equal)
-    wanted = log_likelihood(percent / 100, float(n_a), n_b, larger, smaller, equal)
     fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    return fits & ((at >= percent / 100) | (wanted >= best - SLACK))
+    equal = (regs_a[None, :] == regs_b).sum(1)
+    out = fits & (equal >= CLEARLY * regs_b.shape[1])
+    asked = np.flatnonzero(fits & ~out)
+    if len(asked):
+        n_b, regs_b, equal = n_b[asked].astype(np.float64), regs_b[asked], equal[asked]
+        larger = (regs_a[None, :] > regs_b).sum(1)
+        smaller = regs_b.shape[1] - larger - equal
+        at, best = estimate(float(n_a), n_b, larger, smaller, equal)
+        wanted = log_likelihood(percent / 100, float(n_a), n_b, larger, smaller, equal)
+        out[asked] = (at >= percent / 100) | (wanted >= best - SLACK)
+    return out
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
