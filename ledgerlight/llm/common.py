@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
 
-#: Of stages: shuffle files go as soon as the table is written; batches for Python have a bounded size.
-_STAGE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-               "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Of stages: batches for Python have a bounded size.
+_STAGE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -24,7 +23,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    Spark removes the shuffle files of a finished job when the driver's JVM
+    collects the job's objects.  An idle driver hardly ever does, so it is
+    asked to: the files of one stage need not lie beside those of the next.
+    """
     spark = df.sparkSession
     path = f"{folder or run_folder(spark, name)}/{name}"
     before = {k: spark.conf.get(k, None) for k in _STAGE_CONF}
@@ -35,6 +39,7 @@ def staged(df: DataFrame, name: str, folder: str | None = None, compression: str
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
