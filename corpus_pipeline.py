@@ -17,6 +17,9 @@ from ledgerlight.llm import bpe, decontaminate, near_dedup, suffix_dedup, toxici
 from ledgerlight.llm.common import staged
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Near copies share this share of their shingles of so many words (op3 has its own).
+SHINGLE = 5
+PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document is the set of its distinct 3-word shingles.  Register i of a set
+A document is the set of its distinct shingles (of 3 words, if not told otherwise).  Register i of a set
 is the smallest of n exponential variables (one a shingle, from a hash),
 truncated to the exponentially spaced values ``b ** -k`` and kept as k: one
 byte.  Registers of a union are the larger ones of the parts, and equal
@@ -21,11 +21,11 @@ registers are as likely as sets are alike.
 4. Links are joined to components; the smallest doc_id names one.
 
 A pair of the least wanted similarity shares none of the 32 bands with
-probability 5e-8.
+probability 5e-8 at 85 %, and 1.4e-5 at 80 %.
 
 Defined cases: null and empty texts, and texts without words, have the empty
-set and are linked with nothing, each its own component; texts of fewer than
-three words have one shingle, the whole sequence; repeated rows are copies of
+set and are linked with nothing, each its own component; texts of fewer words
+than a shingle have one, the whole sequence; repeated rows are copies of
 each other; a component without any doc_id has a null component_id and keeps
 nothing; an empty table gives an empty result; only the named columns are read.
 """
@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import connected, groups, run_folder, staged, text_slices
 
+#: Of op3.
 SHINGLE = 3
 PERCENT = 85
 BASE = 1.2
@@ -169,7 +170,7 @@ def maybe_linked(n_a: int, regs_a, n_b, regs_b, percent: int = PERCENT):
     return out
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, signature of the set, registers; the last two null for empty sets."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -180,7 +181,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in text_slices(batches, "text", SLICE_BYTES):
             n, signature, regs = [], [], []
             for text in batch.column("text").to_pylist():
-                s = shingle_set(text, hashes)
+                s = shingle_set(text, hashes, shingle)
                 n.append(len(s))
                 signature.append(hashlib.md5(s.tobytes()).hexdigest() if len(s) else None)
                 regs.append(registers(s, seeds).tobytes() if len(s) else None)
@@ -191,31 +192,33 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                   "registers binary")
 
 
-def _bucket_families(batches: Iterator) -> Iterator:
+def _bucket_families(percent: int):
     """Edges (a, b) that join the classes of a bucket which can be linked; forests, not pairs."""
-    import numpy as np
-    import pyarrow as pa
-
-    for _, table in groups(batches, ["band", "bucket"]):
-        names = table.column("signature").to_pylist()
-        n = table.column("n_shingles").to_numpy()
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
-        edges: list[tuple] = []
-        left = np.arange(len(n))
-        while len(left) > 1:
-            root, left = left[0], left[1:]
-            queue = [root]
-            while queue and len(left):
-                at = queue.pop()
-                near = maybe_linked(n[at], regs[at], n[left], regs[left])
-                found, left = left[near], left[~near]
-                queue.extend(found)
-                edges.extend((names[f], names[root]) for f in found)
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()),
-                                          pa.array([e[1] for e in edges], pa.string())], ["a", "b"])
-
-
-def families(classes: DataFrame, folder: str) -> DataFrame:
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for _, table in groups(batches, ["band", "bucket"]):
+            names = table.column("signature").to_pylist()
+            n = table.column("n_shingles").to_numpy()
+            regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
+            edges: list[tuple] = []
+            left = np.arange(len(n))
+            while len(left) > 1:
+                root, left = left[0], left[1:]
+                queue = [root]
+                while queue and len(left):
+                    at = queue.pop()
+                    near = maybe_linked(n[at], regs[at], n[left], regs[left], percent)
+                    found, left = left[near], left[~near]
+                    queue.extend(found)
+                    edges.extend((names[f], names[root]) for f in found)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()),
+                                              pa.array([e[1] for e in edges], pa.string())], ["a", "b"])
+    return run
+
+
+def families(classes: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """(node, root): the family of every class (signature, n_shingles, registers) that has candidates."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(
         i.alias("band"), F.xxhash64(F.substr(F.col("registers"), i * BAND_ROWS + 1, F.lit(BAND_ROWS))).alias("bucket")))
@@ -227,23 +230,25 @@ def families(classes: DataFrame, folder: str) -> DataFrame:
     small = members.where(F.col("size") <= BLOCK).select("band", "bucket", "signature").join(
         classes.select("signature", "n_shingles", "registers"), "signature")
     edges = (small.repartition("band", "bucket").sortWithinPartitions("band", "bucket", "signature")
-             .mapInArrow(_bucket_families, "a string, b string"))
+             .mapInArrow(_bucket_families(percent), "a string, b string"))
     return connected(edges.unionByName(large).distinct(), "families")
 
 
-def _confirm(batches: Iterator) -> Iterator:
+def _confirm(percent: int):
     """Links (a, b) that connect what the sets of a block connect; classes of one component are not compared."""
-    import numpy as np
-    import pyarrow as pa
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    for _, table in groups(batches, ["family", "block", "other"]):
-        table = table.combine_chunks()
-        names = table.column("signature").to_pylist()
-        known = table.column("component").to_pylist()
-        sets = [np.frombuffer(s, dtype="<u8") for s in table.column("shingles").to_pylist()]
-        edges = [(names[i], names[j]) for i, j in search(sets, known)]
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()),
-                                          pa.array([e[1] for e in edges], pa.string())], ["a", "b"])
+        for _, table in groups(batches, ["family", "block", "other"]):
+            table = table.combine_chunks()
+            names = table.column("signature").to_pylist()
+            known = table.column("component").to_pylist()
+            sets = [np.frombuffer(s, dtype="<u8") for s in table.column("shingles").to_pylist()]
+            edges = [(names[i], names[j]) for i, j in search(sets, known, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.string()),
+                                              pa.array([e[1] for e in edges], pa.string())], ["a", "b"])
+    return run
 
 
 def search(sets: list, known: list, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -294,13 +299,13 @@ def search(sets: list, known: list, percent: int = PERCENT) -> list[tuple[int, i
     return edges
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
+def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Links among rows of (family, block, other, signature, component, shingles), block by block."""
     dealt = rows.repartition("family", "block", "other").sortWithinPartitions("family", "block", "other", "signature")
-    return dealt.mapInArrow(_confirm, "a string, b string")
+    return dealt.mapInArrow(_confirm(percent), "a string, b string")
 
 
-def confirmed_links(sets: DataFrame, family: DataFrame, folder: str) -> DataFrame:
+def confirmed_links(sets: DataFrame, family: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect exactly what full sets connect.  sets: signature, shingles."""
     sized = family.select(F.col("node").alias("signature"), F.col("root").alias("family")).join(sets, "signature")
     total = sized.groupBy("family").agg(
@@ -319,7 +324,7 @@ def confirmed_links(sets: DataFrame, family: DataFrame, folder: str) -> DataFram
               .withColumn("block", F.col("to")).drop("to"))
     first = rows.unionByName(spread).select(
         "family", "block", F.lit(-1).alias("other"), "signature", F.col("signature").alias("component"), "shingles")
-    links = staged(_in_blocks(first), "links", folder)
+    links = staged(_in_blocks(first, percent), "links", folder)
     if large.isEmpty():
         return links
 
@@ -337,10 +342,11 @@ def confirmed_links(sets: DataFrame, family: DataFrame, folder: str) -> DataFram
     hosts = placed.join(meeting, "family").where("other <> block")
     columns = ["family", "block", "other", "signature", "component", "shingles"]
     second = hosts.select(columns).unionByName(visitors.select(columns))
-    return links.unionByName(staged(_in_blocks(second), "late_links", folder))
+    return links.unionByName(staged(_in_blocks(second, percent), "late_links", folder))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              shingle: int = SHINGLE) -> DataFrame:
     """signature and shingles (64-bit, sorted) of one document of each wanted class (signature, doc_id)."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -349,7 +355,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
 
         hashes = WordHashes()
         for batch in text_slices(batches, "text", SLICE_BYTES):
-            sets = [shingle_set(t, hashes).tobytes() for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, hashes, shingle).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hashlib.md5(s).hexdigest() for s in sets], pa.string()), pa.array(sets, pa.binary())],
                 ["signature", "shingles"])
@@ -359,17 +365,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_c
     return texts.mapInArrow(run, "signature string, shingles binary").dropDuplicates(["signature"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Sets of shingles of ``shingle`` words are linked if at least ``percent`` % of their union is common.
+    """
     folder = run_folder(docs.sparkSession, "near")
-    made = staged(sketches(docs, id_col, text_col), "sketches", folder)
+    made = staged(sketches(docs, id_col, text_col, shingle), "sketches", folder)
     classes = staged(made.where(F.col("signature").isNotNull()).groupBy("signature").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"),
         F.min("registers").alias("registers")), "classes", folder)
-    family = staged(families(classes, folder), "family", folder)
+    family = staged(families(classes, folder, percent), "family", folder)
     wanted = classes.join(family.select(F.col("node").alias("signature")), "signature").select("signature", "doc_id")
-    sets = staged(full_sets(docs, wanted, id_col, text_col), "sets", folder)
-    roots = staged(connected(confirmed_links(sets, family, folder), "components"), "roots", folder)
+    sets = staged(full_sets(docs, wanted, id_col, text_col, shingle), "sets", folder)
+    roots = staged(connected(confirmed_links(sets, family, folder, percent), "components"), "roots", folder)
 
     named = classes.select("signature", "doc_id").join(
         roots.select(F.col("node").alias("signature"), "root"), "signature", "left").withColumn(
@@ -383,7 +393,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"),
+                           shingle=SHINGLE, percent=PERCENT)
 
 
 OP3_SQL = r"""
