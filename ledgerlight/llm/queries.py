@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerlight.llm.best_fit_packing import op11_best_fit_packing
 from ledgerlight.llm.decontaminate import OP9_SQL, op9_decontamination
 from ledgerlight.llm.quality_rules import OP7_SQL, op7_quality_rules
 from ledgerlight.llm.bpe import op4_byte_bpe
@@ -11,7 +12,9 @@ from ledgerlight.llm.warc import OP5_SQL, op5_warc
 from ledgerlight.llm.toxicity import op8_toxicity
 from ledgerlight.llm.near_dedup import OP3_SQL, op3_minhash_near_dedup
 from ledgerlight.llm.quality_model import op2_quality_classifier
+from ledgerlight.llm.periodic_runs import op13_periodic_runs
 from ledgerlight.llm.url_filter import OP1_SQL, op1_url_filter
+from ledgerlight.llm.vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -24,6 +27,9 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
@@ -33,4 +39,5 @@ ORACLE: dict[str, str] = {
     "op6_suffix_dedup": OP6_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_decontamination": OP9_SQL,
+    "op12_vector_codes": OP12_SQL,
 }
