@@ -37,6 +37,7 @@ import os
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -151,13 +152,13 @@ class StretchIds:
         new = [s for s in stretches if s not in self.known]
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast([s.decode() for s in part],
-                                                                   add_special_tokens=False)):
-                ids = e.ids
-                self.known[s] = len(self.sizes)
-                self.begins.append(len(self.flat))
-                self.sizes.append(len(ids))
-                self.flat.extend(ids)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([s.decode() for s in part],
+                                                                     add_special_tokens=False)]
+            sizes = list(map(len, found))
+            self.known.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part))))
+            self.begins.extend(accumulate(sizes[:-1], initial=len(self.flat)))
+            self.sizes.extend(sizes)
+            self.flat.extend(chain.from_iterable(found))
         at = np.fromiter(map(self.known.__getitem__, stretches), dtype=np.int64, count=len(stretches))
         return (np.array(self.flat, dtype="<u4"), np.array(self.begins, dtype=np.int64)[at],
                 np.array(self.sizes, dtype=np.int64)[at])
