@@ -50,8 +50,8 @@ END_ID = 2
 OPEN_BINS = 8192
 PIECES_PER_TASK = 131_072
 SLICE_BYTES = 4 << 20
-#: Distinct stretches whose ids a worker keeps; it starts anew beyond that.
-KEPT_STRETCHES = 500_000
+#: Distinct stretches whose ids a worker keeps; beyond that the rarest go.
+KEPT_STRETCHES = 800_000
 
 #: Kinds of bytes; from _DARK on a byte surely begins a character other than white space.
 _SPACE, _LINE_END, _DARK, _LETTER, _MARK = range(1, 6)
@@ -137,18 +137,33 @@ class StretchIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.flat, self.begins, self.sizes = array("I"), array("q"), array("q")
+        #: All ids, where those of each stretch begin, how many it has, and in how many calls it was seen.
+        self.flat, self.begins, self.sizes, self.seen = array("I"), array("q"), array("q"), array("q")
+
+    def forget(self) -> None:
+        """Keeps what was seen in two calls or more, at most half of what may be kept."""
+        import numpy as np
+
+        begins, sizes, seen = (np.array(a, dtype=np.int64) for a in (self.begins, self.sizes, self.seen))
+        least = max(2, int(np.partition(seen, -KEPT_STRETCHES // 2)[-KEPT_STRETCHES // 2]) + 1
+                    if len(seen) > KEPT_STRETCHES // 2 else 2)
+        keep = np.flatnonzero(seen >= least)
+        place = np.full(len(seen), -1)
+        place[keep] = np.arange(len(keep))
+        place = place.tolist()
+        self.known = {s: place[i] for s, i in self.known.items() if place[i] >= 0}
+        sizes, ends = sizes[keep], np.cumsum(sizes[keep])
+        at = np.repeat(begins[keep] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        self.flat = array("I", np.array(self.flat, dtype=np.uint32)[at].tobytes())
+        self.begins, self.sizes, self.seen = (array("q", a.tobytes()) for a in (ends - sizes, sizes, seen[keep] // 2))
 
     def of(self, stretches: list[bytes]):
         """All kept ids, and for each of the distinct stretches where its ids begin and how many it has."""
         import numpy as np
 
         if len(self.known) + len(stretches) > KEPT_STRETCHES:
-            self.clear()
+            self.forget()
         new = [s for s in stretches if s not in self.known]
         for start in range(0, len(new), 4096):
             part = new[start:start + 4096]
@@ -158,8 +173,10 @@ class StretchIds:
             self.known.update(zip(part, range(len(self.sizes), len(self.sizes) + len(part))))
             self.begins.extend(accumulate(sizes[:-1], initial=len(self.flat)))
             self.sizes.extend(sizes)
+            self.seen.extend([0] * len(part))
             self.flat.extend(chain.from_iterable(found))
         at = np.fromiter(map(self.known.__getitem__, stretches), dtype=np.int64, count=len(stretches))
+        np.frombuffer(self.seen, dtype=np.int64)[at] += 1
         return (np.array(self.flat, dtype="<u4"), np.array(self.begins, dtype=np.int64)[at],
                 np.array(self.sizes, dtype=np.int64)[at])
 

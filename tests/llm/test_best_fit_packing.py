@@ -33,6 +33,22 @@ def test_ids_like_the_library():
         assert flat[start:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [2], repr(text)
 
 
+@pytest.mark.parametrize("kept", [4, 40, 1000])
+def test_ids_with_few_kept_stretches(kept, monkeypatch):
+    monkeypatch.setattr(B, "KEPT_STRETCHES", kept)
+    B.stretch_ids.cache_clear()
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = random.Random(kept)
+    words = [f"{a}{b}" for a in "the of and x1 é! (no)".split() for b in ("", "s", "ing", ".\n", ",")]
+    for _ in range(60):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 12))) for _ in range(4)]
+        flat, n = B.encode_texts(pa.array(texts), PATH, B.END_ID)
+        assert flat.tolist() == [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids + [2]]
+    assert len(B.stretch_ids(PATH).known) <= kept + 40
+    B.stretch_ids.cache_clear()
+    assert B.encode_texts(pa.array(["", ""]), PATH, 2)[0].tolist() == [2, 2]
+
+
 def plain_best_fit(lengths, capacity, limit):
     """The same choices by looking at every open bin."""
     bins, out, made = {}, [], 0  # free space by bin, in the order in which it got it
