@@ -38,10 +38,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import let, text_slices
+from ledgerlight.llm.common import let, staged, text_slices
 
 MIN_LENGTH = 12
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Positions in a block of an ordered set, at most.
 BLOCK = 2048
 
@@ -308,4 +308,6 @@ def run_digests(found: DataFrame) -> DataFrame:
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return run_digests(periodic_runs(docs.select("doc_id", planted_text(F.col("doc_id"), F.col("text")).alias("text"))))
+    planted = docs.select("doc_id", planted_text(F.col("doc_id"), F.col("text")).alias("text"))
+    # a stage, whose batches for Python are bounded in bytes; only digests are written
+    return staged(run_digests(periodic_runs(planted)), "runs")
