@@ -14,32 +14,36 @@ sorted in one window partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.ids import pseudonym
 from ledgerlight.functions.numeric import clip, round_half_up
 from ledgerlight.operators.ingest import HELPER_COLUMNS, TRANSACTION_COLUMNS
-from ledgerlight.operators.quantiles import exact_quantiles, with_scalars
+from ledgerlight.operators.quantiles import exact_quantiles
 
 CRITICAL = ("date", "customer_id", "product_id", "revenue")
 
 
-def keep_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def keep_first(df: DataFrame, key: str | Sequence[str], order_cols: Sequence[str],
+               copies: str | None = None) -> DataFrame:
     """Keep the first row of each key under ``order_cols`` (ties broken by the
     remaining columns, so the choice is deterministic).
 
     ``min_by(row, order)`` grouped by the key: one shuffle, after map-side
     partial aggregation, so a key that a third of the rows share is one row a
-    task before anything moves."""
+    task before anything moves.  ``copies`` names a column for the number of
+    rows of each key."""
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
     ordered = [c for c in order_cols] + [c for c in rest if c not in order_cols]
     order = F.struct(*[F.col(c) for c in ordered])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order).alias("_row"))
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    counted = [F.count(F.lit(1)).alias(copies)] if copies else []
+    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order).alias("_row"), *counted)
+    flat = picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest], *[copies] * bool(copies))
+    return flat.select(*df.columns, *[copies] * bool(copies))
 
 
 def coerce_types(df: DataFrame) -> DataFrame:
@@ -67,34 +71,67 @@ def revenue_caps(df: DataFrame, q: float = 0.995) -> DataFrame:
     return caps.withColumn("revenue_cap", round_half_up("revenue_cap", 2))
 
 
-def _stages(txn: DataFrame, order_cols: Sequence[str], cap_q: float, materialize=None):
-    deduped = keep_first(txn, "transaction_id", order_cols)
-    typed = coerce_types(deduped)
-    if materialize is not None:
-        # later steps (caps, fact, audit) read this several times
-        typed = materialize(typed)
+#: Counted of the deduplicated rows.
+TYPED_COUNTS = {
+    "rows_in": "sum(_copies)",
+    "rows_deduped": "count(*)",
+    "unparsable_quantity": "count_if(quantity IS NULL)",
+}
+
+
+def typed_transactions(txn: DataFrame, order_cols: Sequence[str] = ("part_key", "supp_key")) -> DataFrame:
+    """One row per transaction id, coerced to its types, and how many rows it stands for (``_copies``)."""
+    return coerce_types(keep_first(txn, "transaction_id", order_cols, copies="_copies"))
+
+
+def _positive() -> Column:
     # pandas keeps a null revenue at this filter (NaN <= 0 is False)
-    positive = typed.where(F.col("revenue").isNull() | (F.col("revenue") > 0))
+    return F.col("revenue").isNull() | (F.col("revenue") > 0)
+
+
+#: Counted of the judged rows (S9); ``_before`` is the revenue before capping.
+JUDGED_COUNTS = {
+    "rows_positive": "count(*)",
+    "rows_non_null": "count_if(_whole)",
+    "rows_out": "count_if(_whole AND _known)",
+    "discount_at_cap": "count_if(_whole AND discount_pct >= 0.5)",
+    "mean_revenue_before_cap": "avg(_before)",
+    "mean_revenue_after_cap": "avg(revenue)",
+}
+
+
+def judged_transactions(typed: DataFrame, customers: DataFrame, products: DataFrame, cap_q: float = 0.995) -> DataFrame:
+    """Rows with positive revenue, capped and clipped, and whether they have
+    all critical fields (``_whole``) and rows in both dimensions (``_known``).
+
+    Both flags are columns rather than filters, so that one pass over the rows
+    counts what every later step removes."""
+    positive = typed.drop("_copies").where(_positive())
     caps = revenue_caps(positive, cap_q)
-    capped = positive.join(caps, "category", "left").withColumn(
-        "revenue", F.when(F.col("revenue").isNotNull(),
-                          F.least(F.col("revenue"),
-                                  F.coalesce(F.col("revenue_cap"), F.lit(float("inf")))))
-    ).drop("revenue_cap")
-    non_null = capped.dropna(subset=list(CRITICAL))
-    final = non_null.withColumns({
+    capped = positive.join(caps, "category", "left").withColumns({
+        "_before": F.col("revenue"),
+        "revenue": F.when(F.col("revenue").isNotNull(),
+                          F.least(F.col("revenue"), F.coalesce(F.col("revenue_cap"), F.lit(float("inf"))))),
+    }).drop("revenue_cap")
+    whole = F.lit(True)
+    for c in CRITICAL:
+        whole = whole & F.col(c).isNotNull()
+    final = capped.withColumns({
+        "_whole": whole,
         "discount_pct": clip("discount_pct", 0.0, 0.5),
         "quantity": clip("quantity", 1),
         "gross_profit": round_half_up(F.col("revenue") - F.col("cost"), 2),
     })
-    return deduped, typed, positive, capped, non_null, final
+    found_c = customers.select("customer_id", F.lit(True).alias("_c"))
+    found_p = products.select("product_id", F.lit(True).alias("_p"))
+    return (final.join(found_c, "customer_id", "left").join(found_p, "product_id", "left")
+            .withColumn("_known", F.col("_c").isNotNull() & F.col("_p").isNotNull())
+            .select(*[c for c in positive.columns], "_before", "_whole", "_known"))
 
 
-def clean_transactions(txn: DataFrame, order_cols: Sequence[str] = ("part_key", "supp_key"),
-                       cap_q: float = 0.995, materialize=None) -> DataFrame:
-    """``materialize`` (optional) writes the deduplicated, typed and filtered
-    rows once before the per-category caps are computed from them."""
-    return _stages(txn, order_cols, cap_q, materialize)[-1]
+def accepted(judged: DataFrame) -> DataFrame:
+    """The rows that pass every check."""
+    return judged.where(F.col("_whole") & F.col("_known")).drop("_before", "_whole", "_known")
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:
@@ -116,58 +153,34 @@ def clean_products(products: DataFrame) -> DataFrame:
     })
 
 
-def enforce_referential_integrity(txn: DataFrame, customers: DataFrame,
-                                  products: DataFrame) -> DataFrame:
-    """Keep rows whose customer and product both exist (two semi joins)."""
-    return (txn.join(customers.select("customer_id"), "customer_id", "left_semi")
-               .join(products.select("product_id"), "product_id", "left_semi"))
-
-
 def clean_all(customers: DataFrame, products: DataFrame, txn: DataFrame,
-              order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995,
-              materialize=None):
+              order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995):
+    """Cleaned customers, products and transactions as one lazy plan."""
     c = clean_customers(customers)
     p = clean_products(products)
-    t = enforce_referential_integrity(clean_transactions(txn, order_cols, cap_q, materialize), c, p)
-    return c, p, t
-
-
-def clean_audit(txn: DataFrame, customers: DataFrame, products: DataFrame,
-                order_cols: Sequence[str] = ("part_key", "supp_key"), cap_q: float = 0.995,
-                materialize=None, kept: DataFrame | None = None) -> DataFrame:
-    """One row with the count removed at each step and the revenue mean
-    before and after capping.  ``materialize`` / ``kept`` let the pipeline
-    pass its stage tables so nothing is recomputed."""
-    deduped, typed, positive, capped, non_null, final = _stages(txn, order_cols, cap_q, materialize)
-    deduped = typed  # coercion is row for row; count the (possibly staged) typed table
-    if kept is None:
-        kept = enforce_referential_integrity(final, clean_customers(customers), clean_products(products))
-
-    def n(df, name):
-        return df.agg(F.count(F.lit(1)).alias(name))
-
-    parts = [
-        n(txn, "rows_in"), n(deduped, "rows_deduped"), n(positive, "rows_positive"),
-        n(non_null, "rows_non_null"), n(kept, "rows_out"),
-        typed.agg(F.sum(F.when(F.col("quantity").isNull(), 1).otherwise(0)).cast("long")
-                  .alias("unparsable_quantity")),
-        final.agg(F.sum(F.when(F.col("discount_pct") >= 0.5, 1).otherwise(0)).cast("long")
-                  .alias("discount_at_cap")),
-        positive.agg(round_half_up(F.avg("revenue"), 2).alias("mean_revenue_before_cap")),
-        capped.agg(round_half_up(F.avg("revenue"), 2).alias("mean_revenue_after_cap")),
-    ]
-    out = parts[0]
-    for p_ in parts[1:]:
-        out = with_scalars(out, p_)
-    return out.select(
-        "rows_in",
-        (F.col("rows_in") - F.col("rows_deduped")).alias("removed_duplicates"),
-        (F.col("rows_deduped") - F.col("rows_positive")).alias("removed_non_positive"),
-        (F.col("rows_positive") - F.col("rows_non_null")).alias("removed_null_critical"),
-        (F.col("rows_non_null") - F.col("rows_out")).alias("removed_orphans"),
-        "rows_out", "unparsable_quantity", "discount_at_cap",
-        "mean_revenue_before_cap", "mean_revenue_after_cap",
-    )
+    return c, p, accepted(judged_transactions(typed_transactions(txn, order_cols), c, p, cap_q))
+
+
+def audit_row(spark: SparkSession, counts: Mapping[str, float]) -> DataFrame:
+    """One row with the rows that each step removed and the revenue mean
+    before and after capping, of what ``TYPED_COUNTS`` and ``JUDGED_COUNTS``
+    counted while the tables were written."""
+    def n(name):
+        return F.lit(int(counts[name] or 0)).cast("long")
+
+    def mean(name):
+        return round_half_up(F.lit(counts[name]).cast("double"), 2)
+
+    return spark.range(1).select(
+        n("rows_in").alias("rows_in"),
+        (n("rows_in") - n("rows_deduped")).alias("removed_duplicates"),
+        (n("rows_deduped") - n("rows_positive")).alias("removed_non_positive"),
+        (n("rows_positive") - n("rows_non_null")).alias("removed_null_critical"),
+        (n("rows_non_null") - n("rows_out")).alias("removed_orphans"),
+        n("rows_out").alias("rows_out"), n("unparsable_quantity").alias("unparsable_quantity"),
+        n("discount_at_cap").alias("discount_at_cap"),
+        mean("mean_revenue_before_cap").alias("mean_revenue_before_cap"),
+        mean("mean_revenue_after_cap").alias("mean_revenue_after_cap"))
 
 
 def dirty_transactions(txn: DataFrame, orphan_ref: str = "ORPHAN") -> DataFrame:

@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.operators.calendar import add_calendar_features
-from ledgerlight.operators.clean import clean_all, dirty_transactions
+from ledgerlight.operators.clean import (JUDGED_COUNTS, TYPED_COUNTS, accepted, audit_row, clean_customers,
+                                         clean_products, dirty_transactions, judged_transactions,
+                                         typed_transactions)
 from ledgerlight.operators.daily import aggregate_daily
 from ledgerlight.operators.ingest import ingest
 from ledgerlight.operators.series import add_rolling_and_lags
 from ledgerlight.operators.ingest import CUSTOMER_COLUMNS, PRODUCT_COLUMNS
-from ledgerlight.plans.stages import stage
+from ledgerlight.plans.stages import Observed, observed_stage, stage
 from ledgerlight.sources.holidays import us_holidays, years_spanned
 from ledgerlight.sources.tables import raw_sales, read_table
 
@@ -108,24 +110,24 @@ def star(spark: SparkSession, sf_dir: str, p: Params | None = None):
     return c.select(*CUSTOMER_COLUMNS), pr.select(*PRODUCT_COLUMNS), t
 
 
-def clean_star(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = False):
+def _clean(spark: SparkSession, sf_dir: str, p: Params | None, dirty: bool):
+    """Cleaned customers, products, fact, and the counts of what each step removed."""
     p = p or Params()
     customers, products, txn = star(spark, sf_dir, p)
     if dirty:
         txn = dirty_transactions(txn)
     key = (sf_dir, _pkey(p), dirty)
-    built = {}
+    c = stage(spark, ("clean_customers",) + key, lambda: clean_customers(customers))
+    pr = stage(spark, ("clean_products",) + key, lambda: clean_products(products))
+    typed, removed = observed_stage(spark, ("clean_typed",) + key, lambda: Observed(
+        typed_transactions(txn, p.order_cols), TYPED_COUNTS))
+    fact, judged = observed_stage(spark, ("clean_fact",) + key, lambda: Observed(
+        judged_transactions(typed, c, pr, p.cap_q), JUDGED_COUNTS, accepted))
+    return c, pr, fact, removed | judged
+
 
-    def get(i):
-        if "v" not in built:
-            built["v"] = clean_all(
-                customers, products, txn, p.order_cols, p.cap_q,
-                materialize=lambda df: stage(spark, ("clean_typed",) + key, lambda: df))
-        return built["v"][i]
-    c = stage(spark, ("clean_customers",) + key, lambda: get(0))
-    pr = stage(spark, ("clean_products",) + key, lambda: get(1))
-    t = stage(spark, ("clean_fact",) + key, lambda: get(2))
-    return c, pr, t
+def clean_star(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = False):
+    return _clean(spark, sf_dir, p, dirty)[:3]
 
 
 def clean_fact(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = False) -> DataFrame:
@@ -150,13 +152,5 @@ def daily_features(txn: DataFrame, series: str | Column | None = None,
 
 
 def clean_audit_table(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = True) -> DataFrame:
-    """S9 over the stage tables of ``clean_star`` (nothing recomputed)."""
-    from ledgerlight.operators.clean import clean_audit
-    p = p or Params()
-    customers, products, txn = star(spark, sf_dir, p)
-    if dirty:
-        txn = dirty_transactions(txn)
-    key = (sf_dir, _pkey(p), dirty)
-    kept = clean_star(spark, sf_dir, p, dirty)[2]
-    return clean_audit(txn, customers, products, p.order_cols, p.cap_q,
-                       materialize=lambda df: stage(spark, ("clean_typed",) + key, lambda: df), kept=kept)
+    """What was counted while the cleaned tables were written; no further pass."""
+    return audit_row(spark, _clean(spark, sf_dir, p, dirty)[3])

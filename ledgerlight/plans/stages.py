@@ -21,8 +21,10 @@ import os
 import threading
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
 
@@ -44,6 +46,38 @@ def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
     """
     if not enabled():
         return build()
+    path, schema, _ = _written(spark, key, build)
+    return spark.read.schema(schema).parquet(path)
+
+
+def observed_stage(spark: SparkSession, key: tuple, build: Callable[[], Observed]) -> tuple[DataFrame, dict]:
+    """The table for ``key`` and what was counted while it was written.
+
+    The counts come with the write itself and cost no other pass.  They sit
+    in its last stage, whose tasks report once each, even if executors are
+    lost and earlier stages run again.
+    """
+    if not enabled():
+        made = build()
+        return made.keep(made.rows), made.rows.agg(*made.aggregates).first().asDict()
+    path, schema, counts = _written(spark, key, build)
+    return spark.read.schema(schema).parquet(path), counts
+
+
+@dataclass
+class Observed:
+    """Rows, what is counted of them (names and SQL aggregates), and (``keep``) what of them is written."""
+    rows: DataFrame
+    counts: dict[str, str]
+    keep: Callable[[DataFrame], DataFrame] = lambda df: df
+
+    @property
+    def aggregates(self) -> list[Column]:
+        return [F.expr(sql).alias(name) for name, sql in self.counts.items()]
+
+
+def _written(spark: SparkSession, key: tuple, build: Callable) -> tuple:
+    """Path, schema and counts of the table for ``key``."""
     k = (spark.sparkContext.applicationId,) + tuple(key)
     with _GUARD:
         lock = _LOCKS.setdefault(k, threading.Lock())
@@ -53,11 +87,15 @@ def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
             root = ensure_checkpoint_dir(spark).rstrip("/")
             digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
             path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
-            df = build()
+            made, seen = build(), None
+            if isinstance(made, Observed):
+                seen = Observation(f"{key[0]}-{digest}")
+                df = made.keep(made.rows.observe(seen, *made.aggregates))
+            else:
+                df = made
             df.write.mode("overwrite").parquet(path)
-            entry = _TABLES[k] = (path, df.schema)
-    path, schema = entry
-    return spark.read.schema(schema).parquet(path)
+            entry = _TABLES[k] = (path, df.schema, seen.get if seen else {})
+    return entry
 
 
 def clear() -> None:

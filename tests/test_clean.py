@@ -23,3 +23,74 @@ def test_tiers_are_right_closed(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,)], "s double")
     got = [r[0] for r in df.select(tier_from_terciles(F.col("s"), F.lit(2.0), F.lit(3.0))).orderBy("s").collect()]
     assert got == ["Bronze", "Bronze", "Silver", "Gold"]
+
+
+def _small_star(spark):
+    """Ten lines of which one is a copy, one has no number, and others fail one check each."""
+    import datetime as dt
+    from ledgerlight.operators.ingest import HELPER_COLUMNS, TRANSACTION_COLUMNS
+    day = dt.date(2024, 1, 5)
+    rows = []
+    for i in range(9):
+        rows.append([f"t{i}", day, "c1", "p1", "S", "R", "cat", "2", 5.0, 0.1, 10.0 + i, 4.0, 6.0, True, "Gold", i, 1, 1])
+    rows.append(list(rows[0]))
+    rows[1][7] = "n/a"
+    rows[2][10] = -3.0
+    rows[3][10] = None
+    rows[4][1] = None
+    rows[5][2] = "unknown"
+    rows[6][3] = "unknown"
+    rows[7][9] = 2.5
+    rows[8][10] = 1e6
+    schema = ("transaction_id string, date date, customer_id string, product_id string, segment string, region string, "
+              "category string, quantity string, unit_price double, discount_pct double, revenue double, cost double, "
+              "gross_profit double, is_recurring boolean, account_tier string, order_key int, part_key int, supp_key int")
+    txn = spark.createDataFrame([tuple(r) for r in rows], schema).select(*TRANSACTION_COLUMNS, *HELPER_COLUMNS)
+    customers = spark.createDataFrame([("c1", " S ", "R", -4, "Gold"), ("c1", "T", "R", 4, "Gold")],
+                                      "customer_id string, segment string, region string, tenure_days int, account_tier string")
+    products = spark.createDataFrame([("p1", "cat", 5.0, 0.5, True)],
+                                     "product_id string, category string, base_price double, margin_pct double, is_recurring boolean")
+    return customers, products, txn
+
+
+def _audited(spark, key):
+    from ledgerlight.operators import clean as C
+    from ledgerlight.plans.stages import Observed, observed_stage
+    customers, products, txn = _small_star(spark)
+    c, p = C.clean_customers(customers), C.clean_products(products)
+    typed, seen = observed_stage(spark, ("typed", key), lambda: Observed(C.typed_transactions(txn), C.TYPED_COUNTS))
+    fact, judged = observed_stage(spark, ("fact", key), lambda: Observed(
+        C.judged_transactions(typed, c, p, 0.5), C.JUDGED_COUNTS, C.accepted))
+    return fact, C.audit_row(spark, seen | judged).first().asDict()
+
+
+def test_audit_is_counted_while_the_tables_are_written(spark, monkeypatch):
+    fact, audit = _audited(spark, "audit-test")
+    # positive revenues are 10, 11, 14, 15, 16, 17 and a million; the cap is their median, 15
+    assert audit == {
+        "rows_in": 10, "removed_duplicates": 1, "removed_non_positive": 1, "removed_null_critical": 2,
+        "removed_orphans": 2, "rows_out": 4, "unparsable_quantity": 1, "discount_at_cap": 1,
+        "mean_revenue_before_cap": round((10 + 11 + 14 + 15 + 16 + 17 + 1e6) / 7, 2),
+        "mean_revenue_after_cap": round((10 + 11 + 14 + 15 + 15 + 15 + 15) / 7, 2)}
+    got = {r.transaction_id: r for r in fact.collect()}
+    assert set(got) == {"t0", "t1", "t7", "t8"}
+    assert got["t1"].quantity is None and got["t7"].discount_pct == 0.5
+    assert got["t8"].revenue == got["t7"].revenue == 15.0 and got["t8"].gross_profit == 11.0
+    group = "audit-again"
+    spark.sparkContext.setJobGroup(group, group)
+    assert _audited(spark, "audit-test")[1] == audit
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 1  # the row itself; nothing is counted again
+    monkeypatch.setenv("LEDGERLIGHT_MATERIALIZE", "0")
+    assert _audited(spark, "audit-lazy")[1] == audit
+
+
+def test_audit_of_empty_tables(spark):
+    from ledgerlight.operators import clean as C
+    customers, products, txn = _small_star(spark)
+    judged = C.judged_transactions(C.typed_transactions(txn.limit(0)), customers, products)
+    counts = judged.selectExpr(*[f"{sql} AS {name}" for name, sql in C.JUDGED_COUNTS.items()]).first().asDict()
+    typed = C.typed_transactions(txn.limit(0)).selectExpr(*[f"{q} AS {n}" for n, q in C.TYPED_COUNTS.items()]).first().asDict()
+    row = C.audit_row(spark, counts | typed).first()
+    assert row.rows_in == row.rows_out == 0 and row.mean_revenue_after_cap is None
