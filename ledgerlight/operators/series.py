@@ -8,6 +8,7 @@ partition is one series: at most one row per calendar day.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,9 +19,11 @@ from ledgerlight.functions.numeric import round_half_up
 ROLL_WINDOWS = (7, 14, 28, 90)
 LAGS = (7, 14, 28, 56)
 EWM_SPAN = 14
-# Weights older than this many rows are below (13/15)**400 ~ 1e-25 of the
-# newest one, so the truncated recurrence equals the full one in doubles.
-EWM_FRAME = 400
+# Weights fall by about this factor within a block of the weighted mean, so a
+# block's sums keep their digits; rows that many blocks back weigh below 1e-36
+# of the newest one, which no double can show.
+EWM_FALL = 1e4
+EWM_BLOCKS_BACK = 9
 
 
 def series_window(series_col: str = "series_key", order_col: str = "date") -> Window:
@@ -61,28 +64,52 @@ def momentum(short: Column, long: Column) -> Column:
     return round_half_up(F.coalesce(F.try_divide(short, long), F.lit(1.0)), 4)
 
 
-def ewm_previous(target: str = "revenue", span: int = EWM_SPAN, frame: int = EWM_FRAME) -> Column:
-    """Unadjusted exponentially weighted mean of the previous rows.
+def add_ewm_previous(df: DataFrame, target: str = "revenue", span: int = EWM_SPAN, name: str = "ewm_14d") -> DataFrame:
+    """Unadjusted exponentially weighted mean of the previous rows, in ``name``.
 
     pandas ``shift(1).ewm(span, adjust=False).mean()``: e starts at the first
-    value and then e <- (1 - a) e + a x with a = 2 / (span + 1).
+    value and then e <- (1 - a) e + a x with a = 2 / (span + 1).  Rows without
+    a value leave e as it is.
+
+    Every step is an affine map of e, and chains of them can be summed up in
+    any grouping, so the mean is a prefix sum in two levels.  A series is cut
+    into blocks of rows.  Within a block, values weighted by their age are
+    summed up to each row; then the sums of whole blocks before it follow,
+    each weighted by its distance.  Both are sums over windows of the series:
+    no row looks back further than its block, and nothing is collected.
     """
     alpha = 2.0 / (span + 1.0)
-    prev = F.collect_list(F.col(target).cast("double")).over(series_window().rowsBetween(-frame, -1))
-    return F.when(
-        F.size(prev) > 0,
-        F.aggregate(F.slice(prev, 2, frame), F.element_at(prev, 1),
-                    lambda acc, x: acc * F.lit(1.0 - alpha) + x * F.lit(alpha)),
-    )
+    keep = 1.0 - alpha
+    if keep <= 0.0:  # only the newest value counts
+        return df.withColumn(name, F.last(F.col(target).cast("double"), ignorenulls=True).over(
+            series_window().rowsBetween(Window.unboundedPreceding, -1)))
+    size = max(1, int(math.log(EWM_FALL) / -math.log(keep)))
+    x = F.col(target).cast("double")
+    # rows without a value form a window of their own and are counted nowhere
+    own = Window.partitionBy("series_key", F.col("_seen")).orderBy("date")
+    out = df.withColumn("_seen", x.isNotNull())
+    out = out.withColumn("_i", F.row_number().over(own) - 1)
+    out = out.withColumns({"_block": F.floor(F.col("_i") / size), "_k": F.col("_i") % size})
+    weighted = x * F.when(F.col("_i") == 0, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -F.col("_k"))
+    block = Window.partitionBy("series_key", "_seen", "_block").orderBy("date")
+    out = out.withColumns({
+        "_upto": F.sum(weighted).over(block.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_whole": F.sum(weighted).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    before = F.lit(0.0)
+    for m in range(1, EWM_BLOCKS_BACK + 1):  # the row that many sizes back lies in the block that many back
+        before = before + F.coalesce(F.lag("_whole", m * size).over(own), F.lit(0.0)) * keep ** (m * size)
+    mean = F.pow(F.lit(keep), F.col("_k")) * (F.col("_upto") + before)
+    out = out.withColumn("_ewm", F.when(F.col("_seen"), mean))
+    last = F.last("_ewm", ignorenulls=True).over(series_window().rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn(name, last).drop("_seen", "_i", "_block", "_k", "_upto", "_whole", "_ewm")
 
 
 def add_rolling_and_lags(df: DataFrame, target: str = "revenue") -> DataFrame:
     """The reference's block C: rolling means / stds, lags, momentum, ewm."""
     out = add_lags(add_rolling(df, target), target)
-    return out.withColumns({
-        "momentum_7_28": momentum(F.col("roll_mean_7d"), F.col("roll_mean_28d")),
-        "ewm_14d": ewm_previous(target),
-    })
+    out = out.withColumn("momentum_7_28", momentum(F.col("roll_mean_7d"), F.col("roll_mean_28d")))
+    return add_ewm_previous(out, target)
 
 
 def drop_warmup(df: DataFrame, col: str = "lag_56d") -> DataFrame:
