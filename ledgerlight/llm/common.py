@@ -17,6 +17,17 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on batches for Python are of a few megabytes in this session, if it has not set a size itself.
+
+    Spark's default is 64 MB, which the executor's JVM and each of its workers
+    hold several times over.
+    """
+    for k, v in _STAGE_CONF.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder the cluster names in ``spark.checkpoint.dir``."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledgerlight-llm/{name}-{uuid.uuid4().hex[:12]}"
