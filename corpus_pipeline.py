@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import bpe, decontaminate, near_dedup, suffix_dedup, toxicity
-from ledgerlight.llm.common import staged
+from ledgerlight.llm.common import bound_batches, staged
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Near copies share this share of their shingles of so many words (op3 has its own).
@@ -24,12 +24,14 @@ PERCENT = 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
+    bound_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.grade(model, F.col("text"))["p_toxic"] < model.cut)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays."""
+    bound_batches(spark)
     found = near_dedup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
     gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
@@ -37,6 +39,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings that an earlier document has go; characters cut in half go with them."""
+    bound_batches(spark)
+
     @F.pandas_udf("string")
     def as_text(kept: pd.Series) -> pd.Series:
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
@@ -50,6 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
+    bound_batches(spark)
     found = decontaminate.hit_digests(
         decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     gone = found.where(F.col("contaminated") & F.col("doc_id").isNotNull()).select("doc_id")
@@ -58,6 +63,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers), their number and digest, digest of the decoded bytes."""
+    bound_batches(spark)
     path = public_tokenizers.path(VOCABULARY)
     return bpe.token_digests(docs, path, keep_ids=True)
 
