@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.numeric import round_half_up as rh
-from ledgerlight.operators.forecast import floor0, series_counts
+from ledgerlight.operators.forecast import (assign_row_folds, error_metrics, floor0, index_rows, series_counts,
+                                            walk_forward_folds)
 from ledgerlight.operators.series import future_spine, series_window
 
 EPOCH = "1970-01-01"
@@ -70,3 +71,24 @@ def seasonal_forecast(df: DataFrame, horizon: int = 90, periods: Sequence[int] =
         fc = fc.withColumn(f"slot{p}", pos % p).join(ix, ["series_key", f"slot{p}"], "left")
         yhat = yhat + F.coalesce(F.col(f"s{p}"), F.lit(0.0))
     return fc.select("series_key", "date", "h", rh(floor0(yhat), 2).alias("yhat"))
+
+
+def walk_forward_scores(df: DataFrame, initial: int = 600, step: int = 60, horizon: int = 90, max_folds: int = 3,
+                        **settings) -> DataFrame:
+    """M9: RMSE, MAE and MAPE of the decomposition in every walk-forward fold of every series.
+
+    A fold of a series is a series of its own: with (series, fold) as the key,
+    one plan fits all of them, as many as there are.  Step h of a forecast is
+    compared with the h-th row after the fold's training rows, whatever days
+    are missing.
+    """
+    folds = walk_forward_folds(df, initial, step, horizon, max_folds)
+    rows = assign_row_folds(index_rows(df.select("series_key", "date", "revenue")), folds)
+    rows = rows.withColumn("series_key", F.struct("series_key", "fold"))
+    fc = seasonal_forecast(rows.where(F.col("role") == "train").select("series_key", "date", "revenue"),
+                           horizon, **settings)
+    seen = rows.where(F.col("role") == "test").select(
+        "series_key", (F.col("rn") - F.col("train_end")).cast("int").alias("h"), F.col("revenue").alias("y"))
+    scored = seen.join(fc.select("series_key", "h", "yhat"), ["series_key", "h"])
+    return error_metrics(scored, ["series_key"]).select("series_key.series_key", "series_key.fold", "rmse", "mae",
+                                                        "mape", "n_eval")

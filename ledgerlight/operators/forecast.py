@@ -99,23 +99,34 @@ def floor0(x) -> F.Column:
     return F.greatest(c, F.lit(0.0))
 
 
+METRICS = ("rmse", "mae", "mape")
+
+
 def error_metrics(df: DataFrame, group_cols, y: str = "y", yhat: str = "yhat") -> DataFrame:
-    """RMSE, MAE and MAPE (denominator floored at 1), rounded to cents."""
+    """RMSE, MAE and MAPE (denominator floored at 1), not rounded: weights,
+    winners and means of folds are made of them."""
     e = F.col(y) - F.col(yhat)
     return df.groupBy(*group_cols).agg(
-        rh(F.sqrt(F.avg(e * e)), 2).alias("rmse"),
-        rh(F.try_divide(rh(F.sum(F.abs(e)), 2), F.count(e)), 2).alias("mae"),
-        rh(F.avg(F.abs(e) / F.greatest(F.col(y), F.lit(1.0))) * 100, 2).alias("mape"),
+        F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.avg(F.abs(e)).alias("mae"),
+        (F.avg(F.abs(e) / F.greatest(F.col(y), F.lit(1.0))) * 100).alias("mape"),
         F.count(e).alias("n_eval"),
     )
 
 
+def rounded_metrics(df: DataFrame, cols=METRICS) -> DataFrame:
+    """Scores as they are shown, in cents."""
+    return df.withColumns({c: rh(c, 2) for c in cols})
+
+
 def cv_summary(fold_metrics: DataFrame, group_cols) -> DataFrame:
-    """Mean and population std of fold scores."""
+    """Mean and population std of the folds' scores, rounded once at the end."""
     return fold_metrics.groupBy(*group_cols).agg(
         rh(F.avg("rmse"), 2).alias("cv_rmse_mean"),
         rh(F.stddev_pop("rmse"), 2).alias("cv_rmse_std"),
         rh(F.avg("mae"), 2).alias("cv_mae_mean"),
+        rh(F.stddev_pop("mae"), 2).alias("cv_mae_std"),
+        rh(F.avg("mape"), 2).alias("cv_mape_mean"),
         F.count(F.lit(1)).alias("n_folds"),
     )
 

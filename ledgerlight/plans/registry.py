@@ -516,6 +516,11 @@ def q_cv_folds_origin(spark, sf):
     return FC.fold_summary(FC.assign_day_folds(base, FC.origin_cutoffs(base)))
 
 
+def _holdout_scores() -> list:
+    """Holdout scores as they are shown."""
+    return [rh(m, 2).alias(f"holdout_{m}") for m in FC.METRICS]
+
+
 @register("naive_metrics", FSEG + f""",
 folds AS (
   SELECT series_key, CAST(f AS INTEGER) AS fold, (n - 90) - (4 - f) * 60 - 60 AS train_end,
@@ -527,18 +532,9 @@ cvrows AS (
   FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.test_end AND i.rn > f.train_end
   WHERE f.train_end >= 1
 ),
-foldm AS (
-  SELECT series_key, fold, {T.r('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse,
-         {T.r(T.r('sum(abs(y - yhat))') + ' / count(*)')} AS mae
-  FROM cvrows GROUP BY series_key, fold
-)
-SELECT m.series_key, m.rmse AS holdout_rmse, m.mae AS holdout_mae, m.mape AS holdout_mape,
-       c.cv_rmse_mean, c.cv_rmse_std, c.cv_mae_mean, c.n_folds
-FROM met m JOIN (
-  SELECT series_key, {T.r('avg(rmse)')} AS cv_rmse_mean, {T.r('stddev_pop(rmse)')} AS cv_rmse_std,
-         {T.r('avg(mae)')} AS cv_mae_mean, count(*) AS n_folds
-  FROM foldm GROUP BY series_key
-) c ON m.series_key = c.series_key
+foldm AS (SELECT series_key, fold, {T.metrics()} FROM cvrows GROUP BY series_key, fold)
+SELECT m.series_key, {T.shown('m', 'holdout_')}, c.* EXCLUDE (series_key)
+FROM met m JOIN ({T.cv('foldm')}) c ON m.series_key = c.series_key
 WHERE m.model = 'seasonal_naive'""")
 def q_naive_metrics(spark, sf):
     b = _bundle(spark, sf)
@@ -546,20 +542,15 @@ def q_naive_metrics(spark, sf):
     rows = FC.assign_row_folds(idx, FC.expanding_folds(b.base)).where(F.col("role") == "test")
     pred = rows.select("series_key", "fold", F.col("revenue").alias("y"), FC.floor0("lag_7d").alias("yhat"))
     cv = FC.cv_summary(FC.error_metrics(pred, ["series_key", "fold"]), ["series_key"])
-    hold = b.metrics.where(F.col("model") == "seasonal_naive").select(
-        "series_key", F.col("rmse").alias("holdout_rmse"), F.col("mae").alias("holdout_mae"),
-        F.col("mape").alias("holdout_mape"))
+    hold = b.metrics.where(F.col("model") == "seasonal_naive").select("series_key", *_holdout_scores())
     return hold.join(cv, "series_key")
 
 
 @register("ensemble_weights", FSEG + f"""
-SELECT series_key, model, rmse AS holdout_rmse, mae AS holdout_mae, mape AS holdout_mape,
-       {T.r('weight', 4)} AS weight FROM wts""")
+SELECT series_key, model, {T.shown(prefix='holdout_')}, {T.r('weight', 4)} AS weight FROM wts""")
 def q_ensemble_weights(spark, sf):
     w = _bundle(spark, sf).weights
-    return w.select("series_key", "model", F.col("rmse").alias("holdout_rmse"),
-                    F.col("mae").alias("holdout_mae"), F.col("mape").alias("holdout_mape"),
-                    rh("weight", 4).alias("weight"))
+    return w.select("series_key", "model", *_holdout_scores(), rh("weight", 4).alias("weight"))
 
 
 @register("ensemble_forecast", FSEG + "\nSELECT * FROM ens")
@@ -567,9 +558,9 @@ def q_ensemble_forecast(spark, sf):
     return _bundle(spark, sf).ensemble
 
 
-@register("ensemble_holdout", FSEG + "\nSELECT series_key, rmse, mae, mape, n_eval FROM ens_met")
+@register("ensemble_holdout", FSEG + f"\nSELECT series_key, {T.shown()}, n_eval FROM ens_met")
 def q_ensemble_holdout(spark, sf):
-    return _bundle(spark, sf).ensemble_metrics
+    return FC.rounded_metrics(_bundle(spark, sf).ensemble_metrics)
 
 
 @register("model_winner", FSEG + "\nSELECT * FROM win")
@@ -581,20 +572,15 @@ def q_model_winner(spark, sf):
 SELECT x.series_key, x.model, x.holdout_rmse, x.holdout_mae, x.holdout_mape, x.weight,
        (x.model = w.winner) AS is_winner
 FROM (
-  SELECT series_key, model, rmse AS holdout_rmse, mae AS holdout_mae, mape AS holdout_mape,
-         {T.r('weight', 4)} AS weight FROM wts
+  SELECT series_key, model, {T.shown(prefix='holdout_')}, {T.r('weight', 4)} AS weight FROM wts
   UNION ALL
-  SELECT series_key, 'ensemble', rmse, mae, mape, CAST(NULL AS DOUBLE) FROM ens_met
+  SELECT series_key, 'ensemble', {T.shown()}, CAST(NULL AS DOUBLE) FROM ens_met
 ) x JOIN win w ON x.series_key = w.series_key""")
 def q_model_comparison(spark, sf):
     """Q5: metric rows of every model plus the ensemble, with the winner flag."""
     b = _bundle(spark, sf)
-    singles = b.weights.select("series_key", "model", F.col("rmse").alias("holdout_rmse"),
-                               F.col("mae").alias("holdout_mae"), F.col("mape").alias("holdout_mape"),
-                               rh("weight", 4).alias("weight"))
-    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"),
-                                    F.col("rmse").alias("holdout_rmse"), F.col("mae").alias("holdout_mae"),
-                                    F.col("mape").alias("holdout_mape"),
+    singles = b.weights.select("series_key", "model", *_holdout_scores(), rh("weight", 4).alias("weight"))
+    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"), *_holdout_scores(),
                                     F.lit(None).cast("double").alias("weight"))
     return singles.unionByName(ens).join(b.winner, "series_key").select(
         "series_key", "model", "holdout_rmse", "holdout_mae", "holdout_mape", "weight",
@@ -870,7 +856,7 @@ def _tree(spark, sf):
 @register("tree_holdout")
 def q_tree_holdout(spark, sf):
     """M1: one GBT over all segment series, scored on each series' last 90 rows."""
-    return _tree(spark, sf)[2]
+    return FC.rounded_metrics(_tree(spark, sf)[2])
 
 
 @register("tree_importance")
@@ -905,12 +891,13 @@ def q_ridge_lift(spark, sf):
 
 
 # ---------------------------------------------------------- seasonal decomposition
-from ledgerlight.operators.decompose import seasonal_forecast  # noqa: E402
+from ledgerlight.operators.decompose import seasonal_forecast, walk_forward_scores  # noqa: E402
 
 
-def _decomp_sql(periods=(7, 365), horizon=HORIZON) -> str:
-    parts = [""",
-dd0 AS (SELECT series_key, date, revenue AS d, date_diff('day', DATE '1970-01-01', date) AS pos, n FROM idx)"""]
+def _decomp_sql(periods=(7, 365), idx: str = "idx", spine: str = "spine", last: str = "last_info") -> tuple[str, str]:
+    """CTEs, and the query of the forecast, of the series in ``idx``, ``spine`` and ``last``."""
+    parts = [f""",
+dd0 AS (SELECT series_key, date, revenue AS d, date_diff('day', DATE '1970-01-01', date) AS pos, n FROM {idx})"""]
     prev = "dd0"
     for p in periods:
         half = (p - 1) // 2
@@ -939,21 +926,59 @@ ds{p} AS (
 tailr AS (
   SELECT x.series_key, x.d, CAST(date_diff('day', l.last_date, x.date) AS DOUBLE) AS xo
   FROM (SELECT *, row_number() OVER (PARTITION BY series_key ORDER BY date DESC) AS rnd FROM {prev}) x
-  JOIN last_info l ON x.series_key = l.series_key WHERE x.rnd <= 90
+  JOIN {last} l ON x.series_key = l.series_key WHERE x.rnd <= 90
 ),
-line AS (SELECT series_key, regr_slope(d, xo) AS slope, regr_intercept(d, xo) AS icpt FROM tailr GROUP BY series_key)
+line AS (SELECT series_key, regr_slope(d, xo) AS slope, regr_intercept(d, xo) AS icpt FROM tailr GROUP BY series_key)""")
+    return "".join(parts), f"""
 SELECT sp.series_key, sp.date, sp.h,
        {T.r(f'greatest(coalesce(ln.icpt, 0.0) + coalesce(ln.slope, 0.0) * sp.h + {adds}, 0.0)')} AS yhat
-FROM spine sp JOIN line ln ON sp.series_key = ln.series_key
-{joins}""")
-    return "".join(parts)
+FROM {spine} sp JOIN line ln ON sp.series_key = ln.series_key
+{joins}"""
 
 
-@register("seasonal_forecast", FSEG + _decomp_sql())
+@register("seasonal_forecast", FSEG + "".join(_decomp_sql()))
 def q_seasonal_forecast(spark, sf):
     return seasonal_forecast(_base(spark, sf), HORIZON)
 
 
+_WALK_SQL = FSEG + """,
+folds AS (
+  SELECT series_key, CAST(f AS INTEGER) AS fold, 600 + f * 60 AS train_end, 600 + f * 60 + 90 AS test_end
+  FROM last_info, range(0, 3) t(f) WHERE 600 + f * 60 + 90 <= n
+),
+fidx AS (
+  SELECT i.series_key || '#' || f.fold AS series_key, i.date, i.revenue,
+         count(*) OVER (PARTITION BY i.series_key, f.fold) AS n
+  FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.train_end
+),
+flast AS (SELECT series_key, max(date) AS last_date FROM fidx GROUP BY series_key),
+fspine AS (
+  SELECT series_key, CAST(last_date + CAST(t.h AS INTEGER) AS DATE) AS date, CAST(t.h AS INTEGER) AS h
+  FROM flast, range(1, 91) t(h)
+)""" + "{},\nffc AS ({})".format(*_decomp_sql(idx="fidx", spine="fspine", last="flast")) + f""",
+ftest AS (
+  SELECT i.series_key, f.fold, CAST(i.rn - f.train_end AS INTEGER) AS h, i.revenue AS y
+  FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn > f.train_end AND i.rn <= f.test_end
+),
+foldm AS (
+  SELECT t.series_key, t.fold, {T.metrics('t.y', 'c.yhat')}
+  FROM ftest t JOIN ffc c ON c.series_key = t.series_key || '#' || t.fold AND c.h = t.h
+  GROUP BY t.series_key, t.fold
+)"""
+
+
+@register("decomposition_cv", _WALK_SQL + f"\nSELECT series_key, fold, {T.shown()}, n_eval FROM foldm")
+def q_decomposition_cv(spark, sf):
+    """M9: scores of the decomposition in each walk-forward fold."""
+    return FC.rounded_metrics(walk_forward_scores(_base(spark, sf)))
+
+
+@register("decomposition_cv_summary", _WALK_SQL + T.cv("foldm"))
+def q_decomposition_cv_summary(spark, sf):
+    """M13 of M9."""
+    return FC.cv_summary(walk_forward_scores(_base(spark, sf)), ["series_key"])
+
+
 # ---------------------------------------------------------- long-form EDA report (Q7)
 _OV = ["total_transactions", "total_revenue", "total_customers", "total_products",
        "avg_daily_revenue", "median_daily_revenue", "revenue_std"]
@@ -1065,7 +1090,7 @@ def q_additive_holdout(spark, sf):
     pred = AD.fit_predict(split.where(F.col("split") == "train"),
                           test.select("series_key", "date", *RG.REGRESSORS), hol)
     scored = pred.join(test.select("series_key", "date", F.col("revenue").alias("y")), ["series_key", "date"])
-    return FC.error_metrics(scored, ["series_key"])
+    return FC.rounded_metrics(FC.error_metrics(scored, ["series_key"]))
 
 
 @register("additive_forecast")
@@ -1119,9 +1144,9 @@ def _real_total(spark, sf):
 def q_real_model_comparison(spark, sf):
     """Q5: holdout scores and weights of the real models and their ensemble, with the winner flag."""
     b = _real_bundle(spark, sf)
-    singles = b.weights.select("series_key", "model", "rmse", "mae", "mape", rh("weight", 4).alias("weight"))
-    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"), "rmse", "mae", "mape",
-                                    F.lit(None).cast("double").alias("weight"))
+    singles = FC.rounded_metrics(b.weights).select("series_key", "model", *FC.METRICS, rh("weight", 4).alias("weight"))
+    ens = FC.rounded_metrics(b.ensemble_metrics).select(
+        "series_key", F.lit("ensemble").alias("model"), *FC.METRICS, F.lit(None).cast("double").alias("weight"))
     return singles.unionByName(ens).join(b.winner, "series_key").select(
         "series_key", "model", "rmse", "mae", "mape", "weight", (F.col("model") == F.col("winner")).alias("is_winner"))
 

@@ -315,6 +315,28 @@ def rolling_select(target: str = "revenue", alias: str = "d") -> str:
     return ",\n    ".join(parts)
 
 
+def metrics(y: str = "y", yhat: str = "yhat") -> str:
+    """RMSE, MAE, MAPE and count of a group, not rounded."""
+    e = f"({y} - {yhat})"
+    return (f"sqrt(avg({e} * {e})) AS rmse, avg(abs{e}) AS mae, "
+            f"avg(abs{e} / greatest({y}, 1.0)) * 100 AS mape, count(*) AS n_eval")
+
+
+def shown(alias: str = "", prefix: str = "") -> str:
+    """The three scores in cents."""
+    dot = f"{alias}." if alias else ""
+    return ", ".join(f"{r(dot + m)} AS {prefix}{m}" for m in ("rmse", "mae", "mape"))
+
+
+def cv(src: str) -> str:
+    """Means and population deviations of the scores in folds (series_key, fold, rmse, mae, mape)."""
+    return f"""
+SELECT series_key, {r('avg(rmse)')} AS cv_rmse_mean, {r('stddev_pop(rmse)')} AS cv_rmse_std,
+       {r('avg(mae)')} AS cv_mae_mean, {r('stddev_pop(mae)')} AS cv_mae_std, {r('avg(mape)')} AS cv_mape_mean,
+       count(*) AS n_folds
+FROM {src} GROUP BY series_key"""
+
+
 EWM_ALPHA = 2.0 / 15.0
 
 
@@ -328,7 +350,6 @@ def ewm_expr(prev: str = "_prev") -> str:
 def forecast_ctes(horizon: int = 90, holdout: int = 90) -> str:
     """Twin of ``plans.forecasting.evaluate`` on top of ``feat``."""
     H = horizon
-    e = "(y - yhat)"
     return f""",
 base AS (SELECT * FROM feat WHERE lag_56d IS NOT NULL),
 idx AS (
@@ -345,9 +366,7 @@ ho AS (
   FROM idx WHERE date > CAST(last_date - {holdout} AS DATE)
 ),
 met AS (
-  SELECT series_key, model, {r(f'sqrt(avg({e} * {e}))')} AS rmse,
-         {r(r(f'sum(abs({e}))') + ' / count(*)')} AS mae,
-         {r(f'avg(abs({e}) / greatest(y, 1.0)) * 100')} AS mape, count(*) AS n_eval
+  SELECT series_key, model, {metrics()}
   FROM ho GROUP BY series_key, model
 ),
 wts AS (SELECT *, (1.0 / rmse) / sum(1.0 / rmse) OVER (PARTITION BY series_key) AS weight FROM met),
@@ -399,9 +418,7 @@ eh AS (
   ) g JOIN nm ON g.series_key = nm.series_key WHERE g.k = nm.m
 ),
 ens_met AS (
-  SELECT series_key, {r(f'sqrt(avg({e} * {e}))')} AS rmse,
-         {r(r(f'sum(abs({e}))') + ' / count(*)')} AS mae,
-         {r(f'avg(abs({e}) / greatest(y, 1.0)) * 100')} AS mape, count(*) AS n_eval
+  SELECT series_key, {metrics()}
   FROM eh GROUP BY series_key
 ),
 win AS (

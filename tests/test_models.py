@@ -49,3 +49,28 @@ def test_keep_first_with_hot_key(spark):
     out = keep_first(hot.unionByName(rest), "transaction_id", ["o"])
     assert out.count() == 2 * n + 1
     assert out.where("transaction_id = 'HOT'").first().v == str(n - 1)
+
+
+def test_walk_forward_scores_equal_a_fit_of_each_fold(spark):
+    from ledgerlight.operators.decompose import walk_forward_scores
+    rng = np.random.default_rng(4)
+    rows = []
+    for key, n in (("a", 150), ("b", 110), ("short", 60)):
+        day = dt.date(2022, 1, 1)
+        for i in range(n):
+            day += dt.timedelta(days=1 if rng.random() < 0.9 else 2)
+            rows.append((key, day, round(float(200 + 30 * (i % 7) + i + rng.normal(0, 5)), 2)))
+    df = spark.createDataFrame(rows, "series_key string, date date, revenue double")
+    got = {(r.series_key, r.fold): r for r in
+           walk_forward_scores(df, initial=70, step=20, horizon=15, max_folds=3, periods=(7,)).collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)}
+    for (key, fold), r in got.items():
+        mine = sorted(x[1:] for x in rows if x[0] == key)
+        end = 70 + 20 * fold
+        train = spark.createDataFrame([(key, *x) for x in mine[:end]], df.schema)
+        fc = [x.yhat for x in seasonal_forecast(train, 15, periods=(7,)).orderBy("h").collect()]
+        y = np.array([x[1] for x in mine[end:end + 15]])
+        e = y - np.array(fc)
+        assert r.n_eval == 15
+        np.testing.assert_allclose([r.rmse, r.mae, r.mape],
+                                   [np.sqrt((e ** 2).mean()), np.abs(e).mean(), (np.abs(e) / y).mean() * 100], rtol=1e-9)
