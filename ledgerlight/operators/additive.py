@@ -1,4 +1,4 @@
-"""Additive regression with seasonality, holidays and regressors.
+"""Additive regression with seasonality, holidays and regressors.
 
 The reference's superseded path fits Prophet (multiplicative seasonality,
 holiday windows, four standardised regressors).  Re-aimed here without a
@@ -9,13 +9,17 @@ changepoint solver: per series, a ridge regression of ``log1p(revenue)`` on
 * one indicator per holiday for its +-1 day window,
 * the four regressors,
 
-all standardised with the training rows' mean and std.  Design columns are
-computed with built-in expressions; each series (bounded: one row per day)
-is fitted and predicted in one grouped-map call (closed-form ridge in
-NumPy).  Prediction is ``expm1`` of the linear predictor, floored at 0, with
+all standardised with the training rows' mean and deviation.  Design columns
+are built-in expressions, the fit is made of summed outer products (``gram``),
+and predictions are expressions again, so the rows of a series never meet in
+one task.  Prediction is ``expm1`` of the linear predictor, floored at 0, with
 a band from the 90th percentile of absolute training residuals on the log
-scale.  All three outputs are rounded to cents
-(trap 15: this path rounds yhat too).
+scale.  All three outputs are rounded to cents (trap 15: this path rounds yhat
+too).
+
+Rolling-origin scores need a fit at every cutoff.  The sums of the rows up to a
+cutoff are those up to the one before it and those of the days between, so each
+row is summed once, whatever the number of cutoffs.
 """
 
 from __future__ import annotations
@@ -27,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.numeric import round_half_up as rh
+from ledgerlight.operators.forecast import error_metrics, origin_cutoffs
+from ledgerlight.operators.gram import gram_sums, linear, running_sums, solve
+from ledgerlight.operators.quantiles import exact_quantiles
 from ledgerlight.operators.ridge import REGRESSORS
 from ledgerlight.sources.holidays import US_HOLIDAY_RULES, holiday_windows
 
@@ -43,7 +50,7 @@ def design_columns(holiday_names: Sequence[str] | None = None) -> list[str]:
     return names
 
 
-def add_design(df: DataFrame, first_dates: DataFrame, holidays: DataFrame) -> DataFrame:
+def add_design(df: DataFrame, first: DataFrame, holidays: DataFrame) -> DataFrame:
     """Raw (unstandardised) design columns for rows with series_key, date
     and the regressors."""
     names = [n for n, *_ in US_HOLIDAY_RULES]
@@ -57,54 +64,72 @@ def add_design(df: DataFrame, first_dates: DataFrame, holidays: DataFrame) -> Da
         cols[f"cos_y{k}"] = F.cos(F.lit(2 * math.pi * k / 365.25) * day)
     win = (holiday_windows(holidays, -1, 1).groupBy("date")
            .agg(*[F.max((F.col("holiday") == n).cast("double")).alias(f"hol_{i}") for i, n in enumerate(names)]))
-    out = df.join(first_dates, "series_key").withColumns(cols).join(win, "date", "left")
+    out = df.join(first, "series_key").withColumns(cols).join(win, "date", "left")
     return out.fillna(0.0, subset=[f"hol_{i}" for i in range(len(names))]).drop("_first")
 
 
+TARGET = "_y"
+
+
+def _design(df: DataFrame, first: DataFrame, holidays: DataFrame, *keep: str) -> DataFrame:
+    target = F.log1p(F.greatest(F.col("revenue"), F.lit(0.0))) if "revenue" in df.columns else F.lit(None).cast("double")
+    return add_design(df, first, holidays).select(
+        "series_key", "date", *keep, *design_columns(), target.alias(TARGET))
+
+
+def first_dates(train: DataFrame) -> DataFrame:
+    return train.groupBy("series_key").agg(F.min("date").alias("_first"))
+
+
+def fit(train: DataFrame, holidays: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """series_key, n, coef, intercept of ``train`` (series_key, date, revenue, regressors)."""
+    cols = design_columns()
+    rows = _design(train, first_dates(train), holidays)
+    return solve(gram_sums(rows, ["series_key"], cols, TARGET), ["series_key"], len(cols), alpha, standardise=True)
+
+
+def _money(eta) -> F.Column:
+    return rh(F.greatest(F.expm1(eta), F.lit(0.0)), 2)
+
+
 def fit_predict(train: DataFrame, rows: DataFrame, holidays: DataFrame, alpha: float = 1.0,
                 level: float = 0.9) -> DataFrame:
     """Fit on ``train`` (series_key, date, revenue, regressors) and predict
-    ``rows`` (series_key, date, regressors), per series.
-
-    Design columns are built JVM-side; each series (one row per day, so its
-    size is bounded by the calendar) is then one grouped-map call: standardise
-    with the training rows, closed-form ridge with an unpenalised intercept,
-    predict, band from the ``level`` quantile of absolute log residuals.
-    """
-    import numpy as np
-    import pandas as pd
-
+    ``rows`` (series_key, date, regressors), per series, with a band from the
+    ``level`` quantile of the absolute residuals of the training rows."""
+    cols, first = design_columns(), first_dates(train)
+    coefs = fit(train, holidays, alpha)
+    fitted = _design(train, first, holidays).join(coefs, "series_key")
+    band = exact_quantiles(fitted.withColumn("_far", F.abs(F.col(TARGET) - linear(cols))), "_far",
+                           {"_band": level}, ["series_key"])
+    out = (_design(rows.drop("revenue"), first, holidays).join(coefs, "series_key").join(band, "series_key")
+           .withColumn("_eta", linear(cols)))
+    return out.select("series_key", "date", _money(F.col("_eta")).alias("yhat"),
+                      _money(F.col("_eta") - F.col("_band")).alias("yhat_lower"),
+                      _money(F.col("_eta") + F.col("_band")).alias("yhat_upper"))
+
+
+def rolling_origin_scores(base: DataFrame, holidays: DataFrame, initial_days: int = 600, period_days: int = 60,
+                          horizon_days: int = 90, alpha: float = 1.0) -> DataFrame:
+    """RMSE, MAE and MAPE in the days after every cutoff of every series,
+    each from a fit of the rows up to that cutoff (fold 0 is the last)."""
     cols = design_columns()
-    first = train.groupBy("series_key").agg(F.min("date").alias("_first"))
-    tr = add_design(train, first, holidays).select(
-        "series_key", "date", *cols, F.log1p(F.greatest(F.col("revenue"), F.lit(0.0))).alias("_y"),
-        F.lit(True).alias("_train"))
-    pr = add_design(rows, first, holidays).select(
-        "series_key", "date", *cols, F.lit(None).cast("double").alias("_y"), F.lit(False).alias("_train"))
-    both = tr.unionByName(pr)
-    k = len(cols)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf[pdf["_train"]]
-        p = pdf[~pdf["_train"]]
-        x = t[cols].to_numpy(dtype=float)
-        mu, sd = x.mean(axis=0), x.std(axis=0)
-        sd[sd == 0] = 1.0
-        zt = (x - mu) / sd
-        y = t["_y"].to_numpy(dtype=float)
-        ym = y.mean() if len(y) else 0.0
-        zc = zt - zt.mean(axis=0) if len(y) else zt
-        beta = np.linalg.solve(zc.T @ zc + alpha * np.eye(k), zc.T @ (y - ym)) if len(y) else np.zeros(k)
-        icpt = ym - zt.mean(axis=0) @ beta if len(y) else 0.0
-        band = float(np.quantile(np.abs(y - (zt @ beta + icpt)), level)) if len(y) else 0.0
-        eta = ((p[cols].to_numpy(dtype=float) - mu) / sd) @ beta + icpt
-        return pd.DataFrame({"series_key": p["series_key"].to_numpy(), "date": p["date"].to_numpy(),
-                             "_eta": eta, "_band": band})
-
-    out = both.groupBy("series_key").applyInPandas(
-        fn, "series_key string, date date, _eta double, _band double")
-    return out.select(
-        "series_key", "date",
-        rh(F.greatest(F.expm1(F.col("_eta")), F.lit(0.0)), 2).alias("yhat"),
-        rh(F.greatest(F.expm1(F.col("_eta") - F.col("_band")), F.lit(0.0)), 2).alias("yhat_lower"),
-        rh(F.greatest(F.expm1(F.col("_eta") + F.col("_band")), F.lit(0.0)), 2).alias("yhat_upper"))
+    cuts = origin_cutoffs(base, initial_days, period_days, horizon_days)
+    ends = cuts.groupBy("series_key").agg(F.max("cutoff").alias("_last"), F.max("fold").alias("_folds"))
+    rows = _design(base, first_dates(base), holidays, "revenue").join(ends, "series_key")
+    back = F.datediff("_last", "date")  # days before the last cutoff
+
+    # a row belongs to the earliest cutoff that it precedes, and so to all later ones
+    parts = rows.where(back >= 0).withColumn(
+        "fold", F.least(F.floor(back / period_days), F.col("_folds")).cast("int"))
+    sums = gram_sums(parts, ["series_key", "fold"], cols, TARGET)
+    each = running_sums(sums, cuts.select("series_key", "fold"), ["series_key"], "fold", len(cols))
+    coefs = solve(each, ["series_key", "fold"], len(cols), alpha, standardise=True)
+
+    # and it is tested after the cutoffs that lie less than a horizon before it
+    low = F.greatest(F.floor(back / period_days) + 1, F.lit(0))
+    high = F.least(F.floor((back + horizon_days) / period_days), F.col("_folds"))
+    tested = rows.where(low <= high).withColumn("fold", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    scored = tested.join(coefs, ["series_key", "fold"]).select(
+        "series_key", "fold", F.col("revenue").alias("y"), _money(linear(cols)).alias("yhat"))
+    return error_metrics(scored, ["series_key", "fold"])

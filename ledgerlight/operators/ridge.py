@@ -1,65 +1,41 @@
 """Ridge correction on model residuals, per series.
 
-Sufficient statistics (n, sums, cross-products) are one grouped aggregate
-over all rows, partial-aggregated on the map side; the tiny per-series
-(k+1)-by-(k+1) solve runs in ``applyInPandas`` on that one-row-per-series
-table.  Same estimator as ridge with an unpenalised intercept: centred
-Gram matrix plus alpha on the diagonal.
+The sums that a fit needs are one aggregate over all rows, and the small
+systems of all series are solved in batches (``gram``): ridge with an
+unpenalised intercept, as centred sums plus alpha on the diagonal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.operators.forecast import floor0
+from ledgerlight.operators.gram import gram_sums, solve
 
 REGRESSORS = ["is_q4", "near_holiday", "roll_mean_28d", "avg_discount"]
 
 
-def gram_sums(df: DataFrame, target: str = "resid", xs: Sequence[str] = REGRESSORS) -> DataFrame:
-    """n, sum(x), sum(y), sum(x x'), sum(x y) per series."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(target).alias("sy")]
-    for i, a in enumerate(xs):
-        aggs.append(F.sum(F.col(a).cast("double")).alias(f"sx{i}"))
-        aggs.append(F.sum(F.col(a).cast("double") * F.col(target)).alias(f"sxy{i}"))
-        for j, b in enumerate(xs):
-            if j >= i:
-                aggs.append(F.sum(F.col(a).cast("double") * F.col(b).cast("double")).alias(f"sxx{i}_{j}"))
-    return df.groupBy("series_key").agg(*aggs)
+def residual_sums(fitted: DataFrame, xs: Sequence[str] = REGRESSORS) -> DataFrame:
+    """series_key, place, value: sums of the outer products of (1, xs, y - yhat)."""
+    return gram_sums(fitted.withColumn("resid", F.col("y") - F.col("yhat")), ["series_key"], xs, "resid")
 
 
-def solve(sums: DataFrame, k: int = len(REGRESSORS), alpha: float = 1.0) -> DataFrame:
-    """Coefficients ``b0..b{k-1}`` and ``intercept`` per series."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            n = float(r["n"])
-            sx = np.array([r[f"sx{i}"] for i in range(k)], dtype=float)
-            sxx = np.empty((k, k))
-            for i in range(k):
-                for j in range(k):
-                    sxx[i, j] = r[f"sxx{min(i, j)}_{max(i, j)}"]
-            sxy = np.array([r[f"sxy{i}"] for i in range(k)], dtype=float)
-            xbar, ybar = sx / n, float(r["sy"]) / n
-            gram = sxx - n * np.outer(xbar, xbar) + alpha * np.eye(k)
-            rhs = sxy - n * xbar * ybar
-            beta = np.linalg.lstsq(gram, rhs, rcond=None)[0]
-            out.append([r["series_key"], *beta.tolist(), ybar - float(xbar @ beta)])
-        return pd.DataFrame(out, columns=["series_key", *[f"b{i}" for i in range(k)], "intercept"])
-
-    schema = "series_key string, " + ", ".join(f"b{i} double" for i in range(k)) + ", intercept double"
-    return sums.groupBy("series_key").applyInPandas(fn, schema)
+def named_sums(sums: DataFrame, xs: Sequence[str] = REGRESSORS) -> DataFrame:
+    """The sums with the names of their two factors instead of their place."""
+    names = ["one", *xs, "resid"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    factors = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    pair = F.get(factors, F.col("place"))
+    return sums.select("series_key", pair["a"].alias("factor_a"), pair["b"].alias("factor_b"), "value")
 
 
 def fit_residual_ridge(fitted: DataFrame, xs: Sequence[str] = REGRESSORS, alpha: float = 1.0) -> DataFrame:
-    """``fitted`` has series_key, y, yhat and the regressors (J12 joined)."""
-    return solve(gram_sums(fitted.withColumn("resid", F.col("y") - F.col("yhat")), "resid", xs),
-                 len(xs), alpha)
+    """``b0..`` and ``intercept`` per series; ``fitted`` has series_key, y, yhat and the regressors (J12 joined)."""
+    coefs = solve(residual_sums(fitted, xs), ["series_key"], len(xs), alpha)
+    return coefs.select("series_key", *[F.get("coef", F.lit(i)).alias(f"b{i}") for i in range(len(xs))], "intercept")
 
 
 def apply_correction(fc: DataFrame, regs: DataFrame, coefs: DataFrame,

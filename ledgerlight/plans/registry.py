@@ -874,15 +874,39 @@ def q_tree_forecast(spark, sf):
     return TR.recursive_forecast(spark, _tree(spark, sf)[0], base, hol, HORIZON)
 
 
+def _gram_sql() -> str:
+    names = ["one", *RG.REGRESSORS, "resid"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return FSEG + """,
+g AS (
+  SELECT series_key, 1.0 AS one, CAST(is_q4 AS DOUBLE) AS is_q4, CAST(near_holiday AS DOUBLE) AS near_holiday,
+         roll_mean_28d, avg_discount, revenue - greatest(roll_mean_28d, 0.0) AS resid
+  FROM idx
+)""" + "\nUNION ALL ".join(
+        f"SELECT series_key, '{a}' AS factor_a, '{b}' AS factor_b, printf('%.6e', sum({a} * {b})) AS value "
+        f"FROM g GROUP BY series_key" for a, b in pairs)
+
+
+def _ma_fitted(base: DataFrame) -> DataFrame:
+    """The moving average's in-sample fit with the regressors of its days."""
+    return FC.moving_average_in_sample(base).join(
+        base.select("series_key", "date", *RG.REGRESSORS), ["series_key", "date"])
+
+
+@register("ridge_gram", _gram_sql())
+def q_ridge_gram(spark, sf):
+    """The sums that the residual ridge is solved from, to seven digits."""
+    sums = RG.named_sums(RG.residual_sums(_ma_fitted(_base(spark, sf))))
+    return sums.withColumn("value", F.format_string("%.6e", "value"))
+
+
 @register("ridge_lift")
 def q_ridge_lift(spark, sf):
     """Ridge (alpha 1) of the moving-average model's in-sample
     residuals on the four regressors, applied to its future forecast."""
     from ledgerlight.operators.series import future_spine
     base = _base(spark, sf)
-    fitted = FC.moving_average_in_sample(base).join(
-        base.select("series_key", "date", *RG.REGRESSORS), ["series_key", "date"])
-    coefs = RG.fit_residual_ridge(fitted)
+    coefs = RG.fit_residual_ridge(_ma_fitted(base))
     fc = FC.last_n_mean_future(base, HORIZON)
     dates = future_spine(FC.series_counts(base), HORIZON).select("series_key", "date")
     regs = FC.future_regressors(base, dates)
@@ -1104,6 +1128,20 @@ def q_additive_forecast(spark, sf):
     return AD.fit_predict(base, regs, hol)
 
 
+@register("additive_cv")
+def q_additive_cv(spark, sf):
+    """Scores of the additive model after every cutoff."""
+    base = _base(spark, sf)
+    return FC.rounded_metrics(AD.rolling_origin_scores(base, _holidays_for(base)))
+
+
+@register("additive_cv_summary")
+def q_additive_cv_summary(spark, sf):
+    """M13 of M11."""
+    base = _base(spark, sf)
+    return FC.cv_summary(AD.rolling_origin_scores(base, _holidays_for(base)), ["series_key"])
+
+
 @register("tree_cv")
 def q_tree_cv(spark, sf):
     """M2 + M13: expanding-window CV of the boosted trees (5 folds x 60 rows
