@@ -62,13 +62,18 @@ def _pkey(p: Params) -> tuple:
     return (p.recurring_category, p.min_customers, p.cap_q, tuple(p.order_cols), p.salt)
 
 
+def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw sales table, written once."""
+    return stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+
+
 def star_full(spark: SparkSession, sf_dir: str, p: Params | None = None):
     """customers (with the raw key and spend), products (with counts) and
     transactions (with helper columns), each written once as a stage table."""
     from ledgerlight.operators.ingest import build_customers, build_products, build_transactions
     p = p or Params()
     key = (sf_dir, _pkey(p))
-    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+    raw = raw_table(spark, sf_dir)
     customers_k = stage(spark, ("customers",) + key,
                         lambda: build_customers(raw, keep_key=True, salt=p.salt))
     products = stage(spark, ("products",) + key,
@@ -90,7 +95,7 @@ def build_stages(spark: SparkSession, sf_dir: str, p: Params | None = None,
     from ledgerlight.operators.ingest import build_customers, build_products
     p = p or Params()
     key = (sf_dir, _pkey(p))
-    raw = stage(spark, ("raw", sf_dir), lambda: raw_sales(spark, sf_dir))
+    raw = raw_table(spark, sf_dir)
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         list(pool.map(lambda f: f(), [
             lambda: stage(spark, ("customers",) + key, lambda: build_customers(raw, keep_key=True, salt=p.salt)),
@@ -122,7 +127,7 @@ def _clean(spark: SparkSession, sf_dir: str, p: Params | None, dirty: bool):
     typed, removed = observed_stage(spark, ("clean_typed",) + key, lambda: Observed(
         typed_transactions(txn, p.order_cols), TYPED_COUNTS))
     fact, judged = observed_stage(spark, ("clean_fact",) + key, lambda: Observed(
-        judged_transactions(typed, c, pr, p.cap_q), JUDGED_COUNTS, accepted))
+        judged_transactions(typed, c, pr, p.cap_q), JUDGED_COUNTS, accepted, monthly=True))
     return c, pr, fact, removed | judged
 
 
@@ -130,6 +135,45 @@ def clean_star(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty:
     return _clean(spark, sf_dir, p, dirty)[:3]
 
 
+def csv_star(spark: SparkSession, path: str, p: Params | None = None, max_malformed: int = 0):
+    """S1 to the star: customers, products, transactions of a raw CSV file, and its malformed lines.
+
+    The file's lines are written once, as they stand in the file.  More than
+    ``max_malformed`` lines that don't fit the schema, missing columns (P10)
+    and transactions without a customer or product (J5) are errors.
+    """
+    from ledgerlight.operators.ingest import (TRANSACTION_COLUMNS, assert_columns, assert_no_orphans, build_customers,
+                                              build_products, build_transactions, numbered_id)
+    from ledgerlight.sources.io import MALFORMED, RAW_CSV_SCHEMA, raw_from_csv, read_raw_csv
+    p = p or Params()
+    key = (path, _pkey(p))
+    lines, counted = observed_stage(spark, ("csv_lines", path), lambda: Observed(
+        read_raw_csv(spark, path), {"malformed": f"count_if({MALFORMED} IS NOT NULL)"}))
+    assert_columns(lines, RAW_CSV_SCHEMA.fieldNames())
+    if counted["malformed"] > max_malformed:
+        raise ValueError(f"{counted['malformed']} lines of {path} don't fit the schema")
+    raw, order = raw_from_csv(lines), ("_place",)
+    customers = stage(spark, ("csv_customers",) + key,
+                      lambda: build_customers(raw, keep_key=True, salt=p.salt, order=order))
+    products = stage(spark, ("csv_products",) + key,
+                     lambda: build_products(raw, p.recurring_category, p.min_customers, order=order))
+    txn = stage(spark, ("csv_transactions",) + key, lambda: build_transactions(
+        raw, customers, products, salt=p.salt, txn_id=numbered_id, helpers=("order_key", "_place")))
+    assert_columns(txn, TRANSACTION_COLUMNS)
+    assert_no_orphans(txn, customers, products)
+    return (customers.select(*CUSTOMER_COLUMNS), products.select(*PRODUCT_COLUMNS), txn,
+            lines.where(F.col(MALFORMED).isNotNull()))
+
+
+def csv_clean_fact(spark: SparkSession, path: str, p: Params | None = None, max_malformed: int = 0) -> DataFrame:
+    """The cleaned transaction fact of a raw CSV file."""
+    from ledgerlight.operators.clean import clean_all
+    p = p or Params()
+    customers, products, txn, _ = csv_star(spark, path, p, max_malformed)
+    return stage(spark, ("csv_clean_fact", path, _pkey(p)), lambda: clean_all(
+        customers, products, txn, ("_place",), p.cap_q)[2])
+
+
 def clean_fact(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty: bool = False) -> DataFrame:
     return clean_star(spark, sf_dir, p, dirty)[2]
 

@@ -15,6 +15,7 @@ from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.daily import aggregate_daily
 from ledgerlight.plans import sql_twins as T
 from ledgerlight.plans.pipeline import Params, clean_fact
+from ledgerlight.sources.io import between, write_raw_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -57,6 +58,15 @@ def q_daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(daily, DAILY_ROUND).select(*DAILY_COLS)
 
 
+@register("csv_daily_revenue", ORACLE["daily_revenue"])
+def q_csv_daily_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table written as a latin-1 CSV, and the daily series of that file."""
+    from ledgerlight.plans import stages as _st
+    from ledgerlight.plans.pipeline import csv_clean_fact, raw_table
+    path = _st.folder(spark, ("raw_csv", sf_dir), lambda to: write_raw_csv(raw_table(spark, sf_dir), to))
+    return rounded(aggregate_daily(csv_clean_fact(spark, path, Params())), DAILY_ROUND).select(*DAILY_COLS)
+
+
 # ------------------------------------------------------------- shared pieces
 from ledgerlight.operators import report as R  # noqa: E402
 from ledgerlight.operators.clean import dirty_transactions  # noqa: E402

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
+from ledgerlight.sources.io import by_month, write_months
 
 _TABLES: dict[tuple, tuple] = {}
 _LOCKS: dict[tuple, threading.Lock] = {}
@@ -66,16 +67,37 @@ def observed_stage(spark: SparkSession, key: tuple, build: Callable[[], Observed
 
 @dataclass
 class Observed:
-    """Rows, what is counted of them (names and SQL aggregates), and (``keep``) what of them is written."""
+    """Rows, what is counted of them (names and SQL aggregates), what of them
+    is written (``keep``), and whether in a folder for each month."""
     rows: DataFrame
     counts: dict[str, str]
     keep: Callable[[DataFrame], DataFrame] = lambda df: df
+    monthly: bool = False
 
     @property
     def aggregates(self) -> list[Column]:
         return [F.expr(sql).alias(name) for name, sql in self.counts.items()]
 
 
+def folder(spark: SparkSession, key: tuple, write: Callable[[str], None]) -> str:
+    """A folder that ``write`` has filled, once per session and key."""
+    k = (spark.sparkContext.applicationId,) + tuple(key)
+    with _GUARD:
+        lock = _LOCKS.setdefault(k, threading.Lock())
+    with lock:
+        if k not in _TABLES:
+            path = _new_path(spark, key, k)
+            write(path)
+            _TABLES[k] = (path, None, {})
+    return _TABLES[k][0]
+
+
+def _new_path(spark: SparkSession, key: tuple, k: tuple) -> str:
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
+    return f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
+
+
 def _written(spark: SparkSession, key: tuple, build: Callable) -> tuple:
     """Path, schema and counts of the table for ``key``."""
     k = (spark.sparkContext.applicationId,) + tuple(key)
@@ -84,16 +106,18 @@ def _written(spark: SparkSession, key: tuple, build: Callable) -> tuple:
     with lock:  # one builder per table; other tables build concurrently
         entry = _TABLES.get(k)
         if entry is None:
-            root = ensure_checkpoint_dir(spark).rstrip("/")
-            digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
-            path = f"{root}/ledgerlight-stages/{key[0]}-{digest}-{uuid.uuid4().hex[:8]}"
+            path = _new_path(spark, key, k)
             made, seen = build(), None
             if isinstance(made, Observed):
-                seen = Observation(f"{key[0]}-{digest}")
-                df = made.keep(made.rows.observe(seen, *made.aggregates))
+                seen = Observation(path.rsplit("/", 1)[-1])
+                rows = by_month(made.rows) if made.monthly else made.rows  # counted behind that shuffle
+                df = made.keep(rows.observe(seen, *made.aggregates))
             else:
                 df = made
-            df.write.mode("overwrite").parquet(path)
+            if isinstance(made, Observed) and made.monthly:
+                write_months(df, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
             entry = _TABLES[k] = (path, df.schema, seen.get if seen else {})
     return entry
 
