@@ -170,8 +170,9 @@ def null_profile(df: DataFrame) -> DataFrame:
     return wide.selectExpr(stack)
 
 
-def share_of_total(df: DataFrame, by: str, value: str = "revenue", digits: int = 2) -> DataFrame:
-    """Value per group and its percentage of the total.
+def share_of_total(df: DataFrame, by: str, value: str = "revenue", digits: int = 2,
+                   total: str | None = None) -> DataFrame:
+    """Value per group and its percentage of the total, which is added as column ``total`` if named.
 
     The total is a one-row aggregate attached by broadcast (no single-
     partition window)."""
@@ -180,7 +181,8 @@ def share_of_total(df: DataFrame, by: str, value: str = "revenue", digits: int =
     tot = g.agg(rh(F.sum(value), 2).alias("_total"))
     return with_scalars(g, tot).select(
         by, value, "n_transactions",
-        rh(F.try_divide(F.col(value), F.col("_total")) * 100, digits).alias("share_pct"))
+        rh(F.try_divide(F.col(value), F.col("_total")) * 100, digits).alias("share_pct"),
+        *([F.col("_total").alias(total)] if total else []))
 
 
 def best_worst(df: DataFrame, value: str, key: str) -> DataFrame:

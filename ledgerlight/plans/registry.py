@@ -6,6 +6,7 @@ tables.  Outputs are aliased and rounded identically in both engines.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.daily import aggregate_daily
 from ledgerlight.plans import sql_twins as T
 from ledgerlight.plans.pipeline import Params, clean_fact
-from ledgerlight.sources.io import between, write_raw_csv
+from ledgerlight.sources.io import write_raw_csv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -697,7 +698,12 @@ def q_impute_median(spark, sf):
 from ledgerlight.plans import served as S  # noqa: E402
 
 
-def _actuals_sql(gran: str) -> str:
+#: The range that the queries with a range ask for, within the driver's tables.
+RANGE = (dt.date(1997, 3, 15), dt.date(1998, 9, 2))
+IN_RANGE = "date BETWEEN DATE '1997-03-15' AND DATE '1998-09-02'"
+
+
+def _actuals_sql(gran: str, where: str = "date BETWEEN b.s AND b.e") -> str:
     if gran == "daily":
         agg = "SELECT date, revenue AS value FROM f"
     else:
@@ -705,7 +711,7 @@ def _actuals_sql(gran: str) -> str:
         agg = f"SELECT CAST(date_trunc('{unit}', date) AS DATE) AS date, {T.r('sum(revenue)')} AS value FROM f GROUP BY 1"
     return P + T.daily_cte() + f""",
 b AS (SELECT CAST(max(date) - 180 AS DATE) AS s, max(date) AS e FROM daily),
-f AS (SELECT d.date, d.revenue FROM daily d, b WHERE d.date BETWEEN b.s AND b.e),
+f AS (SELECT d.date, d.revenue FROM daily d, b WHERE {where}),
 agg AS ({agg})
 SELECT a.date, a.value, s.total, s.mean, s.std
 FROM agg a, (SELECT {T.r('sum(value)')} AS total, {T.r(T.r('sum(value)') + ' / count(value)')} AS mean,
@@ -720,6 +726,12 @@ for _g in S.GRANULARITIES:
     register(f"actuals_{_g}", _actuals_sql(_g))(_mk(_g))
 
 
+@register("actuals_range", _actuals_sql("weekly", IN_RANGE))
+def q_actuals_range(spark, sf):
+    """Q1 with start and end, weekly, from the months of the fact that they cover."""
+    return S.fact_actuals(_fact(spark, sf), "weekly", *RANGE)
+
+
 _TOT_FACT_STATS = f"""
   (SELECT count(DISTINCT customer_id) FROM fact) AS n_customers,
   (SELECT count(DISTINCT product_id) FROM fact) AS n_products,
@@ -742,19 +754,26 @@ def q_kpis(spark, sf):
     return S.kpis(_daily(spark, sf), _fact(spark, sf), b.ensemble)
 
 
-def _share_sql(by: str) -> str:
+def _share_sql(by: str, where: str = "true", total: str = "") -> str:
     return P + f""",
 g AS (SELECT {by}, {T.r('sum(revenue)')} AS revenue, count(*) AS n_transactions
-      FROM fact WHERE {by} IS NOT NULL GROUP BY {by})
+      FROM fact WHERE {by} IS NOT NULL AND {where} GROUP BY {by})
 SELECT {by}, revenue, n_transactions, {T.r('revenue / (SELECT ' + T.r('sum(revenue)') + ' FROM g) * 100')} AS share_pct
+       {total and f", (SELECT {T.r('sum(revenue)')} FROM g) AS {total}"}
 FROM g"""
 
 
-@register("segments", _share_sql("segment"))
+@register("segments", _share_sql("segment", total="total_revenue"))
 def q_segments(spark, sf):
     return S.segments(_fact(spark, sf))
 
 
+@register("segments_range", _share_sql("segment", IN_RANGE, "total_revenue"))
+def q_segments_range(spark, sf):
+    """Q3 with start and end; the fact's other months are not read."""
+    return S.segments(_fact(spark, sf), *RANGE)
+
+
 @register("category_share", _share_sql("category"))
 def q_category_share(spark, sf):
     return R.share_of_total(_fact(spark, sf), "category")

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ledgerlight.functions.fmt import money_short
 from ledgerlight.functions.numeric import round_half_up as rh
+from ledgerlight.operators.daily import aggregate_daily
 from ledgerlight.operators.forecast import index_rows
 from ledgerlight.operators.quantiles import with_scalars
 from ledgerlight.operators.report import fixed_mean, share_of_total
+from ledgerlight.sources.io import between
 
 GRANULARITIES = ("daily", "weekly", "monthly")
 # Models whose stored forecasts ``forecast_points`` serves.
@@ -36,19 +38,36 @@ def check_model(m: str) -> str:
     return m
 
 
+def not_empty(df: DataFrame, message: str) -> DataFrame:
+    """``df``, or an error when it turns out to have no rows.
+
+    The check is part of the plan: a count that gives one row in any case
+    fails in a filter if it is zero, and is dropped there if it is not.  No
+    job runs before the result is asked for."""
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    none = F.when(F.col("_n") == 0, F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False))
+    guard = n.where(none).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.unionByName(guard)
+
+
+def check_range(start: dt.date | None, end: dt.date | None) -> None:
+    if start is not None and end is not None and end < start:
+        raise ValueError("end_date must not be before start_date")
+
+
 def actuals(daily: DataFrame, granularity: str = "daily", start: dt.date | None = None,
             end: dt.date | None = None, default_days: int = 180) -> DataFrame:
     """Revenue points in [start, end] (default: the last 180 days
     of data) at daily, weekly (Monday) or monthly grain, with total, mean and
-    sample std of the points attached."""
+    sample std of the points attached.  A range without data is an error."""
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
-    if start is not None and end is not None and end < start:
-        raise ValueError("end_date must not be before start_date")
+    check_range(start, end)
     bounds = daily.agg(F.max("date").alias("_max"))
     lo = F.lit(start).cast("date") if start is not None else F.date_sub("_max", default_days)
     hi = F.lit(end).cast("date") if end is not None else F.col("_max")
     f = with_scalars(daily.select("date", "revenue"), bounds).where(F.col("date").between(lo, hi))
+    f = not_empty(f, "no data in the date range")
     if granularity == "daily":
         pts = f.select("date", F.col("revenue").alias("value"))
     else:
@@ -84,9 +103,20 @@ def kpis(daily: DataFrame, txn: DataFrame, ensemble: DataFrame | None) -> DataFr
     return out
 
 
-def segments(txn: DataFrame) -> DataFrame:
-    """Q3: revenue, count and share per segment, the largest first (O2)."""
-    return share_of_total(txn, "segment").orderBy(F.col("revenue").desc(), "segment")
+def fact_actuals(txn: DataFrame, granularity: str = "daily", start: dt.date | None = None,
+                 end: dt.date | None = None) -> DataFrame:
+    """Q1 for a given range straight from the fact, of which only the months in the range are read."""
+    check_range(start, end)
+    return actuals(aggregate_daily(between(txn, start, end)), granularity, start, end)
+
+
+def segments(txn: DataFrame, start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
+    """Q3: revenue, count and share per segment from ``start`` to ``end`` (both
+    included, none is open), the largest first (O2), with the revenue of all.
+    A range without sales gives no rows."""
+    check_range(start, end)
+    shares = share_of_total(between(txn, start, end), "segment", total="total_revenue")
+    return shares.orderBy(F.col("revenue").desc(), "segment")
 
 
 def freshness(txn: DataFrame) -> DataFrame:

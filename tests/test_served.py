@@ -85,3 +85,44 @@ def test_no_leaky_features():
     assert len(FEATURE_COLS) == len(set(FEATURE_COLS))
     with pytest.raises(ValueError):
         check_no_leaks(FEATURE_COLS + ["gp_margin"])
+
+
+def test_empty_range_is_an_error_of_the_plan(spark):
+    daily = R._daily(spark, SF_SMALL)
+    spark.sparkContext.setJobGroup("empty-range", "empty-range")
+    late = S.actuals(daily, "weekly", dt.date(2090, 1, 1), dt.date(2090, 2, 1))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("empty-range")  # lazy
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for ask in (late.collect, late.count, lambda: late.write.format("noop").mode("overwrite").save()):
+        with pytest.raises(Exception, match="no data in the date range"):
+            ask()
+    some = daily.limit(3)
+    assert sorted(S.not_empty(some, "x").collect()) == sorted(some.collect())
+
+
+@pytest.mark.parametrize("granularity", S.GRANULARITIES)
+def test_fact_and_daily_ranges_agree(spark, granularity):
+    start, end = dt.date(1996, 2, 10), dt.date(1996, 12, 3)
+    fact = R._fact(spark, SF_SMALL)
+    a = S.fact_actuals(fact, granularity, start, end)
+    b = S.actuals(R._daily(spark, SF_SMALL), granularity, start, end)
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert a.agg(F.min("date"), F.max("date")).first()[1] <= end
+
+
+def test_segments_of_a_range(spark):
+    fact = R._fact(spark, SF_SMALL)
+    start, end = dt.date(1996, 2, 10), dt.date(1996, 12, 3)
+    got = S.segments(fact, start, end)
+    rows = got.collect()
+    inside = fact.where(F.col("date").between(start, end)).toPandas()
+    want = inside.groupby("segment").revenue.sum().round(2)
+    assert {r.segment: r.revenue for r in rows} == pytest.approx(want.to_dict())
+    assert all(r.total_revenue == pytest.approx(want.sum()) for r in rows)
+    assert [r.revenue for r in rows] == sorted(want, reverse=True)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pruned = plan[plan.index("PartitionFilters"):].split("]")[0]
+    assert "1996-02-01" in pruned and "1996-12-01" in pruned
+    assert S.segments(fact, dt.date(2090, 1, 1)).count() == 0
+    with pytest.raises(ValueError):
+        S.segments(fact, end, start)
