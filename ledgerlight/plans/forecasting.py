@@ -13,7 +13,7 @@ arithmetic SQL can follow value by value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -73,11 +73,13 @@ class BoostedTrees:
 
     name = "boosted_trees"
 
-    def __init__(self, **settings) -> None:
-        self.settings, self.model = settings, None
+    def __init__(self, settings: TR.Boosting = TR.Boosting(), evaluated: Callable | None = None) -> None:
+        """``evaluated`` (optional) gives (model, scored rows, metrics) of a fit that was made already."""
+        self.settings, self.evaluated, self.model = settings, evaluated, None
 
     def holdout(self, base: DataFrame, n: int) -> DataFrame:
-        self.model, scored, _ = TR.holdout_eval(base, n, **self.settings)
+        made = self.evaluated() if self.evaluated else TR.holdout_eval(base, n, settings=self.settings)
+        self.model, scored, _ = made
         return scored
 
     def future(self, base: DataFrame, horizon: int, scored: DataFrame) -> DataFrame:

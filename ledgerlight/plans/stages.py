@@ -30,6 +30,7 @@ from ledgerlight.session import ensure_checkpoint_dir
 from ledgerlight.sources.io import by_month, write_months
 
 _TABLES: dict[tuple, tuple] = {}
+_FRAMES: dict[tuple, DataFrame] = {}
 _LOCKS: dict[tuple, threading.Lock] = {}
 _GUARD = threading.Lock()
 
@@ -48,7 +49,7 @@ def stage(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
     if not enabled():
         return build()
     path, schema, _ = _written(spark, key, build)
-    return spark.read.schema(schema).parquet(path)
+    return _read(spark, path, schema)
 
 
 def observed_stage(spark: SparkSession, key: tuple, build: Callable[[], Observed]) -> tuple[DataFrame, dict]:
@@ -62,7 +63,7 @@ def observed_stage(spark: SparkSession, key: tuple, build: Callable[[], Observed
         made = build()
         return made.keep(made.rows), made.rows.agg(*made.aggregates).first().asDict()
     path, schema, counts = _written(spark, key, build)
-    return spark.read.schema(schema).parquet(path), counts
+    return _read(spark, path, schema), counts
 
 
 @dataclass
@@ -92,6 +93,14 @@ def folder(spark: SparkSession, key: tuple, write: Callable[[str], None]) -> str
     return _TABLES[k][0]
 
 
+def _read(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``; its files are listed once in a session."""
+    key = id(spark), path
+    if key not in _FRAMES:
+        _FRAMES[key] = spark.read.schema(schema).parquet(path)
+    return _FRAMES[key]
+
+
 def _new_path(spark: SparkSession, key: tuple, k: tuple) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     digest = hashlib.sha1(repr(k).encode()).hexdigest()[:12]
@@ -124,3 +133,4 @@ def _written(spark: SparkSession, key: tuple, build: Callable) -> tuple:
 
 def clear() -> None:
     _TABLES.clear()
+    _FRAMES.clear()

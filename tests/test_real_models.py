@@ -36,7 +36,7 @@ def test_recursive_forecast_of_short_series(spark):
     """Series shorter than the windows of the state neither fail nor lose a day."""
     lengths = [1, 20, 60, 89, 90, 91, 200]
     feats, hol = _features(spark, lengths)
-    model = TR.fit(drop_warmup(feats.where("series_key = 's200'")), max_iter=3)
+    model = TR.fit(drop_warmup(feats.where("series_key = 's200'")), settings=TR.Boosting(rounds=3, patience=None))
     fc = TR.recursive_forecast(spark, model, feats, hol, 90).toPandas()
     for n in lengths:
         g = fc[fc.series_key == f"s{n}"].sort_values("h")
@@ -46,10 +46,71 @@ def test_recursive_forecast_of_short_series(spark):
         assert (g.yhat >= 0).all() and np.isfinite(g.yhat).all()
 
 
-def test_state_windows(spark):
-    a = F.array(*[F.lit(i) for i in range(5)])
-    got = spark.range(1).select(TR._tail(a, 3), TR._tail(a, 9), TR._tail(a, 5)).first()
-    assert [list(x) for x in got] == [[2, 3, 4], [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]]
+def _day_by_day(model, hist, disc, ewm, calendar, steps):
+    """The recursion from its definition, one series, one day at a time, with the model's own prediction."""
+    from pyspark.ml.linalg import Vectors
+    out = []
+    mean = lambda v: sum(v) / len(v)
+    for cal in calendar[:steps]:
+        f = dict(cal, avg_discount=mean(disc), ewm_14d=ewm)
+        for w in (7, 14, 28, 90):
+            v = hist[-w:]
+            f[f"roll_mean_{w}d"] = mean(v)
+            f[f"roll_std_{w}d"] = (sum((x - mean(v)) ** 2 for x in v) / (len(v) - 1)) ** 0.5 if len(v) > 1 else 0.0
+        for k in (7, 14, 28, 56):
+            f[f"lag_{k}d"] = hist[-k] if len(hist) >= k else mean(hist)
+        f["momentum_7_28"] = f["roll_mean_7d"] / f["roll_mean_28d"] if f["roll_mean_28d"] > 0 else 1.0
+        y = max(0.0, model.predict(Vectors.dense([float(f[c]) for c in TR.FEATURE_COLS])))
+        out.append(y)
+        hist, disc = (hist + [y])[-90:], (disc + [f["avg_discount"]])[-28:]
+        ewm = ewm * 13 / 15 + y * 2 / 15
+    return out
+
+
+def test_recursion_follows_its_definition(spark):
+    feats, hol = _features(spark, [3, 40, 95, 300])
+    model = TR.fit(drop_warmup(feats), settings=TR.Boosting(rounds=12, patience=None))
+    fc = TR.recursive_forecast(spark, model, feats, hol, 25).collect()
+    state = TR._state(feats)
+    rows = state.join(TR._calendar_plan(state, hol, 25), "series_key").collect()
+    assert len(rows) == 4
+    for r in rows:
+        want = _day_by_day(model, list(r.hist), list(r.disc), r.ewm, [c.asDict() for c in r.cal], 25)
+        got = [x.yhat for x in sorted((x for x in fc if x.series_key == r.series_key), key=lambda x: x.h)]
+        np.testing.assert_allclose(got, want, atol=0.0051)
+
+
+def test_forest_predicts_as_the_model(spark):
+    feats, _ = _features(spark, [200, 260])
+    rows = TR.with_vectors(feats)  # the first rows have empty lags
+    model = TR.fit(drop_warmup(feats), settings=TR.Boosting(rounds=6, patience=None))
+    got = model.transform(rows).select("features", "prediction").collect()
+    x = np.array([r.features.toArray() for r in got])
+    assert np.isnan(x).any()
+    np.testing.assert_allclose(TR.forest(spark, model).predict(x), [r.prediction for r in got], rtol=1e-12)
+
+
+def test_best_round():
+    assert TR.best_round([5, 4, 3, 2, 1], 1) == 5
+    assert TR.best_round([5, 4, 6, 7, 1], 2) == 2
+    assert TR.best_round([5, 4, 6, 7, 1], 3) == 5
+    assert TR.best_round([3, 3, 3], 1) == 1
+
+
+def test_fit_stops_early_and_settings_reach_it(spark):
+    """Noise can't be learnt, so more rounds only raise the error on the rows kept out."""
+    rng = np.random.default_rng(3)
+    cols = ["x", "z"]
+    rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(rng.normal(100, 10)), float(rng.normal()),
+             float(rng.normal())) for i in range(400)]
+    df = spark.createDataFrame(rows, "series_key string, date date, revenue double, x double, z double")
+    settings = TR.Boosting(rounds=30, rate=0.5, patience=5, validation_rows=100)
+    model = TR.fit(df, cols, settings)
+    assert model.getNumTrees < 10
+    assert TR.fit(df, cols, TR.Boosting(rounds=30, rate=0.5, patience=None)).getNumTrees == 30
+    assert {round(w, 6) for w in model.treeWeights[1:]} <= {0.5}
+    # a series with nothing but validation rows is fitted with all rounds
+    assert TR.fit(df.limit(50), cols, TR.Boosting(rounds=4, patience=5, validation_rows=100)).getNumTrees == 4
 
 
 def test_guard_rejects_same_day_columns_of_any_name():
