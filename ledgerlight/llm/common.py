@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import ensure_checkpoint_dir
 
-#: Of stages: batches for Python have a bounded size.
-_STAGE_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Batches for Python have a bounded size.
+_BATCH_CONF = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Of stages; and the shuffle files of a written stage go, as nothing reads them again.
+_STAGE_CONF = _BATCH_CONF | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -23,7 +25,7 @@ def bound_batches(spark: SparkSession) -> None:
     Spark's default is 64 MB, which the executor's JVM and each of its workers
     hold several times over.
     """
-    for k, v in _STAGE_CONF.items():
+    for k, v in _BATCH_CONF.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
 
@@ -34,12 +36,7 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
-
-    Spark removes the shuffle files of a finished job when the driver's JVM
-    collects the job's objects.  An idle driver hardly ever does, so it is
-    asked to: the files of one stage need not lie beside those of the next.
-    """
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{folder or run_folder(spark, name)}/{name}"
     before = {k: spark.conf.get(k, None) for k in _STAGE_CONF}
@@ -50,7 +47,6 @@ def staged(df: DataFrame, name: str, folder: str | None = None, compression: str
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
