@@ -1,7 +1,7 @@
 """Report aggregates.
 
-Each function returns a small DataFrame; the long-form report is a union of
-them (``plans.served.eda_report``).  Means of money or 4-decimal ratios are
+Each function returns a small DataFrame; ``eda_report`` has their numbers in
+long form from one pass over the sales and one over the days.  Means of money or 4-decimal ratios are
 computed as a rounded sum over a count so that the result does not depend
 on summation order.
 """
@@ -17,6 +17,7 @@ from pyspark.sql.types import NumericType
 from ledgerlight.functions.calendar import day_name, year_month
 from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.quantiles import exact_quantiles, with_scalars
+from ledgerlight.sources.io import between
 
 
 def fixed_mean(col: str, digits: int) -> F.Column:
@@ -194,13 +195,101 @@ def best_worst(df: DataFrame, value: str, key: str) -> DataFrame:
          .when(F.col(value) == F.col("_min"), "worst").otherwise("").alias("marker"))
 
 
-def long_form(df: DataFrame, section: str, metrics: Sequence[str], key_col: str | None = None) -> DataFrame:
-    """Unpivot a section into (section, key, metric, value)."""
-    key = F.col(key_col).cast("string") if key_col else F.lit("")
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-                      for m in metrics])
-    return (df.select(F.lit(section).alias("section"), key.alias("key"), F.explode(pairs).alias("_m"))
-              .select("section", "key", "_m.metric", "_m.value"))
+def _cells(section: str, key, metrics: dict) -> F.Column:
+    """An array of report rows: name and value, or name and (None, text)."""
+    cells = []
+    for name, v in metrics.items():
+        value, text = v if isinstance(v, tuple) else (v, None)
+        value = F.lit(None).cast("double") if value is None else value.cast("double")
+        text = F.lit(None).cast("string") if text is None else text
+        cells.append(F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"),
+                              F.lit(name).alias("metric"), value.alias("value"), text.alias("text")))
+    return F.array(*cells)
+
+
+def _by_set(grouped: DataFrame, cells: dict[str, F.Column], columns: Sequence[str]) -> DataFrame:
+    """The report rows of each grouping set, named by the column it groups by ("" for all rows)."""
+    every = 2 ** len(columns) - 1
+    made = None
+    for name, cell in cells.items():
+        mine = every if name == "" else every - 2 ** (len(columns) - 1 - list(columns).index(name))
+        here = F.col("_set") == mine
+        if name:
+            here = here & F.col(name).isNotNull()
+        made = F.when(here, cell) if made is None else made.when(here, cell)
+    return grouped.select(F.inline(made))
+
+
+def eda_report(fact: DataFrame, days: DataFrame, features: Sequence[str], start=None, end=None) -> DataFrame:
+    """Q7: the report in long form (section, key, metric, value, text).
+
+    One aggregate by grouping sets over the fact and one over the days, of
+    which ``days`` is one series with all its features; and one pass for the
+    correlations.  Distinct customers and products are grouping sets too:
+    their number is that of the set's rows.  Lists and percentiles are only
+    made of days, so they are bounded by the calendar.  A range without sales
+    has no rows.
+    """
+    sales = ["segment", "category", "_month", "customer_id", "product_id"]
+    money = lambda x: rh(x, 2)
+    discounted = F.col("discount_pct") > 0
+    by_sale = between(fact, start, end).withColumn("_month", year_month("date"))
+    by_sale = by_sale.groupingSets([[], *[[c] for c in sales]], *sales).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), F.count("revenue").alias("n_revenue"),
+        money(F.sum("revenue")).alias("revenue"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.count("discount_pct").alias("n_discount"), rh(F.sum("discount_pct"), 4).alias("discount"),
+        F.count_if(discounted).alias("n_discounted"),
+        F.sum(F.when(F.col("discount_pct") == 0, F.col("revenue"))).alias("at_zero"),
+        F.sum(F.when(discounted, F.col("revenue"))).alias("with_discount"),
+        money(F.sum("gross_profit")).alias("gross_profit"))
+    none, one = F.lit(""), F.lit(1.0)
+    zero = lambda c: money(F.coalesce(F.col(c), F.lit(0.0)))
+    share = lambda a, b: money(F.try_divide(F.col(a).cast("double"), F.col(b)) * 100)
+    group = {"total": F.col("revenue"), "avg_order": money(F.try_divide("revenue", "n_revenue")), "count": F.col("n_revenue")}
+    overall = F.concat(
+        _cells("overview", none, {
+            "total_transactions": F.col("n"), "total_revenue": F.col("revenue"),
+            "date_range": (None, F.concat(F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string")))}),
+        _cells("discount_analysis", none, {
+            "avg_discount_pct": share("discount", "n_discount"), "pct_transactions_discounted": share("n_discounted", "n"),
+            "revenue_at_zero_discount": zero("at_zero"), "revenue_with_discount": zero("with_discount")}),
+        _cells("profitability", none, {"total_gross_profit": F.col("gross_profit")}))
+    from_sales = _by_set(by_sale, {
+        "": overall, "segment": _cells("by_segment", F.col("segment"), group),
+        "category": _cells("by_category", F.col("category"), group),
+        "_month": _cells("monthly_revenue", F.col("_month"), {"revenue": F.col("revenue")}),
+        "customer_id": _cells("overview", none, {"total_customers": one}),
+        "product_id": _cells("overview", none, {"total_products": one})}, sales)
+
+    dates = ["_dow", "_month"]
+    chosen = between(days, start, end)
+    mean = lambda c, d: F.try_divide(rh(F.sum(c), d), F.count(c))
+    by_day = chosen.withColumns({"_dow": day_name("date"), "_month": F.month("date").cast("string")})
+    by_day = by_day.groupingSets([[], *[[c] for c in dates]], *dates).agg(
+        F.grouping_id().alias("_set"), money(mean("revenue", 2)).alias("mean"),
+        money(F.stddev_samp("revenue")).alias("std"),
+        F.percentile("revenue", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"),
+        F.collect_list("revenue").alias("all"), money(mean("gp_margin", 4) * 100).alias("margin"),
+        money(mean("recurring_share", 4) * 100).alias("recurring"))
+    at = lambda i: F.get("p", F.lit(i))
+    beyond = lambda far: F.size(F.filter("all", far))
+    avg = {"avg_revenue": F.col("mean")}
+    from_days = _by_set(by_day, {
+        "": F.concat(
+            _cells("overview", none, {"avg_daily_revenue": F.col("mean"), "median_daily_revenue": money(at(1)),
+                                      "revenue_std": F.col("std")}),
+            _cells("profitability", none, {"avg_gp_margin_pct": F.col("margin"), "recurring_rev_share": F.col("recurring")}),
+            _cells("outliers", none, {
+                "p1_daily_revenue": money(at(0)), "p99_daily_revenue": money(at(2)),
+                "days_above_p99": beyond(lambda x: x > at(2)), "days_below_p01": beyond(lambda x: x < at(0))})),
+        "_dow": _cells("avg_revenue_by_dow", F.col("_dow"), avg),
+        "_month": _cells("avg_revenue_by_month", F.col("_month"), avg)}, dates)
+
+    corr = correlations(chosen, "revenue", features, top=15)
+    from_corr = corr.select(F.inline(_cells("top_correlated_features", F.col("feature"), {"corr": F.col("corr")})))
+    # one row each, but for the distinct counts
+    return (from_sales.unionByName(from_days).unionByName(from_corr).groupBy("section", "key", "metric")
+            .agg(F.sum("value").alias("value"), F.max("text").alias("text")))
 
 
 def frame_summary(df: DataFrame, date_col: str = "date", value_col: str = "revenue") -> DataFrame:

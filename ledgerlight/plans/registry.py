@@ -425,15 +425,14 @@ def _corr_sql(cols):
 c AS ({_corr_sql(FEATURE_NUMERIC)})
 SELECT feature, corr FROM c ORDER BY abs(corr) DESC NULLS LAST, feature LIMIT 15""")
 def q_eda_corr(spark, sf):
-    feats = _features(spark, sf)
-    return R.correlations(feats, "revenue", _numeric(feats), top=15)
+    return R.correlations(_features(spark, sf), "revenue", top=15)
 
 
 @register("null_profile", feat_sql(None, PIVOTS_SQL) + "\n" + "\nUNION ALL ".join(
     f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count FROM feat"
     for c in ["series_key", "date", "revenue"] + FEATURE_NUMERIC))
 def q_null_profile(spark, sf):
-    return R.null_profile(_features(spark, sf).select("series_key", "date", "revenue", *FEATURE_NUMERIC))
+    return R.null_profile(_features(spark, sf))
 
 
 # ---------------------------------------------------------- forecasting
@@ -822,8 +821,8 @@ def q_segment_exposure(spark, sf):
     return S.segment_exposure(_fact(spark, sf), _bundle(spark, sf, None).ensemble)
 
 
-def _title_pct(fmt_sql: str) -> str:
-    return fmt_sql
+def _whole_sql(v: str) -> str:
+    return f"'$' || format('{{:,}}', CAST({T.r(v, 0)} AS BIGINT))"
 
 
 @register("insights", FTOT + f""",
@@ -849,20 +848,31 @@ calc AS (
 )
 SELECT CASE WHEN pct > 0 THEN 'trend' ELSE 'risk' END AS type,
        printf('Revenue trending %s %.1f%%', CASE WHEN pct > 0 THEN 'up' ELSE 'down' END, {T.r('abs(pct)', 1)}) AS title,
+       'Average daily revenue over the last 30 days is ' || {_whole_sql('recent_mean')} || ', compared to '
+         || {_whole_sql('prior_mean')} || ' in the prior 30-day period.' AS detail,
        'revenue_30d_change_pct' AS metric, {T.r('pct')} AS value
 FROM calc WHERE recent_mean IS NOT NULL AND prior_mean IS NOT NULL
 UNION ALL
-SELECT 'risk', printf('High discount intensity: %.1f%%', {T.r('recent_disc * 100', 1)}), 'avg_discount_30d',
-       {T.r('recent_disc * 100')} FROM calc WHERE recent_disc > 0.15
+SELECT 'risk', printf('High discount intensity: %.1f%%', {T.r('recent_disc * 100', 1)}),
+       'Average transaction discount over the last 30 days exceeds 15%. Heavy discounting may be compressing gross profit margin.',
+       'avg_discount_30d', {T.r('recent_disc * 100')} FROM calc WHERE recent_disc > 0.15
 UNION ALL
 SELECT CASE WHEN uplift > 0 THEN 'opportunity' ELSE 'risk' END,
        printf('90-day forecast %s recent run-rate', CASE WHEN uplift > 0 THEN 'above' ELSE 'below' END),
+       'The ensemble model projects average daily revenue of ' || {_whole_sql('forecast_mean')}
+         || ' over the next 90 days, ' || CASE WHEN uplift > 0 THEN 'up ' ELSE 'down ' END
+         || printf('%.1f', {T.r('abs(uplift)', 1)}) || '% from the recent 30-day average of '
+         || {_whole_sql('actual_mean')} || '.',
        'forecast_vs_actuals_pct', {T.r('uplift')} FROM calc WHERE forecast_mean IS NOT NULL
 UNION ALL
-SELECT 'info', printf('Weekday revenue %.1fx higher than weekends', {T.r('ratio', 1)}), 'weekday_weekend_ratio',
-       {T.r('ratio')} FROM calc WHERE ratio > 1.5
+SELECT 'info', printf('Weekday revenue %.1f× higher than weekends', {T.r('ratio', 1)}),
+       'Average weekday revenue is ' || {_whole_sql('weekday_mean')} || ' vs ' || {_whole_sql('coalesce(weekend_mean, 0)')}
+         || ' on weekends. Campaign scheduling should prioritise weekdays.',
+       'weekday_weekend_ratio', {T.r('ratio')} FROM calc WHERE ratio > 1.5
 UNION ALL
-SELECT 'opportunity', 'Q4 seasonal uplift approaching', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
+SELECT 'opportunity', 'Q4 seasonal uplift approaching',
+       'Historical data shows consistent Q4 uplift (Oct–Dec). Consider increasing inventory and marketing spend ahead of the peak period.',
+       CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE)
 FROM calc WHERE month(last_date) IN (8, 9)""")
 def q_insights(spark, sf):
     return S.insights(_daily(spark, sf), _bundle(spark, sf, None).ensemble)
@@ -1081,9 +1091,10 @@ corr15 AS (SELECT feature, corr FROM cc ORDER BY abs(corr) DESC NULLS LAST, feat
     def add(src, section, metrics, key=None):
         k = f"CAST({key} AS VARCHAR)" if key else "''"
         for m in metrics:
+            value, text = ("NULL", m) if m == "date_range" else (m, "NULL")
             branches.append(f"SELECT '{section}' AS section, {k} AS key, '{m}' AS metric, "
-                            f"CAST({m} AS DOUBLE) AS value FROM {src}")
-    add("ov", "overview", _OV)
+                            f"CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text FROM {src}")
+    add("ov", "overview", [*_OV, "date_range"])
     add("seg", "by_segment", ["total", "avg_order", "count"], "segment")
     add("cat", "by_category", ["total", "avg_order", "count"], "category")
     add("mon", "monthly_revenue", ["revenue"], "month")
@@ -1098,26 +1109,8 @@ corr15 AS (SELECT feature, corr FROM cc ORDER BY abs(corr) DESC NULLS LAST, feat
 
 @register("eda_report", _eda_report_sql())
 def q_eda_report(spark, sf):
-    fact = _fact(spark, sf)
-    daily = _daily(spark, sf)
     feats = _features(spark, sf)
-    parts = [
-        R.long_form(R.overview(fact, daily), "overview", _OV),
-        R.long_form(R.group_summary(fact, "segment"), "by_segment", ["total", "avg_order", "count"], "segment"),
-        R.long_form(R.group_summary(fact, "category"), "by_category", ["total", "avg_order", "count"], "category"),
-        R.long_form(R.monthly_revenue(fact), "monthly_revenue", ["revenue"], "month"),
-        R.long_form(R.mean_by_day_name(daily), "avg_revenue_by_dow", ["avg_revenue"], "dow_name"),
-        R.long_form(R.mean_by_month(daily), "avg_revenue_by_month", ["avg_revenue"], "month"),
-        R.long_form(R.discount_analysis(fact), "discount_analysis", _DISC),
-        R.long_form(R.profitability(fact, daily), "profitability", _PROF),
-        R.long_form(R.correlations(feats, "revenue", _numeric(feats), top=15),
-                    "top_correlated_features", ["corr"], "feature"),
-        R.long_form(R.outliers(daily), "outliers", _OUT),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return R.eda_report(_fact(spark, sf), feats, R.numeric_columns(feats, exclude=["revenue"]))
 
 
 # ---------------------------------------------------------- forecast summary

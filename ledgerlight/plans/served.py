@@ -13,10 +13,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.fmt import money_short
+from ledgerlight.functions.fmt import money_short, money_whole
 from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.daily import aggregate_daily
-from ledgerlight.operators.forecast import index_rows
 from ledgerlight.operators.quantiles import with_scalars
 from ledgerlight.operators.report import fixed_mean, share_of_total
 from ledgerlight.sources.io import between
@@ -124,66 +123,77 @@ def freshness(txn: DataFrame) -> DataFrame:
     return txn.agg(F.count(F.lit(1)).alias("n_rows"), F.max("date").alias("last_date"))
 
 
+# Titles and details of the insights, as the reference words them.
+TREND_TITLE = "Revenue trending %s %.1f%%"
+TREND_DETAIL = ("Average daily revenue over the last 30 days is %s, compared to %s in the prior 30-day period.")
+DISCOUNT_TITLE = "High discount intensity: %.1f%%"
+DISCOUNT_DETAIL = ("Average transaction discount over the last 30 days exceeds 15%. "
+                   "Heavy discounting may be compressing gross profit margin.")
+FORECAST_TITLE = "90-day forecast %s recent run-rate"
+FORECAST_DETAIL = ("The ensemble model projects average daily revenue of %s over the next 90 days, "
+                   "%s %.1f%% from the recent 30-day average of %s.")
+WEEKDAY_TITLE = "Weekday revenue %.1f× higher than weekends"
+WEEKDAY_DETAIL = "Average weekday revenue is %s vs %s on weekends. Campaign scheduling should prioritise weekdays."
+Q4_TITLE = "Q4 seasonal uplift approaching"
+Q4_DETAIL = ("Historical data shows consistent Q4 uplift (Oct–Dec). "
+             "Consider increasing inventory and marketing spend ahead of the peak period.")
+
+
+def _insight_numbers(daily: DataFrame, ensemble: DataFrame | None) -> DataFrame:
+    """One row with all that the rules ask for: one aggregate over the days, one over the forecast."""
+    s = daily.agg(F.array_sort(F.collect_list(F.struct("date", "revenue", "avg_discount"))).alias("days"))
+
+    def mean(days, field: str = "revenue"):
+        """Of the days that have the field; money is rounded to cents before it is divided."""
+        values = F.filter(F.transform(days, lambda d: d[field]), lambda x: x.isNotNull())
+        total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+        return F.try_divide(rh(total, 2) if field == "revenue" else total, F.size(values))
+
+    s = s.withColumn("last_date", F.try_element_at("days", F.lit(-1))["date"])
+    back = lambda d: F.datediff(F.col("last_date"), d["date"])
+    recent = F.filter("days", lambda d: back(d) <= 30)
+    prior = F.filter("days", lambda d: (back(d) <= 60) & (back(d) > 30))
+    s = s.select(
+        "last_date", mean(recent).alias("recent_mean"), mean(prior).alias("prior_mean"),
+        mean(recent, "avg_discount").alias("recent_disc"),
+        mean(F.filter("days", lambda d: F.weekday(d["date"]) < 5)).alias("weekday_mean"),
+        mean(F.filter("days", lambda d: F.weekday(d["date"]) >= 5)).alias("weekend_mean"),
+        mean(F.slice("days", F.greatest(F.size("days") - 29, F.lit(1)), 30)).alias("actual_mean"))
+    if ensemble is None:
+        return s.withColumn("forecast_mean", F.lit(None).cast("double"))
+    return with_scalars(s, ensemble.agg(
+        F.try_divide(rh(F.sum("yhat_ensemble"), 2), F.count("yhat_ensemble")).alias("forecast_mean")))
+
+
 def insights(daily: DataFrame, ensemble: DataFrame | None) -> DataFrame:
     """Q4: the five insight rules, one row per rule that fires."""
-    last = daily.agg(F.max("date").alias("_last"))
-    d = with_scalars(daily, last)
-    recent = F.col("date") >= F.date_sub("_last", 30)
-    prior = (F.col("date") >= F.date_sub("_last", 60)) & (F.col("date") < F.date_sub("_last", 30))
-    wk = F.weekday("date") < 5
-    s = d.agg(
-        F.first("_last").alias("last_date"),
-        F.try_divide(rh(F.sum(F.when(recent, F.col("revenue"))), 2),
-                     F.count(F.when(recent, F.col("revenue")))).alias("recent_mean"),
-        F.try_divide(rh(F.sum(F.when(prior, F.col("revenue"))), 2),
-                     F.count(F.when(prior, F.col("revenue")))).alias("prior_mean"),
-        F.avg(F.when(recent, F.col("avg_discount"))).alias("recent_disc"),
-        F.try_divide(rh(F.sum(F.when(wk, F.col("revenue"))), 2),
-                     F.count(F.when(wk, F.col("revenue")))).alias("weekday_mean"),
-        F.try_divide(rh(F.sum(F.when(~wk, F.col("revenue"))), 2),
-                     F.count(F.when(~wk, F.col("revenue")))).alias("weekend_mean"),
-    )
-    tail = index_rows(daily.withColumn("series_key", F.lit("_"))).where(F.col("rn") > F.col("n") - 30)
-    a = tail.agg(F.try_divide(rh(F.sum("revenue"), 2), F.count("revenue")).alias("actual_mean"))
-    s = with_scalars(s, a)
-    if ensemble is not None:
-        fm = ensemble.agg(F.try_divide(rh(F.sum("yhat_ensemble"), 2), F.count("yhat_ensemble"))
-                          .alias("forecast_mean"))
-        s = with_scalars(s, fm)
-    else:
-        s = s.withColumn("forecast_mean", F.lit(None).cast("double"))
-
-    pct = (F.col("recent_mean") - F.col("prior_mean")) / F.col("prior_mean") * 100
-    up = F.col("forecast_mean") - F.col("actual_mean")
-    uplift = up / F.col("actual_mean") * 100
-    ratio = F.col("weekday_mean") / F.greatest(F.coalesce(F.col("weekend_mean"), F.lit(1.0)), F.lit(1.0))
-    rules = [
-        s.where(F.col("recent_mean").isNotNull() & F.col("prior_mean").isNotNull()).select(
-            F.when(pct > 0, "trend").otherwise("risk").alias("type"),
-            F.format_string("Revenue trending %s %.1f%%", F.when(pct > 0, "up").otherwise("down"),
-                            rh(F.abs(pct), 1)).alias("title"),
-            F.lit("revenue_30d_change_pct").alias("metric"), rh(pct, 2).alias("value")),
-        s.where(F.col("recent_disc") > 0.15).select(
-            F.lit("risk").alias("type"),
-            F.format_string("High discount intensity: %.1f%%", rh(F.col("recent_disc") * 100, 1)).alias("title"),
-            F.lit("avg_discount_30d").alias("metric"), rh(F.col("recent_disc") * 100, 2).alias("value")),
-        s.where(F.col("forecast_mean").isNotNull()).select(
-            F.when(uplift > 0, "opportunity").otherwise("risk").alias("type"),
-            F.format_string("90-day forecast %s recent run-rate",
-                            F.when(uplift > 0, "above").otherwise("below")).alias("title"),
-            F.lit("forecast_vs_actuals_pct").alias("metric"), rh(uplift, 2).alias("value")),
-        s.where(ratio > 1.5).select(
-            F.lit("info").alias("type"),
-            F.format_string("Weekday revenue %.1fx higher than weekends", rh(ratio, 1)).alias("title"),
-            F.lit("weekday_weekend_ratio").alias("metric"), rh(ratio, 2).alias("value")),
-        s.where(F.month("last_date").isin(8, 9)).select(
-            F.lit("opportunity").alias("type"), F.lit("Q4 seasonal uplift approaching").alias("title"),
-            F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    s = _insight_numbers(daily, ensemble)
+    c = F.col
+    pct = F.try_divide(c("recent_mean") - c("prior_mean"), c("prior_mean")) * 100
+    uplift = F.try_divide(c("forecast_mean") - c("actual_mean"), c("actual_mean")) * 100
+    ratio = c("weekday_mean") / F.greatest(F.coalesce(c("weekend_mean"), F.lit(1.0)), F.lit(1.0))
+    whole = lambda x: money_whole(F.coalesce(c(x), F.lit(0.0)))
+
+    def rule(fires, kind, title, detail, metric=None, value=None):
+        return F.when(fires, F.struct(
+            kind.alias("type"), title.alias("title"), detail.alias("detail"),
+            F.lit(metric).cast("string").alias("metric"),
+            (F.lit(None).cast("double") if value is None else rh(value, 2)).alias("value")))
+
+    rules = F.array(
+        rule(c("recent_mean").isNotNull() & c("prior_mean").isNotNull(), F.when(pct > 0, "trend").otherwise("risk"),
+             F.format_string(TREND_TITLE, F.when(pct > 0, "up").otherwise("down"), rh(F.abs(pct), 1)),
+             F.format_string(TREND_DETAIL, whole("recent_mean"), whole("prior_mean")), "revenue_30d_change_pct", pct),
+        rule(c("recent_disc") > 0.15, F.lit("risk"), F.format_string(DISCOUNT_TITLE, rh(c("recent_disc") * 100, 1)),
+             F.lit(DISCOUNT_DETAIL), "avg_discount_30d", c("recent_disc") * 100),
+        rule(c("forecast_mean").isNotNull(), F.when(uplift > 0, "opportunity").otherwise("risk"),
+             F.format_string(FORECAST_TITLE, F.when(uplift > 0, "above").otherwise("below")),
+             F.format_string(FORECAST_DETAIL, whole("forecast_mean"), F.when(uplift > 0, "up").otherwise("down"),
+                             rh(F.abs(uplift), 1), whole("actual_mean")), "forecast_vs_actuals_pct", uplift),
+        rule(ratio > 1.5, F.lit("info"), F.format_string(WEEKDAY_TITLE, rh(ratio, 1)),
+             F.format_string(WEEKDAY_DETAIL, whole("weekday_mean"), whole("weekend_mean")), "weekday_weekend_ratio", ratio),
+        rule(F.month("last_date").isin(8, 9), F.lit("opportunity"), F.lit(Q4_TITLE), F.lit(Q4_DETAIL)))
+    return s.select(F.inline(F.filter(rules, lambda r: r.isNotNull())))
 
 
 def month_labels(monthly: DataFrame) -> DataFrame:

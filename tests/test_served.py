@@ -126,3 +126,76 @@ def test_segments_of_a_range(spark):
     assert S.segments(fact, dt.date(2090, 1, 1)).count() == 0
     with pytest.raises(ValueError):
         S.segments(fact, end, start)
+
+
+def test_report_of_a_range_and_its_scans(spark):
+    from ledgerlight.operators import report as RP
+    start, end = dt.date(1996, 2, 10), dt.date(1996, 12, 3)
+    feats, fact = R._features(spark, SF_SMALL), R._fact(spark, SF_SMALL)
+    out = RP.eda_report(fact, feats, ["lag_7d", "month", "is_weekend"], start, end)
+    got = {(r.section, r.key, r.metric): r for r in out.collect()}
+    f = fact.where(F.col("date").between(start, end)).toPandas()
+    d = feats.where(F.col("date").between(start, end)).toPandas()
+    v = lambda *k: got[k].value
+    assert v("overview", "", "total_transactions") == len(f) and v("overview", "", "total_customers") == f.customer_id.nunique()
+    assert v("overview", "", "total_products") == f.product_id.nunique()
+    assert got["overview", "", "date_range"].text == f"{f.date.min()} to {f.date.max()}"
+    assert v("overview", "", "median_daily_revenue") == pytest.approx(d.revenue.median(), abs=0.006)
+    assert v("outliers", "", "days_above_p99") == (d.revenue > d.revenue.quantile(0.99)).sum()
+    for seg, g in f.groupby("segment"):
+        assert v("by_segment", seg, "total") == pytest.approx(g.revenue.sum()) and v("by_segment", seg, "count") == len(g)
+    months = {k[1] for k in got if k[0] == "monthly_revenue"}
+    assert months == {str(x)[:7] for x in f.date}
+    assert {k[1] for k in got if k[0] == "top_correlated_features"} == {"lag_7d", "month", "is_weekend"}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 3  # sales, days, and the days' correlations
+
+
+def test_report_without_rows(spark):
+    from ledgerlight.operators import report as RP
+    out = RP.eda_report(R._fact(spark, SF_SMALL), R._features(spark, SF_SMALL), ["lag_7d"], dt.date(2090, 1, 1))
+    assert out.count() == 0
+
+
+def _days(spark, revenue, discount=0.05, last=dt.date(2024, 9, 15), n=90):
+    rows = []
+    for i in range(n):
+        day = last - dt.timedelta(days=n - 1 - i)
+        rows.append(("total", day, float(revenue(i, day)), discount))
+    return spark.createDataFrame(rows, "series_key string, date date, revenue double, avg_discount double")
+
+
+def test_all_insights_with_their_details(spark):
+    days = _days(spark, lambda i, d: (3000 if i < 60 else 1500) / (1 if d.weekday() < 5 else 2), discount=0.2)
+    ens = spark.createDataFrame([(dt.date(2024, 9, 16), 2000.4), (dt.date(2024, 9, 17), 2000.4)], "date date, yhat_ensemble double")
+    got = {r.metric: r for r in S.insights(days, ens).collect()}
+    assert set(got) == {"revenue_30d_change_pct", "avg_discount_30d", "forecast_vs_actuals_pct", "weekday_weekend_ratio", None}
+    p = days.toPandas().set_index("date").revenue
+    last = dt.date(2024, 9, 15)
+    back = p.index.map(lambda x: (last - x).days)
+    recent, prior, tail = p[back <= 30].mean(), p[(back > 30) & (back <= 60)].mean(), p[-30:].mean()
+    change = (recent - prior) / prior * 100
+    trend = got["revenue_30d_change_pct"]
+    assert trend.type == "risk" and trend.title == f"Revenue trending down {abs(change):.1f}%"
+    assert trend.detail == (f"Average daily revenue over the last 30 days is ${recent:,.0f}, compared to "
+                            f"${prior:,.0f} in the prior 30-day period.") and trend.value == pytest.approx(change, abs=0.006)
+    uplift = (2000.4 - tail) / tail * 100
+    fc = got["forecast_vs_actuals_pct"]
+    assert fc.type == "opportunity" and fc.detail == (
+        f"The ensemble model projects average daily revenue of $2,000 over the next 90 days, up {uplift:.1f}% "
+        f"from the recent 30-day average of ${tail:,.0f}.")
+    assert got["avg_discount_30d"].title == "High discount intensity: 20.0%" and got["weekday_weekend_ratio"].type == "info"
+    assert "×" in got["weekday_weekend_ratio"].title and got[None].detail.startswith("Historical data")
+
+
+def test_insights_of_little_data(spark):
+    assert S.insights(_days(spark, lambda i, d: 5.0, n=1, last=dt.date(2024, 3, 1)), None).count() == 0
+    assert S.insights(_days(spark, lambda i, d: 5.0).limit(0), None).count() == 0
+    steady = S.insights(_days(spark, lambda i, d: 5.0, last=dt.date(2024, 3, 1)), None).collect()
+    assert [r.type for r in steady] == ["risk"] and steady[0].title == "Revenue trending down 0.0%"
+
+
+def test_null_profile_follows_the_table(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "new_column int, other double")
+    from ledgerlight.operators.report import null_profile
+    assert {r.column_name: r.null_count for r in null_profile(df).collect()} == {"new_column": 0, "other": 1}
