@@ -843,7 +843,7 @@ st AS (
 calc AS (
   SELECT *, (recent_mean - prior_mean) / prior_mean * 100 AS pct,
          (forecast_mean - actual_mean) / actual_mean * 100 AS uplift,
-         weekday_mean / greatest(coalesce(weekend_mean, 1.0), 1.0) AS ratio
+         CASE WHEN weekend_mean IS NOT NULL THEN weekday_mean / greatest(weekend_mean, 1.0) END AS ratio
   FROM st
 )
 SELECT CASE WHEN pct > 0 THEN 'trend' ELSE 'risk' END AS type,

@@ -171,7 +171,8 @@ def insights(daily: DataFrame, ensemble: DataFrame | None) -> DataFrame:
     c = F.col
     pct = F.try_divide(c("recent_mean") - c("prior_mean"), c("prior_mean")) * 100
     uplift = F.try_divide(c("forecast_mean") - c("actual_mean"), c("actual_mean")) * 100
-    ratio = c("weekday_mean") / F.greatest(F.coalesce(c("weekend_mean"), F.lit(1.0)), F.lit(1.0))
+    # without any weekend there is nothing to compare
+    ratio = F.when(c("weekend_mean").isNotNull(), c("weekday_mean") / F.greatest(c("weekend_mean"), F.lit(1.0)))
     whole = lambda x: money_whole(F.coalesce(c(x), F.lit(0.0)))
 
     def rule(fires, kind, title, detail, metric=None, value=None):
