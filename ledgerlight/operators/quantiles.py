@@ -13,9 +13,12 @@ groups of every size:
    neighbours of the bracket: the largest value below and the smallest above.
    Ties collapse into one row with a count, so a value repeated a billion
    times is one row.
-3. A running sum over the distinct values in the bracket gives their ranks;
-   the values at ranks ``floor(q(n-1))`` and the next one are interpolated
-   exactly as pandas / ``percentile`` / DuckDB ``quantile_cont`` do.
+3. Ranks are running sums over the distinct values in the bracket.  The sketch
+   also cuts the bracket into ``PARTS`` ranges of about as many values each:
+   a range is summed up on its own, and starts from the total of the ranges
+   before it, of which there are few.  So no task ranks a whole bracket.  The
+   values at ranks ``floor(q(n-1))`` and the next one are interpolated exactly
+   as pandas / ``percentile`` / DuckDB ``quantile_cont`` do.
 
 The sketch bounds the rank error by n/accuracy and the bracket is four times
 that wide; in a group so small that this is less than one rank, the wanted
@@ -32,6 +35,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+#: Ranges that a bracket is cut into.
+PARTS = 32
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -104,36 +109,52 @@ def _quantiles(df: DataFrame, value_col: str, probs: Mapping[str, float],
     return out.drop("_g") if is_global else out
 
 
-def _bracketed(vals: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
-    """Sketch bracket, then rank the distinct values inside it (see the module docstring)."""
+def _counted(vals: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
+    """The distinct values in each bracket with their counts and the range
+    (``_part``) that they are in, and one row for what lies to either side."""
     delta = 4.0 / accuracy
     lo_qs = [max(0.0, q - delta) for q in qs]
     hi_qs = [min(1.0, q + delta) for q in qs]
+    inner = [lo + (hi - lo) * j / PARTS for lo, hi in zip(lo_qs, hi_qs) for j in range(1, PARTS)]
+
+    def approx(probs):
+        return F.percentile_approx("_v", F.array(*[F.lit(x) for x in probs]), accuracy)
+
     stats = vals.groupBy(*group_cols).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in lo_qs]), accuracy).alias("_lo"),
-        F.percentile_approx("_v", F.array(*[F.lit(x) for x in hi_qs]), accuracy).alias("_hi"),
-    )
+        F.count("_v").alias("_n"), approx(lo_qs).alias("_lo"), approx(hi_qs).alias("_hi"), approx(inner).alias("_cut"))
+    cuts = F.array(*[F.slice("_cut", i * (PARTS - 1) + 1, PARTS - 1) for i in range(len(qs))])
     per_prob = stats.select(
         *group_cols, "_n",
         F.explode(F.arrays_zip(
             F.array(*[F.lit(i) for i in range(len(qs))]).alias("_pid"),
             F.array(*[F.lit(q) for q in qs]).alias("_q"),
-            F.col("_lo").alias("_lo"), F.col("_hi").alias("_hi"),
+            F.col("_lo").alias("_lo"), F.col("_hi").alias("_hi"), cuts.alias("_cuts"),
         )).alias("_z"),
-    ).select(*group_cols, "_n", "_z._pid", "_z._q", "_z._lo", "_z._hi")
+    ).select(*group_cols, "_n", "_z._pid", "_z._q", "_z._lo", "_z._hi", "_z._cuts")
     pos = (F.col("_n") - 1).cast("double") * F.col("_q")
     per_prob = per_prob.withColumns({"_k": F.floor(pos), "_frac": pos - F.floor(pos)})
     joined = vals.join(F.broadcast(per_prob) if is_global else per_prob, group_cols, "inner")
-    keys = list(group_cols) + ["_pid"]
     # the values below the bracket collapse into one row per group, those above into another
     side = F.when(F.col("_v") < F.col("_lo"), 0).when(F.col("_v") <= F.col("_hi"), 1).otherwise(2)
-    counted = (joined.groupBy(*keys, "_n", "_k", "_frac", side.alias("_side"),
-                              F.when(side == 1, F.col("_v")).alias("_bv"))
-               .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom")))
-    w = (Window.partitionBy(*keys).orderBy("_side", "_bv")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counted.withColumn("_cum", F.sum("_c").over(w))
+    part = F.when(side == 1, F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).otherwise(0)
+    return (joined.groupBy(*group_cols, "_pid", "_n", "_k", "_frac", side.alias("_side"), part.alias("_part"),
+                           F.when(side == 1, F.col("_v")).alias("_bv"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bottom")))
+
+
+def _bracketed(vals: DataFrame, group_cols, qs, accuracy, is_global) -> DataFrame:
+    """Sketch bracket, then rank the distinct values inside it (see the module docstring)."""
+    keys = list(group_cols) + ["_pid"]
+    counted = _counted(vals, group_cols, qs, accuracy, is_global)
+    ranges = [*keys, "_side", "_part"]
+    # a few rows a group and probability: the ranges in their order
+    in_order = (Window.partitionBy(*keys).orderBy("_side", "_part")
+                .rowsBetween(Window.unboundedPreceding, -1))
+    starts = (counted.groupBy(*ranges).agg(F.sum("_c").alias("_c"))
+              .select(*ranges, F.coalesce(F.sum("_c").over(in_order), F.lit(0)).alias("_start")))
+    w = Window.partitionBy(*ranges).orderBy("_bv").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counted.join(F.broadcast(starts) if is_global else starts, ranges)
+              .withColumn("_cum", F.col("_start") + F.sum("_c").over(w)))
     k, k1 = F.col("_k"), F.least(F.col("_k") + 1, F.col("_n") - 1)
     inside = F.col("_side") == 1
     picked = ranked.groupBy(*keys, "_n", "_k", "_frac").agg(

@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from ledgerlight.operators.quantiles import exact_quantiles, multi_quantiles
 
@@ -35,3 +37,28 @@ def test_multi_measure(spark):
     df = spark.createDataFrame([("a", 1.0, 10.0), ("a", 2.0, 30.0), ("a", 4.0, 20.0)], "k string, x double, y double")
     r = multi_quantiles(df, {"mx": ("x", 0.5), "my": ("y", 0.5)}, ["k"]).first()
     assert r.mx == 2.0 and r.my == 20.0
+
+
+def test_many_distinct_values_in_a_bracket_are_ranked_in_ranges(spark):
+    from ledgerlight.operators.quantiles import _counted
+    n = 300_000
+    df = spark.range(n, numPartitions=8).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    vals = df.select("g", F.col("v").alias("_v"))
+    inside = _counted(vals, ["g"], [0.5], 10, False).where("_side = 1")
+    sizes = [r["count"] for r in inside.groupBy("_part").count().collect()]
+    assert sum(sizes) >= 200_000 and max(sizes) <= 0.35 * sum(sizes) and len(sizes) >= 5
+    got = exact_quantiles(df, "v", {"q": 0.5, "r": 0.123}, ["g"], accuracy=10).first()
+    assert (got.q, got.r) == ((n - 1) * 0.5, pytest.approx((n - 1) * 0.123))
+    fine = _counted(vals, ["g"], [0.5], 200, False).where("_side = 1").groupBy("_part").count().collect()
+    assert len(fine) >= 4
+
+
+@pytest.mark.parametrize("accuracy", [5, 40, 100_000])
+def test_ranges_with_ties_and_many_groups(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    rows = [(int(g), float(v)) for g in range(6) for v in rng.choice([1.0, 2.0, 2.5, 7.0, rng.normal()], rng.integers(1, 400))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    probs = {"a": 0.0, "b": 0.33, "c": 0.5, "d": 0.995, "e": 1.0}
+    for r in exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect():
+        mine = [v for g, v in rows if g == r.g]
+        np.testing.assert_allclose([r[k] for k in probs], np.quantile(mine, list(probs.values())), rtol=1e-12)
