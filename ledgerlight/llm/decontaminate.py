@@ -13,8 +13,12 @@ offset, is intersected with the moved lists of the other terms from rare to
 frequent, until it is empty or only exact occurrences are left.  Proximity
 asks for all given terms within so many consecutive words, in any order.
 
-The phrases are those of a stated query set (the benchmark); they are sent to
-the shards in blocks of bounded size, so the benchmark may be large.
+The phrases are those of a stated query set (the benchmark).  It is a stored
+table of blocks of bounded size, each with the counts of its terms, and every
+shard meets every block; so neither the query set nor the counts of the
+corpus pass through the driver.  In a shard only phrases whose rarest term it
+has are looked up.  An index serves any query set; ``decontaminate`` keeps only
+the terms of its benchmark, unless they are more than ``MAX_TERMS``.
 
 Defined cases: a null or empty text has no words and no hits; repeated rows
 are judged one by one; null ids stay null; items without words or without id
@@ -24,7 +28,7 @@ empty results or no hits; only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -37,12 +41,12 @@ WINDOW = 13
 SHARD_BYTES = 8 << 20
 #: Between two documents of a shard; proximity may span up to this.
 GAP = 1 << 10
-#: Words of the query set sent to the shards at once.
+#: Words of a block of the query set.
 BLOCK_WORDS = 200_000
 #: Distinct query terms up to which the index keeps only those terms.
 MAX_TERMS = 1_000_000
 
-SHARD_SCHEMA = ("doc_ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary")
+SHARD_SCHEMA = ("shard string, doc_ids array<long>, n_words array<int>, terms array<binary>, counts array<int>, postings binary")
 
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -146,14 +150,14 @@ def _build(vocabulary: frozenset[bytes] | None) -> Callable[[Iterator], Iterator
         steps = np.diff(at, prepend=0)
         steps[first] = at[first]
         names = sorted(terms, key=terms.get)
-        return {"doc_ids": ids, "n_words": lens, "terms": [names[c] for c in codes[first]],
+        return {"shard": uuid.uuid4().hex, "doc_ids": ids, "n_words": lens, "terms": [names[c] for c in codes[first]],
                 "counts": np.diff(np.r_[first, len(codes)]).tolist(),
                 "postings": zlib.compress(steps.astype("<i4").tobytes(), 1)}
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())),
+        schema = pa.schema([("shard", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())),
                             ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())),
                             ("postings", pa.binary())])
         ids, texts, size = [], [], 0
@@ -190,19 +194,53 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> list[tuple[bytes, ...
     return [tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))]
 
 
-def _blocks(items: list[tuple[str, list[bytes]]]) -> Iterator[list]:
-    block, size = [], 0
+def query_blocks(benchmark: DataFrame) -> DataFrame:
+    """block and items (name and words), of the items with a name; one empty block if there are none."""
+    spark = benchmark.sparkSession
+    source = benchmark.where(F.col("item_id").isNotNull()).select(
+        F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(words, pa.list_(pa.binary()))],
+                                             ["item", "words"])
+    items = staged(source.mapInArrow(run, "item string, words array<binary>"), "items")
+    total = items.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // BLOCK_WORDS))
+    found = items.groupBy(F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("block")).agg(
+        F.collect_list(F.struct("item", "words")).alias("items"))
+    return staged(found, "blocks") if total else spark.createDataFrame([(0, [])], found.schema)
+
+
+def with_counts(blocks: DataFrame, index: DataFrame) -> DataFrame:
+    """The blocks with the counts of their terms in the index."""
+    terms = blocks.select("block", F.explode(F.array_distinct(F.flatten(F.transform(
+        "items", lambda i: i["words"])))).alias("term"))
+    asked = terms.select("term").distinct()
+    counts = (index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+              .select(F.col("t.terms").alias("term"), F.col("t.counts").alias("c"))
+              .join(asked, "term", "left_semi").groupBy("term").agg(F.sum("c").alias("n")))
+    known = terms.join(counts, "term").groupBy("block").agg(F.collect_list(F.struct("term", "n")).alias("counts"))
+    return staged(blocks.join(known, "block", "left"), "counted")
+
+
+def phrases_by_rarest(items: list[dict], counts: list[dict], width: int) -> dict:
+    """(name, terms, offsets from the rarest term on) of every window whose terms all occur, by its rarest term."""
+    n = {bytes(c["term"]): c["n"] for c in counts}
+    out: dict[bytes, dict] = {}
     for item in items:
-        block.append(item)
-        size += len(item[1])
-        if size >= BLOCK_WORDS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        for terms in windows_of([bytes(w) for w in item["words"]], width):
+            if all(t in n for t in terms):
+                order = sorted(range(len(terms)), key=lambda o: n[terms[o]])
+                # the same window of an item once
+                out.setdefault(terms[order[0]], {})[item["item"], terms] = order
+    return {t: [(name, list(terms), order) for (name, terms), order in found.items()] for t, found in out.items()}
 
 
-def _search(phrases: list[tuple[str, list[bytes], list[int]]]) -> Callable[[Iterator], Iterator]:
+def _search(width: int) -> Callable[[Iterator], Iterator]:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -210,11 +248,15 @@ def _search(phrases: list[tuple[str, list[bytes], list[int]]]) -> Callable[[Iter
         schema = pa.schema([("shard", pa.string()), ("place", pa.int32()), ("doc_id", pa.int64()),
                             ("n_words", pa.int64()), ("items", pa.list_(pa.string())),
                             ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        block, wanted = None, {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["block"] != block:
+                    block, wanted = row["block"], phrases_by_rarest(row["items"], row["block_counts"] or [], width)
                 s = Shard(row)
                 hits: dict[int, tuple[set, list]] = {}
-                for item, terms, order in phrases:
+                for item, terms, order in (p for t in wanted.keys() & s.lists.keys() for p in wanted[t]):
                     at = s.phrase(terms, order)
                     if at is not None:
                         for d, p in zip((np.searchsorted(s.starts, at, side="right") - 1).tolist(), at.tolist()):
@@ -241,15 +283,18 @@ HIT_SCHEMA = ("shard string, place int, doc_id long, n_words long, items array<s
               "spans array<struct<start: int, end: int>>")
 
 
-def search_phrases(index: DataFrame, phrases: list[tuple[str, list[bytes]]], counts: dict[bytes, int]) -> DataFrame:
-    """Every document of the index with the names of the phrases that occur, and the merged spans of words."""
-    far = {}
-    for name, terms in phrases:  # the same phrase under the same name once
-        if all(t in counts for t in terms):
-            far[name, tuple(terms)] = sorted(range(len(terms)), key=lambda o: counts[terms[o]])
-    sent = [(name, list(terms), order) for (name, terms), order in far.items()]
-    shards = index.withColumn("shard", F.sha1("postings"))
-    return shards.mapInArrow(_search(sent), HIT_SCHEMA)
+def search_phrases(index: DataFrame, blocks: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Every document of the index with the names of the items whose windows occur, and the merged spans of words.
+
+    ``blocks`` as ``query_blocks`` makes them.
+    """
+    counted = with_counts(blocks, index).withColumnRenamed("counts", "block_counts")
+    found = index.crossJoin(counted).mapInArrow(_search(width), HIT_SCHEMA)
+    if counted.count() == 1:
+        return found
+    return (found.groupBy("shard", "place", "doc_id", "n_words")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+                 merge_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans")))
 
 
 def search_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
@@ -277,22 +322,12 @@ def search_near(index: DataFrame, terms: list[str], within: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   width: int = WINDOW) -> DataFrame:
     """doc_id, n_words, items (whose windows occur), spans (hit words) of every document."""
-    items = [(str(r[0]), words_of(r[1])) for r in benchmark.select("item_id", "text").distinct().toLocalIterator()
-             if r[0] is not None]
-    vocabulary = frozenset(w for _, words in items for w in words)
-    index = build_index(docs, vocabulary if len(vocabulary) <= MAX_TERMS else None, id_col, text_col)
-    counts = {bytes(r[0]): r[1] for r in term_counts(index).toLocalIterator() if bytes(r[0]) in vocabulary}
-    results = [search_phrases(index, [(n, list(w)) for n, words in block for w in windows_of(words, width)], counts)
-               for block in _blocks(items)] or [search_phrases(index, [], {})]
-    if len(results) == 1:
-        return results[0].select("doc_id", "n_words", "items", "spans")
-    together = results[0]
-    for more in results[1:]:
-        together = together.unionByName(more)
-    per_doc = (together.groupBy("shard", "place", "doc_id", "n_words")
-               .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                    F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
-    return per_doc.select("doc_id", "n_words", "items", merge_spans(F.col("spans")).alias("spans"))
+    blocks = query_blocks(benchmark)
+    terms = blocks.select(F.explode(F.flatten(F.transform("items", lambda i: i["words"]))).alias("term")).distinct()
+    found = [bytes(r[0]) for r in terms.limit(MAX_TERMS + 1).toLocalIterator()]  # bounded
+    vocabulary = frozenset(found) if len(found) <= MAX_TERMS else None
+    index = build_index(docs, vocabulary, id_col, text_col)
+    return search_phrases(index, blocks, width).select("doc_id", "n_words", "items", "spans")
 
 
 def merge_spans(spans):

@@ -58,6 +58,31 @@ def test_like_brute_force(spark, data, monkeypatch, shard, block):
         assert tuple(r)[1:] == brute(docs[3] if r.doc_id is None else docs[r.doc_id], items), r.doc_id
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_no_row_is_lost_among_equal_shards(spark, monkeypatch, block):
+    """Eight rows of one text in eight shards with equal postings, searched with several blocks of queries."""
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
+    rows = [(7, "one two three four")] * 4 + [(None, "one two three four")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(1, "two three"), (2, "nine ten"), (3, "four")], "item_id long, text string")
+    got = D.hit_digests(D.decontaminate(df, bench)).collect()
+    assert len(got) == 8 and {(r.n_hit, r.n_items, r.contaminated) for r in got} == {(3, 2, True)}
+
+
+def test_one_index_serves_any_benchmark(spark, data, monkeypatch):
+    docs, items = data
+    monkeypatch.setattr(D, "MAX_TERMS", 2)  # so the index keeps all terms
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    index = D.build_index(df)
+    for part in (items[:8], items[8:]):
+        bench = spark.createDataFrame(part, "item_id long, text string")
+        found = D.search_phrases(index, D.query_blocks(bench)).select("doc_id", "n_words", "items", "spans")
+        for r in D.hit_digests(found).collect():
+            assert tuple(r)[1:] == brute(docs[r.doc_id], part), r.doc_id
+        again = D.hit_digests(D.decontaminate(df, bench)).collect()
+        assert sorted(again) == sorted(D.hit_digests(found).collect())
+
+
 def test_items_without_id_have_no_windows_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
