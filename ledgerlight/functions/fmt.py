@@ -13,11 +13,6 @@ def money_whole(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(round_half_up(x, 0), 0))
 
 
-def pct1(x: Column) -> Column:
-    """One-decimal percentage text of an absolute value, e.g. ``12.3``."""
-    return F.format_string("%.1f", round_half_up(F.abs(x), 1))
-
-
 def money_short(x: Column) -> Column:
     """Short money label: ``$1.23M`` at or above a million, ``$4.5k`` at or
     above a thousand, else ``$12``."""
@@ -25,8 +20,3 @@ def money_short(x: Column) -> Column:
     return (F.when(v >= 1_000_000, F.format_string("$%.2fM", round_half_up(v / 1_000_000, 2)))
              .when(v >= 1_000, F.format_string("$%.1fk", round_half_up(v / 1_000, 1)))
              .otherwise(F.format_string("$%.0f", round_half_up(v, 0))))
-
-
-def date_label(d: Column) -> Column:
-    """Chart date label such as ``Aug 1``."""
-    return F.date_format(d, "MMM d")

@@ -98,13 +98,3 @@ def pivot_revenue(txn: DataFrame, by: str, values: Sequence[str], series: str |
     src = with_series_key(txn, series).where(F.col(by).isNotNull())
     return src.groupBy("series_key", "date").agg(*[
         _pivot_sum(by, v, value_col, prefix, sanitize) for v in values])
-
-
-def add_breakdowns(daily: DataFrame, txn: DataFrame, breakdowns: dict[str, Sequence[str]],
-                   series: str | Column | None = None, sanitize: bool = False) -> DataFrame:
-    """Left join each pivot on (series_key, date)."""
-    out = daily
-    for by, values in breakdowns.items():
-        out = out.join(pivot_revenue(txn, by, values, series, sanitize=sanitize),
-                       ["series_key", "date"], "left")
-    return out

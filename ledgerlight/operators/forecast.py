@@ -131,6 +131,16 @@ def cv_summary(fold_metrics: DataFrame, group_cols) -> DataFrame:
     )
 
 
+def cv_or_holdout(cv: DataFrame, holdout_metrics: DataFrame) -> DataFrame:
+    """``cv`` for every series of ``holdout_metrics``; a series too short for
+    any fold shows its holdout scores as the means."""
+    known = holdout_metrics.select("series_key", rh("rmse", 2).alias("_rmse"), rh("mae", 2).alias("_mae"))
+    return known.join(cv, "series_key", "left").withColumns({
+        "cv_rmse_mean": F.coalesce("cv_rmse_mean", "_rmse"), "cv_mae_mean": F.coalesce("cv_mae_mean", "_mae"),
+        "n_folds": F.coalesce("n_folds", F.lit(0)),
+    }).drop("_rmse", "_mae")
+
+
 # ---------------------------------------------------------------- forecasters
 def seasonal_naive_in_sample(df: DataFrame, season_col: str = "lag_7d") -> DataFrame:
     """In-sample prediction of the seasonal naive model: the value one

@@ -117,13 +117,6 @@ def drop_warmup(df: DataFrame, col: str = "lag_56d") -> DataFrame:
     return df.dropna(subset=[col])
 
 
-def last_n_mean(df: DataFrame, value_col: str, n: int, alias: str | None = None) -> DataFrame:
-    """Mean of the last ``n`` rows of each series (one row per series)."""
-    w = Window.partitionBy("series_key").orderBy(F.col("date").desc())
-    return (df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-              .groupBy("series_key").agg(F.avg(value_col).alias(alias or f"last_{n}_mean_{value_col}")))
-
-
 def latest_row(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """The last row of each series (``max_by`` over date)."""
     return df.groupBy("series_key").agg(

@@ -135,12 +135,12 @@ class Bundle:
 def evaluate(features: DataFrame, horizon: int = HORIZON, holdout: int = HOLDOUT, materialize=None,
              models: Sequence[Forecaster] | None = None) -> Bundle:
     """All forecasters, their holdout scores, weights, the ensemble and the
-    winner.  The ensemble's band is the last model's, widened by 5 %.
+    winner; the real models if none are given.  The ensemble's band is the last model's, widened by 5 %.
     ``materialize(name, build)`` (optional) writes an output once, so that the
     later steps and the served queries read it, as the reference's API reads
     the pipeline's forecast files; ``build`` is only called for the first."""
     m = materialize or (lambda name, build: build())
-    models = models or [model() for model in SIMPLE]
+    models = models or [model() for model in MODELS]
     base = drop_warmup(features)
 
     def union(parts: list[DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ categories) to fix the pivot schema, and refuses more than ``max_values``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from ledgerlight.operators.ingest import ingest
 from ledgerlight.operators.series import add_rolling_and_lags
 from ledgerlight.operators.ingest import CUSTOMER_COLUMNS, PRODUCT_COLUMNS
 from ledgerlight.plans.stages import Observed, observed_stage, stage
-from ledgerlight.sources.holidays import us_holidays, years_spanned
+from ledgerlight.sources.holidays import holidays_for
 from ledgerlight.sources.tables import raw_sales, read_table
 
 
@@ -38,8 +38,6 @@ class Params:
     cap_q: float = 0.995
     order_cols: tuple = ("part_key", "supp_key")
     salt: str | None = None
-    approx_distinct: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 def distinct_values(df: DataFrame, col: str, max_values: int = 1000) -> list[str]:
@@ -179,7 +177,7 @@ def clean_fact(spark: SparkSession, sf_dir: str, p: Params | None = None, dirty:
 
 
 def daily_features(txn: DataFrame, series: str | Column | None = None,
-                   breakdowns: dict | None = None, holidays: DataFrame | None = None,
+                   breakdowns: dict | None = None, holidays: DataFrame | str = "us",
                    approx_distinct: bool = False, materialize=None) -> DataFrame:
     """The reference's ``daily_features`` table for every series at once:
     aggregates and ratios, calendar block, rolling / lag / ewm block, and the
@@ -189,8 +187,8 @@ def daily_features(txn: DataFrame, series: str | Column | None = None,
     daily = aggregate_daily(txn, series, approx_distinct, breakdowns)
     if materialize is not None:
         daily = materialize(daily)
-    if holidays is None:
-        holidays = us_holidays(years_spanned(daily))
+    if isinstance(holidays, str):
+        holidays = holidays_for(daily, holidays)
     daily = add_calendar_features(daily, holidays)
     return add_rolling_and_lags(daily)
 

@@ -438,7 +438,7 @@ def q_null_profile(spark, sf):
 # ---------------------------------------------------------- forecasting
 from ledgerlight.operators import forecast as FC  # noqa: E402
 from ledgerlight.operators.series import holdout_days, holdout_rows, impute_median  # noqa: E402
-from ledgerlight.plans.forecasting import HORIZON, evaluate  # noqa: E402
+from ledgerlight.plans.forecasting import HORIZON, SIMPLE, evaluate  # noqa: E402
 
 FSEG = feat_sql("segment") + T.forecast_ctes(HORIZON)
 FTOT = feat_sql(None) + T.forecast_ctes(HORIZON)
@@ -448,7 +448,8 @@ def _bundle(spark, sf, series="segment"):
     """Forecast evaluation outputs, written once per session as stage tables."""
     from ledgerlight.plans import stages as _st
     return evaluate(_features(spark, sf, series, pivots=False), HORIZON,
-                    materialize=lambda name, build: _st.stage(spark, ("bundle", name, sf, series), build))
+                    materialize=lambda name, build: _st.stage(spark, ("bundle", name, sf, series), build),
+                    models=[model() for model in SIMPLE])
 
 
 def _base(spark, sf, series="segment"):
@@ -531,29 +532,43 @@ def _holdout_scores() -> list:
     return [rh(m, 2).alias(f"holdout_{m}") for m in FC.METRICS]
 
 
-@register("naive_metrics", FSEG + f""",
+_CV_SQL = FSEG + f""",
 folds AS (
   SELECT series_key, CAST(f AS INTEGER) AS fold, (n - 90) - (4 - f) * 60 - 60 AS train_end,
          (n - 90) - (4 - f) * 60 AS test_end
   FROM last_info, range(0, 5) t(f)
 ),
 cvrows AS (
-  SELECT i.series_key, f.fold, i.revenue AS y, greatest(i.lag_7d, 0.0) AS yhat
+  SELECT i.series_key, f.fold, i.revenue AS y, i.lag_7d, i.roll_mean_28d
   FROM idx i JOIN folds f ON i.series_key = f.series_key AND i.rn <= f.test_end AND i.rn > f.train_end
   WHERE f.train_end >= 1
 ),
-foldm AS (SELECT series_key, fold, {T.metrics()} FROM cvrows GROUP BY series_key, fold)
-SELECT m.series_key, {T.shown('m', 'holdout_')}, c.* EXCLUDE (series_key)
-FROM met m JOIN ({T.cv('foldm')}) c ON m.series_key = c.series_key
+preds AS (
+  SELECT series_key, 'seasonal_naive' AS model, fold, y, greatest(lag_7d, 0.0) AS yhat FROM cvrows
+  UNION ALL SELECT series_key, 'moving_average', fold, y, greatest(roll_mean_28d, 0.0) FROM cvrows
+),
+foldm AS (SELECT series_key, model, fold, {T.metrics()} FROM preds GROUP BY series_key, model, fold),
+cvs AS ({T.cv('foldm', 'series_key, model')})"""
+
+
+def _simple_cv(base: DataFrame) -> DataFrame:
+    """M13 of the two simple models over the expanding folds."""
+    rows = FC.assign_row_folds(FC.index_rows(base), FC.expanding_folds(base)).where(F.col("role") == "test")
+    models = F.array(*[F.struct(F.lit(name).alias("model"), FC.floor0(col).alias("yhat"))
+                       for name, col in (("seasonal_naive", "lag_7d"), ("moving_average", "roll_mean_28d"))])
+    preds = rows.select("series_key", "fold", F.col("revenue").alias("y"), F.inline(models))
+    return FC.cv_summary(FC.error_metrics(preds, ["series_key", "model", "fold"]), ["series_key", "model"])
+
+
+@register("naive_metrics", _CV_SQL + f"""
+SELECT m.series_key, {T.shown('m', 'holdout_')}, c.* EXCLUDE (series_key, model)
+FROM met m JOIN cvs c ON m.series_key = c.series_key AND m.model = c.model
 WHERE m.model = 'seasonal_naive'""")
 def q_naive_metrics(spark, sf):
     b = _bundle(spark, sf)
-    idx = FC.index_rows(b.base)
-    rows = FC.assign_row_folds(idx, FC.expanding_folds(b.base)).where(F.col("role") == "test")
-    pred = rows.select("series_key", "fold", F.col("revenue").alias("y"), FC.floor0("lag_7d").alias("yhat"))
-    cv = FC.cv_summary(FC.error_metrics(pred, ["series_key", "fold"]), ["series_key"])
-    hold = b.metrics.where(F.col("model") == "seasonal_naive").select("series_key", *_holdout_scores())
-    return hold.join(cv, "series_key")
+    naive = F.col("model") == "seasonal_naive"
+    hold = b.metrics.where(naive).select("series_key", *_holdout_scores())
+    return hold.join(_simple_cv(b.base).where(naive).drop("model"), "series_key")
 
 
 @register("ensemble_weights", FSEG + f"""
@@ -578,23 +593,20 @@ def q_model_winner(spark, sf):
     return _bundle(spark, sf).winner
 
 
-@register("model_comparison", FSEG + f"""
-SELECT x.series_key, x.model, x.holdout_rmse, x.holdout_mae, x.holdout_mape, x.weight,
-       (x.model = w.winner) AS is_winner
+@register("model_comparison", _CV_SQL + f"""
+SELECT x.series_key, x.model, x.holdout_rmse, x.holdout_mae, x.holdout_mape,
+       c.cv_rmse_mean, c.cv_rmse_std, c.cv_mae_mean, c.cv_mae_std, x.weight,
+       CAST(NULL AS VARCHAR) AS top_features, (x.model = w.winner) AS is_winner
 FROM (
   SELECT series_key, model, {T.shown(prefix='holdout_')}, {T.r('weight', 4)} AS weight FROM wts
   UNION ALL
   SELECT series_key, 'ensemble', {T.shown()}, CAST(NULL AS DOUBLE) FROM ens_met
-) x JOIN win w ON x.series_key = w.series_key""")
+) x JOIN win w ON x.series_key = w.series_key
+LEFT JOIN cvs c ON x.series_key = c.series_key AND x.model = c.model""")
 def q_model_comparison(spark, sf):
-    """Q5: metric rows of every model plus the ensemble, with the winner flag."""
+    """Q5 of the two simple models."""
     b = _bundle(spark, sf)
-    singles = b.weights.select("series_key", "model", *_holdout_scores(), rh("weight", 4).alias("weight"))
-    ens = b.ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"), *_holdout_scores(),
-                                    F.lit(None).cast("double").alias("weight"))
-    return singles.unionByName(ens).join(b.winner, "series_key").select(
-        "series_key", "model", "holdout_rmse", "holdout_mae", "holdout_mape", "weight",
-        (F.col("model") == F.col("winner")).alias("is_winner"))
+    return S.comparison(b.weights, b.ensemble_metrics, b.winner, _simple_cv(b.base))
 
 
 @register("future_spine", FSEG + "\nSELECT series_key, date, h FROM spine")
@@ -1179,9 +1191,16 @@ def q_additive_cv_summary(spark, sf):
 def q_tree_cv(spark, sf):
     """M2 + M13: expanding-window CV of the boosted trees (5 folds x 60 rows
     of the training part), mean and population std of fold scores."""
-    base = _vectors(spark, sf)
-    scores = TR.cv_scores(base, FC.expanding_folds(base), settings=BOOSTING)
-    return FC.cv_summary(scores, ["series_key"])
+    return _tree_cv(spark, sf)
+
+
+def _tree_cv(spark, sf):
+    from ledgerlight.plans import stages as _st
+
+    def scores():
+        base = _vectors(spark, sf)
+        return TR.cv_scores(base, FC.expanding_folds(base), settings=BOOSTING)
+    return FC.cv_summary(_st.stage(spark, ("tree_cv", sf), scores), ["series_key"])
 
 
 @register("feature_summary", feat_sql(None, PIVOTS_SQL) + f"""
@@ -1213,13 +1232,16 @@ def _real_total(spark, sf):
 
 @register("real_model_comparison")
 def q_real_model_comparison(spark, sf):
-    """Q5: holdout scores and weights of the real models and their ensemble, with the winner flag."""
+    """Q5 of the real models, with their cross-validation and the trees' ten top features."""
     b = _real_bundle(spark, sf)
-    singles = FC.rounded_metrics(b.weights).select("series_key", "model", *FC.METRICS, rh("weight", 4).alias("weight"))
-    ens = FC.rounded_metrics(b.ensemble_metrics).select(
-        "series_key", F.lit("ensemble").alias("model"), *FC.METRICS, F.lit(None).cast("double").alias("weight"))
-    return singles.unionByName(ens).join(b.winner, "series_key").select(
-        "series_key", "model", "rmse", "mae", "mape", "weight", (F.col("model") == F.col("winner")).alias("is_winner"))
+    cv = _tree_cv(spark, sf).withColumn("model", F.lit(BoostedTrees.name)).unionByName(
+        FC.cv_or_holdout(FC.cv_summary(walk_forward_scores(b.base), ["series_key"]),
+                         b.metrics.where(F.col("model") == CorrectedDecomposition.name))
+        .withColumn("model", F.lit(CorrectedDecomposition.name)))
+    top = TR.importance(spark, _tree(spark, sf)[0], top=10).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.struct((-F.col("importance")).alias("i"), "feature"))), lambda x: x["feature"]), ",").alias("top_features"))
+    return S.comparison(b.weights, b.ensemble_metrics, b.winner, cv,
+                        top.withColumn("model", F.lit(BoostedTrees.name)))
 
 
 @register("real_forecast")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.fmt import money_short, money_whole
 from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.daily import aggregate_daily
+from ledgerlight.operators.forecast import METRICS
 from ledgerlight.operators.quantiles import with_scalars
 from ledgerlight.operators.report import fixed_mean, share_of_total
 from ledgerlight.sources.io import between
@@ -123,6 +124,31 @@ def freshness(txn: DataFrame) -> DataFrame:
     return txn.agg(F.count(F.lit(1)).alias("n_rows"), F.max("date").alias("last_date"))
 
 
+CV_COLUMNS = ("cv_rmse_mean", "cv_rmse_std", "cv_mae_mean", "cv_mae_std")
+
+
+def comparison(weights: DataFrame, ensemble_metrics: DataFrame, winner: DataFrame, cv: DataFrame,
+               top_features: DataFrame | None = None) -> DataFrame:
+    """Q5: holdout scores of every model and the ensemble, cross-validation
+    scores and weights of the models, whether a model wins its series, and the
+    names of the features that a model relies on most.
+
+    ``cv`` has series_key, model and ``CV_COLUMNS``; ``top_features`` has
+    model and top_features, a few rows."""
+    scores = [rh(m, 2).alias(f"holdout_{m}") for m in METRICS]
+    singles = weights.select("series_key", "model", *scores, rh("weight", 4).alias("weight"))
+    whole = ensemble_metrics.select("series_key", F.lit("ensemble").alias("model"), *scores,
+                                    F.lit(None).cast("double").alias("weight"))
+    out = (singles.unionByName(whole).join(cv.select("series_key", "model", *CV_COLUMNS), ["series_key", "model"], "left")
+           .join(winner, "series_key"))
+    if top_features is None:
+        out = out.withColumn("top_features", F.lit(None).cast("string"))
+    else:
+        out = out.join(top_features, "model", "left")
+    return out.select("series_key", "model", *[f"holdout_{m}" for m in METRICS], *CV_COLUMNS, "weight", "top_features",
+                      (F.col("model") == F.col("winner")).alias("is_winner"))
+
+
 # Titles and details of the insights, as the reference words them.
 TREND_TITLE = "Revenue trending %s %.1f%%"
 TREND_DETAIL = ("Average daily revenue over the last 30 days is %s, compared to %s in the prior 30-day period.")

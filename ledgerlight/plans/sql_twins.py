@@ -328,13 +328,13 @@ def shown(alias: str = "", prefix: str = "") -> str:
     return ", ".join(f"{r(dot + m)} AS {prefix}{m}" for m in ("rmse", "mae", "mape"))
 
 
-def cv(src: str) -> str:
-    """Means and population deviations of the scores in folds (series_key, fold, rmse, mae, mape)."""
+def cv(src: str, keys: str = "series_key") -> str:
+    """Means and population deviations of the scores in folds (keys, fold, rmse, mae, mape)."""
     return f"""
-SELECT series_key, {r('avg(rmse)')} AS cv_rmse_mean, {r('stddev_pop(rmse)')} AS cv_rmse_std,
+SELECT {keys}, {r('avg(rmse)')} AS cv_rmse_mean, {r('stddev_pop(rmse)')} AS cv_rmse_std,
        {r('avg(mae)')} AS cv_mae_mean, {r('stddev_pop(mae)')} AS cv_mae_std, {r('avg(mape)')} AS cv_mape_mean,
        count(*) AS n_folds
-FROM {src} GROUP BY series_key"""
+FROM {src} GROUP BY {keys}"""
 
 
 EWM_ALPHA = 2.0 / 15.0

@@ -86,6 +86,15 @@ def years_spanned(df: DataFrame, date_col: str = "date", pad: int = 1) -> DataFr
     return bounds.select(F.explode(F.sequence(F.col("_y0") - pad, F.col("_y1") + pad)).alias("year"))
 
 
+def holidays_for(df: DataFrame, calendar: str = "us", pad: int = 1) -> DataFrame:
+    """The holidays of a calendar, "us" for the years of ``df`` or "uk" as listed."""
+    if calendar == "us":
+        return us_holidays(years_spanned(df, pad=pad))
+    if calendar == "uk":
+        return uk_bank_holidays(df.sparkSession)
+    raise ValueError(f"no holiday calendar {calendar}")
+
+
 def holiday_windows(holidays: DataFrame, lower: int = -1, upper: int = 1) -> DataFrame:
     """Prophet-style windows: one row per holiday and each day in
     ``[ds + lower, ds + upper]``."""

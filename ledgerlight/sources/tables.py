@@ -87,14 +87,3 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount").alias("discount"),
         F.col("l_quantity").cast("long").alias("quantity"),
     )
-
-
-def events_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second series source: events as (series_key, date, revenue-like value)."""
-    ev = read_table(spark, sf_dir, "events")
-    return ev.select(
-        F.col("event_type").alias("series_key"),
-        F.to_date("ts").alias("date"),
-        F.col("value").alias("revenue"),
-        F.col("user_id").cast("string").alias("customer_id"),
-    )

@@ -1,7 +1,7 @@
 import datetime as dt
 import hashlib
 
-import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.calendar import calendar_columns, fourier_columns
@@ -32,21 +32,35 @@ def test_round_half_up_and_clip_keep_nulls(spark):
     assert out[2].q == 0.0
 
 
-def test_calendar_columns_match_pandas(spark):
-    # quarter_edges fixture: leap day, quarter ends, ISO weeks 53 and 1
-    days = [dt.date(2024, 2, 29), dt.date(2024, 3, 31), dt.date(2020, 12, 31), dt.date(2021, 1, 3),
-            dt.date(2027, 1, 1), dt.date(2023, 12, 30), dt.date(2023, 10, 1)]
-    df = spark.createDataFrame([(d,) for d in days], "date date").withColumns(calendar_columns())
-    got = df.toPandas().sort_values("date").reset_index(drop=True)
-    s = pd.to_datetime(pd.Series(sorted(days)))
-    qe = s.dt.to_period("Q").dt.end_time.dt.normalize()
-    assert list(got.day_of_week) == list(s.dt.dayofweek)
-    assert list(got.week_of_year) == list(s.dt.isocalendar().week.astype(int))
-    assert list(got.quarter) == list(s.dt.quarter)
-    assert list(got.is_month_end) == list(s.dt.is_month_end.astype(int))
-    assert list(got.is_quarter_end) == list(s.dt.is_quarter_end.astype(int))
-    assert list(got.days_in_month) == list(s.dt.days_in_month)
-    assert list(got.days_to_quarter_end) == list((qe - s).dt.days)
+CALENDAR = {
+    # date: weekday, ISO week, quarter, month end, quarter end, days in month, days to quarter end
+    dt.date(2020, 12, 31): (3, 53, 4, 1, 1, 31, 0),
+    dt.date(2021, 1, 3): (6, 53, 1, 0, 0, 31, 87),
+    dt.date(2023, 10, 1): (6, 39, 4, 0, 0, 31, 91),
+    dt.date(2023, 12, 30): (5, 52, 4, 0, 0, 31, 1),
+    dt.date(2024, 2, 29): (3, 9, 1, 1, 0, 29, 31),
+    dt.date(2024, 3, 31): (6, 13, 1, 1, 1, 31, 0),
+    dt.date(2027, 1, 1): (4, 53, 1, 0, 0, 31, 89),
+}
+
+
+def test_calendar_columns_at_the_edges(spark):
+    df = spark.createDataFrame([(d,) for d in CALENDAR], "date date").withColumns(calendar_columns())
+    for r in df.collect():
+        assert (r.day_of_week, r.week_of_year, r.quarter, r.is_month_end, r.is_quarter_end, r.days_in_month,
+                r.days_to_quarter_end) == CALENDAR[r.date], r.date
+
+
+def test_holiday_calendars(spark):
+    from ledgerlight.operators.calendar import add_calendar_features
+    from ledgerlight.sources.holidays import holidays_for
+    days = [dt.date(2023, 5, 8), dt.date(2023, 5, 10), dt.date(2023, 5, 12), dt.date(2023, 7, 4)]
+    df = spark.createDataFrame([("s", d) for d in days], "series_key string, date date")
+    got = {c: {r.date: r.days_to_holiday for r in add_calendar_features(df, holidays_for(df, c)).collect()} for c in ("us", "uk")}
+    assert [got["uk"][d] for d in days] == [0, 2, 4, 14]
+    assert got["us"][days[3]] == 0 and got["us"][days[0]] == 14
+    with pytest.raises(ValueError):
+        holidays_for(df, "mars")
 
 
 def test_fourier_columns(spark):

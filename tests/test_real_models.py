@@ -190,8 +190,15 @@ def test_real_ensemble(spark):
         single = g[g.model != "ensemble"]
         assert set(g.model) == names | {"ensemble"} and g.is_winner.sum() == 1
         assert single.weight.sum() == pytest.approx(1, abs=1e-3)
-        inverse = 1 / single.rmse
+        inverse = 1 / single.holdout_rmse
         assert np.allclose(single.weight, inverse / inverse.sum(), atol=1e-3)
+        assert (single.cv_rmse_mean > 0).all() and (single.cv_mae_mean <= single.cv_rmse_mean).all()
+        short = single[single.model == "decomposition_ridge"].iloc[0]  # these series are too short for a fold
+        assert short.cv_rmse_mean == short.holdout_rmse and np.isnan(short.cv_rmse_std)
+        assert g[g.model == "ensemble"].cv_rmse_mean.isna().all()
+        trees = g[g.model == "boosted_trees"].iloc[0]
+        assert set(trees.top_features.split(",")) <= set(TR.FEATURE_COLS) and len(trees.top_features.split(",")) == 10
+        assert g[g.model != "boosted_trees"].top_features.isna().all()
     fc = _run(spark, "real_forecast")
     assert (fc.groupby(["series_key", "model"]).size() == 90).all() and (fc.yhat >= 0).all()
     banded = fc.dropna(subset=["yhat_lower"])
