@@ -30,6 +30,33 @@ def test_like_the_library(spark, docs, chunk, overlap):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def merged(piece, ranks):
+    """Byte pairs merged by the lowest rank, the leftmost first, until none is left."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best[0] == 1 << 30:
+            break
+        i = best[1]
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_like_a_naive_merge():
+    import base64
+    import random
+
+    import regex
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    rng = random.Random(6)
+    letters = list("abcdeéñ ü\n'st12.,;中ß") + ["the ", " ing", "tion", "  "]
+    for t in [*TEXTS[2:4], *TEXTS[5:], *("".join(rng.choices(letters, k=rng.randint(1, 80))) for _ in range(400))]:
+        t = t[:3000]
+        want = [i for m in regex.finditer(P.PATTERN, t) for i in merged(m.group().encode(), ranks)]
+        assert np.frombuffer(bpe.encode_text(t, PATH, P.PATTERN), "<u4").tolist() == want, t[:80]
+
+
 def test_runs_that_the_library_cannot_match(spark):
     """A run of white space beyond the library's stack still encodes, and decodes to itself."""
     text = " " * 2_000_000 + "b"
