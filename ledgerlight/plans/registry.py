@@ -16,7 +16,8 @@ from ledgerlight.functions.numeric import round_half_up as rh
 from ledgerlight.operators.daily import aggregate_daily
 from ledgerlight.plans import sql_twins as T
 from ledgerlight.plans.pipeline import Params, clean_fact
-from ledgerlight.sources.io import write_raw_csv
+from ledgerlight.sources.io import (load_gbt_model, read_metrics_json, read_report_json, save_model, write_raw_csv,
+                                    write_report_json)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -921,6 +922,16 @@ def q_tree_holdout(spark, sf):
     return FC.rounded_metrics(_tree(spark, sf)[2])
 
 
+@register("saved_model_holdout")
+def q_saved_model_holdout(spark, sf):
+    """The trees saved, loaded and scored again on each series' last 90 rows."""
+    from ledgerlight.plans import stages as _st
+    model = load_gbt_model(_st.folder(spark, ("saved_model", sf), lambda to: save_model(_tree(spark, sf)[0], to)))
+    rows = holdout_rows(_vectors(spark, sf), 90).where(F.col("split") == "holdout")
+    pred = model.transform(rows).select("series_key", F.col("revenue").alias("y"), FC.floor0("prediction").alias("yhat"))
+    return FC.rounded_metrics(FC.error_metrics(pred, ["series_key"]))
+
+
 @register("tree_importance")
 def q_tree_importance(spark, sf):
     """Feature importances, top 20, relative to the top one."""
@@ -1125,6 +1136,22 @@ def q_eda_report(spark, sf):
     return R.eda_report(_fact(spark, sf), feats, R.numeric_columns(feats, exclude=["revenue"]))
 
 
+@register("report_json", ORACLE["eda_report"])
+def q_report_json(spark, sf):
+    """The report written as JSON lines, and read back."""
+    from ledgerlight.plans import stages as _st
+    return read_report_json(spark, _st.folder(
+        spark, ("report_json", sf), lambda to: write_report_json(q_eda_report(spark, sf), to)))
+
+
+@register("metrics_json", ORACLE["ensemble_weights"])
+def q_metrics_json(spark, sf):
+    """The models' scores and weights from their JSON file."""
+    from ledgerlight.plans import stages as _st
+    return read_metrics_json(spark, _st.folder(
+        spark, ("metrics_json", sf), lambda to: write_report_json(q_ensemble_weights(spark, sf), to)))
+
+
 # ---------------------------------------------------------- forecast summary
 @register("forecast_summary", FSEG + f"""
 SELECT series_key, model, count(*) AS days,

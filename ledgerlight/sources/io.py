@@ -26,6 +26,7 @@ RAW_CSV_SCHEMA = StructType([
     StructField("Quantity", LongType()),
 ])
 
+REPORT_SCHEMA = "section string, key string, metric string, value double, text string"
 METRICS_SCHEMA = ("series_key string, model string, holdout_rmse double, holdout_mae double, "
                   "holdout_mape double, weight double")
 
@@ -118,6 +119,11 @@ def write_report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_report_json(spark: SparkSession, path: str) -> DataFrame:
+    """A report written by ``write_report_json``."""
+    return spark.read.schema(REPORT_SCHEMA).json(path)
+
+
 def read_metrics_json(spark: SparkSession, path: str, schema: str = METRICS_SCHEMA) -> DataFrame:
     """Metrics written by ``write_report_json``, read with a fixed schema."""
     return spark.read.schema(schema).json(path)

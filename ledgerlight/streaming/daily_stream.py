@@ -28,13 +28,3 @@ def stream_daily(spark: SparkSession, source_dir: str, schema: StructType,
                     F.avg("discount_pct").alias("avg_discount"))
                .select("series_key", F.col("_w.start").cast("date").alias("date"),
                        "revenue", "n_transactions", "n_customers", "avg_discount"))
-
-
-def run_once(spark: SparkSession, source_dir: str, schema: StructType, checkpoint: str,
-             query_name: str = "daily_stream", series_col: str | None = None) -> DataFrame:
-    """Process everything available once into an in-memory table (tests)."""
-    q = (stream_daily(spark, source_dir, schema, series_col).writeStream
-         .outputMode("update").format("memory").queryName(query_name)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(query_name)

@@ -10,7 +10,16 @@ from ledgerlight.operators.ingest import assert_columns, assert_no_orphans
 from ledgerlight.plans.pipeline import Params, csv_clean_fact, csv_star
 from ledgerlight.sources.io import (MALFORMED, MONTH, between, load_gbt_model, read_metrics_json, read_raw_csv,
                                     save_model, write_months, write_report_json)
-from ledgerlight.streaming.daily_stream import run_once
+from ledgerlight.streaming.daily_stream import stream_daily
+
+
+def run_once(spark, source_dir, schema, checkpoint, query_name, series_col=None):
+    """Everything available, once, into a table in memory."""
+    q = (stream_daily(spark, source_dir, schema, series_col).writeStream
+         .outputMode("update").format("memory").queryName(query_name)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(query_name)
 
 
 HEADER = ("Row ID,Order ID,Order Date,Ship Date,Customer ID,Customer Name,Segment,State/Province,"
@@ -111,6 +120,15 @@ def test_json_report_and_model_round_trip(spark):
     assert again.transform(train).count() == 20
 
 
+def test_saved_reports_metrics_and_model(spark):
+    from conftest import SF_SMALL
+    from ledgerlight.plans import registry as R
+    for back, source in (("report_json", "eda_report"), ("metrics_json", "ensemble_weights"),
+                         ("saved_model_holdout", "tree_holdout")):
+        got, want = R.QUERIES[back](spark, SF_SMALL), R.QUERIES[source](spark, SF_SMALL)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_stream_daily_matches_batch(spark):
     d = tempfile.mkdtemp(prefix="ll-stream-")
     src = os.path.join(d, "in")
