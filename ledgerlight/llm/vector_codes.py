@@ -17,8 +17,8 @@ other, so no more than two generations of members exist.
 Numbers are exact: products are taken in doubles while they are integers below
 2^53, in 64-bit integers otherwise.  Sums of owners meet as decimals.
 
-Defined cases: rows whose vector is null, has another length than that of the
-smallest kept id, or holds a null or non-finite component are dropped.  Rows
+Defined cases: rows whose vector is null or empty, has another length than that
+of the smallest kept id, or holds a null or non-finite component are dropped.  Rows
 that repeat an id each have a code; of equal ids the smaller vector starts a
 codebook first; null ids come last.  A table without vectors gives an empty
 result.  Extra columns are carried if named, whatever their names.  A vector
@@ -129,7 +129,8 @@ def compress(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     spark = rows.sparkSession
     carry = [id_col] if carry is None else carry
     vector = F.col(vector_col).cast("array<double>")
-    whole = F.coalesce(F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    whole = F.coalesce(finite & (F.size(vector) > 0), F.lit(False))
     kept = rows.where(whole).select(F.struct(*[F.col(c) for c in carry]).alias("carried"),
                                     F.col(id_col).alias("id"), vector.alias("vector"))
     carried_type = kept.schema["carried"].dataType.simpleString()

@@ -14,7 +14,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 def plain(rows, parts=4, entries=256, rounds=4):
     """Lloyd's iterations with Python integers: {position of the row: (code, error)}, digest of the codebooks."""
     kept = [(i, k, v) for i, (k, v) in enumerate(rows)
-            if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+            if v and all(x is not None and math.isfinite(x) for x in v)]
     order = sorted(kept, key=lambda r: (r[1] is None, r[1] or 0, r[2]))
     kept = [(i, k, [math.floor(1024 * x) for x in v]) for i, k, v in kept if len(v) == len(order[0][2])]
     order = [v for _, _, v in sorted(kept, key=lambda r: (r[1] is None, r[1] or 0, r[2]))]
@@ -68,7 +68,7 @@ def test_dropped_repeated_and_tied(spark):
     rows = [(i, v) for i, v in enumerate(vectors(rng, 40, 4))]
     rows += [(100 + i, common) for i in range(60)]  # one common vector
     rows += [(5, v) for v in vectors(rng, 3, 4)] + [(None, v) for v in vectors(rng, 4, 4)]
-    rows += [(-1, None), (-2, [0.0, None, 1.0, 1.0]), (-3, [math.nan] * 4), (-4, [0.0, math.inf, 0.0, 0.0]), (900, [1.0] * 8),
+    rows += [(-1, None), (-5, []), (-2, [0.0, None, 1.0, 1.0]), (-3, [math.nan] * 4), (-4, [0.0, math.inf, 0.0, 0.0]), (900, [1.0] * 8),
              (901, []), (902, [0.0, -math.inf, 0.0, 0.0])]
     rows += [(i, [float(i % 3), 0.0, 0.0, -1e-9]) for i in range(200, 240)]  # ties
     compare(spark, rows, entries=20, rounds=3)
