@@ -53,9 +53,9 @@ SLACK = 18.0
 CLEARLY = 0.8
 #: Classes, and shingles, of a bucket or block that one task handles at once.
 BLOCK = 3000
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 PIVOTS = 64
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 SLICE_BYTES = 4 << 20
 
 _UPPER_TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -257,9 +257,10 @@ def search(sets: list, known: list, percent: int = PERCENT) -> list[tuple[int, i
 
     count = len(sets)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    sets.clear()  # only their numbers are needed from here on
     bounds = np.r_[0, np.cumsum(sizes)]
-    owner = np.repeat(np.arange(count), sizes)
+    owner = np.repeat(np.arange(count, dtype=np.int32), sizes)
     code = {c: i for i, c in enumerate(dict.fromkeys(known))}
     component = np.array([code[c] for c in known])
     waiting = np.ones(count, dtype=bool)
@@ -267,10 +268,10 @@ def search(sets: list, known: list, percent: int = PERCENT) -> list[tuple[int, i
 
     def index(of):
         order = of[np.argsort(ids[of], kind="stable")]
-        starts = np.searchsorted(ids[order], np.arange(ids.max() + 2))
-        return owner[order], starts
+        starts = np.searchsorted(ids[order], np.arange(ids.max() + 2, dtype=np.int32))
+        return owner[order], starts.astype(np.int32)
 
-    postings, starts = index(np.arange(len(ids)))
+    postings, starts = index(np.arange(len(ids), dtype=np.int32))
     indexed = count
     for seed in range(count):
         if not waiting[seed]:
@@ -287,7 +288,7 @@ def search(sets: list, known: list, percent: int = PERCENT) -> list[tuple[int, i
             mine = ids[bounds[at]:bounds[at + 1]]
             low, high = starts[mine], starts[mine + 1]
             span = high - low
-            where = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum())
+            where = np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum(dtype=np.int64))
             common = np.bincount(postings[where], minlength=count)
             linked = waiting & (100 * common >= percent * (sizes[at] + sizes - common))
             for j in np.flatnonzero(linked):
