@@ -55,7 +55,7 @@ CLEARLY = 0.8
 BLOCK = 3000
 BLOCK_SHINGLES = 2_000_000
 PIVOTS = 64
-KEPT_WORDS = 200_000
+KEPT_WORDS = 80_000
 SLICE_BYTES = 4 << 20
 
 _UPPER_TO_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))

@@ -52,7 +52,7 @@ THRESHOLDS = (0.4, 0.5)
 CLEAN_SHARE = 0.999
 #: A feature marks toxic text if this share of its sampled rows is toxic.
 MARKER_SHARE = 0.9
-KEPT_WORDS = 300_000
+KEPT_WORDS = 80_000
 
 
 def features_of(word: bytes) -> list[int]:
