@@ -36,7 +36,13 @@ def run_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged(df: DataFrame, name: str, folder: str | None = None, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+
+    Broadcasts of finished jobs stay in the executors until the driver's JVM
+    collects what refers to them.  An idle driver hardly ever does, and an
+    operator of many small jobs would fill the executors' heaps with them, so
+    it is asked to, where there is such a JVM.
+    """
     spark = df.sparkSession
     path = f"{folder or run_folder(spark, name)}/{name}"
     before = {k: spark.conf.get(k, None) for k in _STAGE_CONF}
@@ -47,6 +53,8 @@ def staged(df: DataFrame, name: str, folder: str | None = None, compression: str
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if (jvm := getattr(spark, "_jvm", None)) is not None:  # Spark Connect has none
+        jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
