@@ -94,3 +94,40 @@ def test_audit_of_empty_tables(spark):
     typed = C.typed_transactions(txn.limit(0)).selectExpr(*[f"{q} AS {n}" for n, q in C.TYPED_COUNTS.items()]).first().asDict()
     row = C.audit_row(spark, counts | typed).first()
     assert row.rows_in == row.rows_out == 0 and row.mean_revenue_after_cap is None
+
+
+def _kept(spark):
+    import tempfile
+    at = tempfile.mkdtemp()
+
+    def staged(name, build):
+        build().write.parquet(f"{at}/{name}")
+        return spark.read.parquet(f"{at}/{name}")
+    return staged
+
+
+def test_staged_cleaning_gives_the_same_rows(spark, monkeypatch):
+    from ledgerlight.operators import clean as C
+    customers, products, txn = _small_star(spark)
+    c, p = C.clean_customers(customers), C.clean_products(products)
+    nameless = txn.limit(2).withColumn("transaction_id", F.lit(None).cast("string"))  # two rows share no id
+    txn = txn.unionByName(nameless).unionByName(txn.where("transaction_id = 't8'").withColumn("part_key", F.lit(0)))
+    typed = sorted(C.typed_transactions(txn).collect(), key=str)
+    want = sorted(C.judged_transactions(C.typed_transactions(txn), c, p, 0.5).collect(), key=str)
+    assert sum(r["_copies"] for r in typed) == txn.count()
+    for limit in (C.HASHES_TO_ALL, 0):
+        monkeypatch.setattr(C, "HASHES_TO_ALL", limit)
+        staged = _kept(spark)
+        mine = C.typed_transactions(txn, staged=staged)
+        assert sorted(mine.collect(), key=str) == typed
+        assert sorted(C.judged_transactions(mine, c, p, 0.5, staged).collect(), key=str) == want
+
+
+def test_rows_with_a_key_of_their_own_stay_where_they_are(spark):
+    from ledgerlight.operators import clean as C
+    customers, products, txn = _small_star(spark)
+    staged = _kept(spark)
+    mine = C.judged_transactions(C.typed_transactions(txn, staged=staged), customers, products, 0.5, staged)
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 1 and "transaction_id" in shuffles[0], plan  # the rows whose key comes twice
