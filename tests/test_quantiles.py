@@ -62,3 +62,20 @@ def test_ranges_with_ties_and_many_groups(spark, accuracy):
     for r in exact_quantiles(df, "v", probs, ["g"], accuracy=accuracy).collect():
         mine = [v for g, v in rows if g == r.g]
         np.testing.assert_allclose([r[k] for k in probs], np.quantile(mine, list(probs.values())), rtol=1e-12)
+
+
+def test_small_groups_are_sorted_and_large_ones_ranked(spark, monkeypatch):
+    from ledgerlight.operators import quantiles
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 40)
+    rng = np.random.default_rng(11)
+    sizes = {"a": 1, "b": 2, "c": 40, "d": 41, "e": 3000, "none": 0}
+    rows = [(g, float(round(rng.uniform(0, 9), 1)), float(rng.normal())) for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame(rows + [("a", None, None), ("none", None, None)], "k string, x double, y double")
+    spec = {"x50": ("x", 0.5), "y50": ("y", 0.5), "y99": ("y", 0.99)}
+    got = {r.k: r for r in multi_quantiles(df, spec, ["k"], sort_small=True).collect()}
+    assert got == {r.k: r for r in multi_quantiles(df, spec, ["k"]).collect()}
+    assert set(got) == set(sizes) - {"none"}
+    for g in got:
+        for name, (col, q) in spec.items():
+            mine = [r[1 if col == "x" else 2] for r in rows if r[0] == g]
+            assert getattr(got[g], name) == pytest.approx(np.quantile(mine, q), rel=1e-12)
