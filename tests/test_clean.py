@@ -131,3 +131,23 @@ def test_rows_with_a_key_of_their_own_stay_where_they_are(spark):
     plan = mine._jdf.queryExecution().executedPlan().toString()
     shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
     assert len(shuffles) == 1 and "transaction_id" in shuffles[0], plan  # the rows whose key comes twice
+
+
+def test_rows_dealt_by_month_keep_it_unless_a_join_deals_them_anew(spark, monkeypatch):
+    """The fact was dealt by month a second time, as whole rows with their ids."""
+    from ledgerlight.operators import clean as C
+    from ledgerlight.sources.io import MONTH
+    customers, products, txn = _small_star(spark)
+    staged = _kept(spark)
+    want = sorted(C.accepted(C.judged_transactions(C.typed_transactions(txn), customers, products, 0.5)).collect(), key=str)
+    for name, few in (("HASHES_TO_ALL", True), ("HASHES_TO_ALL", False), ("KEYS_TO_ALL", False)):
+        monkeypatch.undo()
+        if not few:
+            monkeypatch.setattr(C, name, -1)
+        staged = _kept(spark)
+        dealt = C.dirty_transactions(txn.withColumn(MONTH, F.trunc("date", "month"))).select(*txn.columns, MONTH)
+        assert MONTH in dealt.columns
+        rows = txn.withColumn(MONTH, F.trunc("date", "month"))
+        mine = C.accepted(C.judged_transactions(C.typed_transactions(rows, staged=staged), customers, products, 0.5, staged))
+        assert (MONTH in mine.columns) == few
+        assert sorted(mine.drop(MONTH).collect(), key=str) == want
